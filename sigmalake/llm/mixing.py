@@ -78,10 +78,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     goal = targets(sizes, weights, share).select("key", "source_size", "target", "liked")
     goal = parts.select("key", "part").join(goal, "key")  # a row per source and part: the big join below has no hot key
     d = d.join(goal, ["key", "part"]).drop("part")
-    rate = F.least(F.col("target") * F.col("like") / F.col("liked"), F.lit(float(MAX_COPIES)))
+    rate = F.least(F.try_divide(F.col("target") * F.col("like"), F.col("liked")), F.lit(float(MAX_COPIES)))
     d = d.withColumn("rate", F.coalesce(rate, F.lit(0.0))).withColumn("sure", F.floor(F.col("rate") + 1e-9))
     d = d.withColumn("p", F.greatest(F.col("rate") - F.col("sure"), F.lit(0.0)))
-    odds = (F.col("u") / (1 - F.col("u"))) * ((1 - F.col("p")) / F.col("p"))
+    odds = (F.col("u") / (1 - F.col("u"))) * F.try_divide(1 - F.col("p"), F.col("p"))
     d = d.withColumn("odds", F.when((F.col("p") > 1e-9) & (F.col("size") > 0), odds))
     # odds on (0, inf) as a rank on (0, 1); null, and slice -1, where nothing is left to draw
     d = d.withColumn("rank", F.col("odds") / (1 + F.col("odds")))

@@ -1,9 +1,10 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import mixing, quality
+from . import mixing, packing, quality
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_pack": packing.op2_pack,
     "op5_mix_sources": mixing.op5_mix_sources,
 }
 
