@@ -1,11 +1,12 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import mixing, packing, quality, simhash
+from . import mixing, packing, quality, simhash, substrings
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_pack": packing.op2_pack,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op8_substrings": substrings.op8_substrings,
     "op9_simhash": simhash.op9_simhash,
 }
 
