@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import mixing, packing, quality, simhash, substrings
+from . import licenses, mixing, packing, quality, simhash, substrings
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -8,6 +8,7 @@ QUERIES = {
     "op5_mix_sources": mixing.op5_mix_sources,
     "op8_substrings": substrings.op8_substrings,
     "op9_simhash": simhash.op9_simhash,
+    "op10_licenses": licenses.op10_licenses,
 }
 
 ORACLES = {
