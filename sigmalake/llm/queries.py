@@ -1,11 +1,13 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import licenses, mixing, packing, quality, simhash, substrings
+from . import language, licenses, mixing, packing, quality, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_pack": packing.op2_pack,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_language": language.op7_language,
     "op8_substrings": substrings.op8_substrings,
     "op9_simhash": simhash.op9_simhash,
     "op10_licenses": licenses.op10_licenses,
