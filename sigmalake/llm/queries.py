@@ -1,10 +1,11 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import embeddings, language, licenses, mixing, packing, quality, simhash, substrings, toxicity
+from . import embeddings, language, licenses, mixing, packing, quality, scoring, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_pack": packing.op2_pack,
+    "op3_lm_scores": scoring.op3_lm_scores,
     "op4_embeddings": embeddings.op4_embeddings,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_toxicity": toxicity.op6_toxicity,
@@ -16,6 +17,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_quality_rules": quality.OP1_SQL,
+    "op3_lm_scores": scoring.op3_lm_scores,
     "op4_embeddings": embeddings.op4_embeddings,
     "op5_mix_sources": mixing.OP5_SQL,
 }
