@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,12 +28,14 @@ END = 1
 #: Pieces a shard holds; with 4,096 gaps this keeps a shard within some MB.
 SHARD = 60_000
 #: Words whose ids a worker remembers, some 200 bytes each.
-REMEMBERED = 300_000
+REMEMBERED = 900_000
+CHUNK_BYTES = 12_000_000
 VOCABULARY = "word_bpe_49k.json"
 
 #: Marks that a word may end in; no apostrophe, which some pre-tokens start with.
 MARKS = b".,!?;:#$%&*|)]}-+=/"
-LETTERS = b"abcdefghijklmnopqrstuvwxyz"
+MARK_BYTES = frozenset(MARKS)
+LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -45,54 +48,76 @@ class _Ids:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.known: dict[bytes, bytes] = {}
+        vocabulary_ids = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary_ids.values()) + 1, bool)  # ids that end a pre-token
+        for token, i in vocabulary_ids.items():
+            self.last[i] = token.endswith("</w>")
 
     def learn(self, fresh: set[bytes]) -> None:
         """Adds words to ``known``. ASCII marks after an ASCII letter are looked up on their own: a pre-token ends there."""
-        known, ends = self.known, []
-        whole = set()
+        known, ends, whole = self.known, [], set()
+        rest = []
         for w in fresh:
-            stem = w.rstrip(MARKS)
-            if len(stem) < len(w) and stem and stem[-1] in LETTERS:
-                ends.append((w, stem, w[len(stem) :]))
-                whole.add(stem)
+            if w[-1] in MARK_BYTES and (stem := w.rstrip(MARKS)) and stem[-1] in LETTERS:
+                ends.append((w, stem))
                 whole.add(w[len(stem) :])
             else:
-                whole.add(w)
+                rest.append(w)
+        whole.update(rest, [stem for _, stem in ends])
         whole.difference_update(known)
-        plain, odd = [], []  # words of letters alone are one pre-token each, so many can share a call
-        for w in whole:
-            u = w.decode()
-            (plain if u.isalpha() else odd).append((w, u))
-        for at in range(0, len(plain), 20_000):
-            some = plain[at : at + 20_000]
-            got = self.tokenizer.encode_batch([" ".join(u for _, u in some[i : i + 200]) for i in range(0, len(some), 200)], add_special_tokens=False)
-            for i, e in enumerate(got):
-                group, words = some[200 * i : 200 * i + 200], e.word_ids
-                if not words or words[-1] != len(group) - 1:
+        plain = [w for w in whole if w.isalpha()]  # ASCII letters
+        odd = []
+        for w in whole.difference(plain):
+            (plain if w.decode().isalpha() else odd).append(w)
+        # a word of letters alone is one pre-token, so many share a call
+        for at in range(0, len(plain), 40_000):
+            groups = [plain[i : i + 400] for i in range(at, min(at + 40_000, len(plain)), 400)]
+            got = self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)
+            for group, e in zip(groups, got):
+                ids = np.array(e.ids, "<u4")
+                ends_at = 4 * (np.flatnonzero(self.last[ids]) + 1)
+                if len(ends_at) != len(group):
                     odd += group
                     continue
-                ids = np.array(e.ids, "<u4").tobytes()
-                places = np.searchsorted(words, np.arange(len(group) + 1)).tolist()
-                for k, (w, _) in enumerate(group):
-                    known[w] = ids[4 * places[k] : 4 * places[k + 1]]
+                ids, stops = ids.tobytes(), ends_at.tolist()
+                known.update(zip(group, [ids[i:j] for i, j in zip([0, *stops], stops)]))
         for at in range(0, len(odd), 20_000):
             some = odd[at : at + 20_000]
-            got = self.tokenizer.encode_batch_fast([u for _, u in some], add_special_tokens=False)
-            for (w, _), e in zip(some, got):
+            got = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+            for w, e in zip(some, got):
                 known[w] = np.array(e.ids, "<u4").tobytes()
-        for w, stem, mark in ends:
-            known[w] = known[stem] + known[mark]
+        for w, stem in ends:
+            known[w] = known[stem] + known[w[len(stem) :]]
 
-    def texts(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of each text, by the words of all of them."""
+    def texts(self, texts: pa.StringArray) -> Iterator[bytes]:
+        """Little-endian 32-bit ids of each text; every distinct word of them is looked up once."""
         # lower case first, as the tokenizer does, but for texts that may spell a special token
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]  # bytes split on ASCII white space
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        self.learn(set().union(*split).difference(self.known))
+        low = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(low)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
         known = self.known
-        for words in split:
-            yield b"".join([known[w] for w in words])
+        if len(known) > REMEMBERED:
+            known.clear()
+        known[b""] = b""
+        found = list(map(known.get, words))
+        if None in found:
+            self.learn({w for w, f in zip(words, found) if f is None})
+            found = list(map(known.__getitem__, words))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begin = np.cumsum(size) - size
+        ids = np.frombuffer(b"".join(found), "<u4")
+        code = coded.indices.to_numpy()
+        n = size[code]
+        ends = np.cumsum(n)
+        ids = ids[np.repeat(begin[code] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        for i, j in zip(bounds, bounds[1:]):
+            yield ids[i:j].tobytes()
+
+
+#: What a Python worker keeps from task to task: a tokenizer and its known words.
+_WORKER: dict[str, _Ids] = {}
 
 
 def _pieces(capacity: int, end: int, vocabulary: str, with_ids: bool):
@@ -103,18 +128,18 @@ def _pieces(capacity: int, end: int, vocabulary: str, with_ids: bool):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids = _Ids(vocabulary)
+        if vocabulary not in _WORKER:
+            _WORKER[vocabulary] = _Ids(vocabulary)
+        ids = _WORKER[vocabulary]
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            texts = pc.fill_null(batch.column(1), "")
+            size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
             doc_ids = batch.column(0).to_pylist()
             out: list[tuple] = []
             at = 0
-            while at < len(texts):  # some 4 MB of text at a time
-                to, size = at, 0
-                while to < len(texts) and (to == at or size < 4_000_000):
-                    size += len(texts[to] or b"")
-                    to += 1
-                for doc, all_ids in zip(doc_ids[at:to], ids.texts([t or b"" for t in texts[at:to]])):
+            while at < len(texts):  # some MB of text at a time, at least a text
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK_BYTES, side="right")))
+                for doc, all_ids in zip(doc_ids[at:to], ids.texts(texts[at:to])):
                     all_ids += last
                     for n, i in enumerate(range(0, len(all_ids), step)):
                         part = all_ids[i : i + step]
