@@ -253,10 +253,13 @@ def _candidates(buckets: int, window: int):
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             head = np.array(rows, np.int64).tobytes() + count.astype(np.int64).tobytes()
             yield _emit([_row(block % buckets, block, 1, len(rows), head, all_pairs.astype("<u4").tobytes())])
-            head = ids.tobytes() + np.cumsum(widths).astype(np.int64).tobytes()
+            doc = np.repeat(np.arange(len(rows)), widths)
             for b, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
                 if j > i:
                     o = order[i:j]
+                    of = doc[o]  # rises, as the places do: an id and a count for each document
+                    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+                    head = ids[of[first]].tobytes() + put(np.diff(np.r_[first, len(of)]).astype(np.uint32))
                     yield _emit([_row(b, block, 0, j - i, key[o].tobytes() + put_sorted(o.astype(np.uint32)), head)])
 
     return run
@@ -271,9 +274,9 @@ def _repeated(t: pa.Table) -> pa.Table:
         keys = np.concatenate([np.frombuffer(r[4], np.uint64, r[3]) for r in own])
         at = [get_sorted(r[4][8 * r[3] :], np.uint32, r[3]) for r in own]
         docs = []
-        for a, r in zip(at, own):
-            ids, ends = np.frombuffer(r[5], np.int64).reshape(2, -1)
-            docs.append(ids[np.searchsorted(ends, a, side="right")])
+        for r in own:
+            n = len(r[5]) // 12
+            docs.append(np.repeat(np.frombuffer(r[5], np.int64, n), get(r[5][8 * n :], np.uint32, n)))
         docs = np.concatenate(docs)
         order = np.argsort(keys, kind="stable")
         s = keys[order]
@@ -312,10 +315,10 @@ def _removed(window: int):
     return run
 
 
-def _kept(batches):
-    """(text, ranges) -> words, removed words, kept text."""
+def _kept(batches, at: int):
+    """Text in column ``at``, ranges in the last one -> words, removed words, kept text."""
     for b in batches:
-        texts, ranges = b.column(b.schema.get_field_index("text")).cast(pa.binary()), b.column(b.schema.get_field_index("ranges")).to_pylist()
+        texts, ranges = b.column(at).cast(pa.binary()), b.column(b.num_columns - 1).to_pylist()
         total, gone, kept, digest = [], [], [], []
         for t, r in zip(texts, ranges):
             t = t.as_py() or b""
@@ -337,7 +340,7 @@ def _kept(batches):
 
 def _finish(with_text: bool):
     def run(batches):
-        for b, total, gone, kept, digest in _kept(batches):
+        for b, total, gone, kept, digest in _kept(batches, 1):
             columns = [b.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest)]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
             if with_text:
@@ -387,5 +390,33 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return _joined(d, ranges, "left").select("doc_id", "text", "ranges").mapInArrow(_finish(with_text), schema)
 
 
+def _replaced(text_at: int):
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                part = b.slice(i, 500)
+                whole = part.column(text_at).to_pylist()
+                for rest, _, gone, kept, _ in _kept([part], text_at):
+                    texts = [k.decode() if g else t for k, g, t in zip(kept, gone, whole)]
+                columns = [pa.array(texts, pa.string()) if k == text_at else rest.column(k) for k in range(rest.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays(columns, names=rest.schema.names[:-1])
+
+    return run
+
+
+def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, but for texts that lose words: those are their kept words joined by one space."""
+    row = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    d = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    ranges = repeated_ranges(d, window).withColumnRenamed("ranges", "_ranges")
+    own = docs.withColumn("_row", row)
+    size = ranges.agg(F.coalesce(F.sum(F.length("_ranges") + 80), F.lit(0))).first()[0]
+    side = ranges.withColumnRenamed("row", "_row")
+    own = own.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, "_row", "left")
+    own = own.select(*[F.col(text_col).cast("string").alias("text") if c == text_col else F.col(c) for c in docs.columns], F.col("_ranges").alias("ranges"))
+    at = docs.columns.index(text_col)
+    return own.mapInArrow(_replaced(at), docs.schema)
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
