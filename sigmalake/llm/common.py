@@ -58,6 +58,15 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes up to which a side of a join may be broadcast, by ``small``.
+BROADCAST_BYTES = 48_000_000
+
+
+def small(df: DataFrame, row_bytes: int = 64) -> DataFrame:
+    """``df`` marked for broadcast if its counted rows come to at most BROADCAST_BYTES, else as it is, to be joined by shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): smallest node reachable over ``edges`` (a, b), for every node on an edge.
 

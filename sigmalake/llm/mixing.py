@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, words_of
+from .common import small, table, words_of, written
 
 SLICES = 1024
 #: Weights by the source's place in code-point order, repeating.
@@ -113,6 +113,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     )
 
 
+def resample(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, each as many times as ``mix`` takes it.
+
+    Rows that repeat an id, and rows without one, draw the same number; each is
+    taken as often as the one of them that is taken most.
+    """
+    copies = mix(docs, id_col, source_col, text_col, **how).where("copies > 0")
+    copies = written(copies.groupBy(F.col(id_col).alias("_id")).agg(F.max("copies").alias("_copies")), "copies")
+    both = docs.join(small(copies), F.col(id_col).eqNullSafe(F.col("_id")))
+    times = F.sequence(F.lit(1), F.col("_copies").cast("int"))
+    return both.select(*[F.col(c) for c in docs.columns], F.explode(times).alias("_n")).select(docs.columns)
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mix(table(spark, sf_dir, "documents"))
     return m.select("doc_id", "size", "source_size", "target", "taken")

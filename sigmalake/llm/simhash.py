@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, table, written
+from .common import components, small, table, written
 
 SHINGLE = 4
 SEED = 42
@@ -228,6 +228,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(root, "fp").select(F.col("doc_id").alias(id_col), "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, without those whose component has a smaller id.
+
+    Of rows that repeat an id one stays; rows with a null id stay unless their
+    component has an id.
+    """
+    found = written(near_duplicates(docs, id_col, text_col), "components")
+    lost = found.where(F.col("component_id").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("component_id")))
+    kept = docs.join(small(lost.select(id_col).where(F.col(id_col).isNotNull()).distinct()), id_col, "left_anti").select(docs.columns)
+    if lost.where(F.col(id_col).isNull()).limit(1).count():
+        named = lost.where(F.col(id_col).isNull()).select("fp").distinct()
+        marked = docs.where(F.col(id_col).isNull()).withColumn("_n", F.monotonically_increasing_id())
+        marked = written(marked, "unnamed")
+        fps = marked.select("_n", text_col).mapInArrow(_fingerprints(SHINGLE, SEED), "doc_id long, fp long")
+        gone = fps.join(named, "fp", "left_semi").select(F.col("doc_id").alias("_n"))
+        kept = kept.where(F.col(id_col).isNotNull()).unionByName(marked.join(gone, "_n", "left_anti").select(docs.columns))
+    again = found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
+    if again.limit(1).count():
+        kept = kept.where(F.col(id_col).isNull()).unionByName(kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+    return kept
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = near_duplicates(table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

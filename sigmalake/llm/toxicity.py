@@ -201,6 +201,21 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return s.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def _clean(weights: dict[int, float], bias: float, at: int):
+    def run(batches):
+        model = Model(weights, bias)
+        for b in batches:
+            ok = [model.score(t.as_py() or b"") < 0.5 for t in b.column(at).cast(pa.binary())]
+            yield b.filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def reject(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text scores under 0.5."""
+    return docs.mapInArrow(_clean(model.weights, model.bias, docs.columns.index(text_col)), docs.schema)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     s = score(docs, train(docs, table(spark, sf_dir, "labels")))
