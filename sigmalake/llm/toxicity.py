@@ -17,20 +17,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, table
+from .common import fold_of, table, trim
 
 #: Most labelled rows that the classifier is fitted on, and features that it keeps.
 SAMPLE = 16_000
 FEATURES = 20_000
-BUCKETS = 1 << 22
+BUCKETS = 1 << 21
 #: Weight of the counterfactual penalty, of the squared weights, and of a toxic row.
 FAIRNESS = 4.0
 RIDGE = 3e-4
 POSITIVE = 2.0
 #: Chi-square from which a feature is kept: what chance brings among millions of features stays out.
-EVIDENCE = 25.0
+EVIDENCE = 15.0
 #: Words whose features a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 #: Groups of identity terms; a term is swapped for the next of its group.
 IDENTITY = (
@@ -89,14 +89,25 @@ def _examples(groups):
     return run
 
 
+def _counts(rows: list[bytes]) -> np.ndarray:
+    """How many rows hold each feature, some rows at a time."""
+    n = np.zeros(BUCKETS, np.int32)
+    for at in range(0, len(rows), 500):
+        n += np.bincount(np.frombuffer(b"".join(rows[at : at + 500]), "<u4"), minlength=BUCKETS).astype(np.int32)
+    return n
+
+
 def _csr(rows: list[bytes], keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row of each entry and place of its feature in ``keep`` (a sorted array), for the entries in it."""
-    size = np.array([len(r) // 4 for r in rows])
-    flat = np.frombuffer(b"".join(rows), "<u4")
-    row = np.repeat(np.arange(len(rows)), size)
-    at = np.searchsorted(keep, flat)
-    ok = (at < len(keep)) & (keep[np.minimum(at, len(keep) - 1)] == flat) if len(keep) else np.zeros(len(flat), bool)
-    return row[ok], at[ok]
+    where = np.full(BUCKETS, -1, np.int32)
+    where[keep] = np.arange(len(keep))
+    row, col = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for i, r in enumerate(rows):
+        c = where[np.frombuffer(r, "<u4")]
+        c = c[c >= 0]
+        row.append(np.full(len(c), i, np.int32))
+        col.append(c)
+    return np.concatenate(row), np.concatenate(col)
 
 
 class Model:
@@ -135,10 +146,8 @@ def fit(examples: list, fairness: float = FAIRNESS, steps: int = 250) -> Model:
     n, positive = len(y), int(np.sum([r[3] for r in examples]))
     if positive in (0, n):
         return Model({}, float(np.log((positive + 0.5) / (n - positive + 0.5))))
-    flat = np.frombuffer(b"".join(r[0] for r in examples), "<u4")
-    label = np.repeat(y, [len(r[0]) // 4 for r in examples])
-    all_of, toxic = np.bincount(flat, minlength=BUCKETS), np.bincount(flat, label, minlength=BUCKETS)
-    expected = all_of * positive / n
+    all_of, toxic = _counts([r[0] for r in examples]), _counts([r[0] for r in examples if r[3]])
+    expected = (all_of * (positive / n)).astype(np.float32)
     chi = np.where(all_of >= 3, (toxic - expected) ** 2 / np.maximum(expected * (1 - positive / n), 1e-9), 0)
     keep = np.argsort(-chi, kind="stable")[:FEATURES]
     keep = np.sort(keep[chi[keep] > EVIDENCE])
@@ -186,6 +195,8 @@ def _scores(weights: dict[int, float], bias: float):
         for b in batches:
             s = np.fromiter((model.score(t.as_py() or b"") for t in b.column(1).cast(pa.binary())), float, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], names=["doc_id", "score"])
+        del model
+        trim()
 
     return run
 
@@ -207,6 +218,8 @@ def _clean(weights: dict[int, float], bias: float, at: int):
         for b in batches:
             ok = [model.score(t.as_py() or b"") < 0.5 for t in b.column(at).cast(pa.binary())]
             yield b.filter(pa.array(ok, pa.bool_()))
+        del model
+        trim()
 
     return run
 
