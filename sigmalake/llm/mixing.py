@@ -83,9 +83,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     d = d.withColumn("p", F.greatest(F.col("rate") - F.col("sure"), F.lit(0.0)))
     odds = (F.col("u") / (1 - F.col("u"))) * F.try_divide(1 - F.col("p"), F.col("p"))
     d = d.withColumn("odds", F.when((F.col("p") > 1e-9) & (F.col("size") > 0), odds))
-    # odds on (0, inf) as a rank on (0, 1); null, and slice -1, where nothing is left to draw
-    d = d.withColumn("rank", F.col("odds") / (1 + F.col("odds")))
-    d = d.withColumn("slice", F.coalesce(F.least(F.floor(F.col("rank") * SLICES), F.lit(SLICES - 1)), F.lit(-1)))
+    # the source's own inclusion odds bring its odds back to an even spread over (0, 1), in the same order
+    even = F.try_divide(F.col("target"), F.col("liked"))
+    even = F.coalesce(even - F.floor(even + 1e-9), F.lit(0.5))
+    even = F.greatest(F.least(even, F.lit(1 - 1e-6)), F.lit(1e-6))
+    spread = F.col("odds") * (even / (1 - even))
+    # a slice below 0 where nothing is left to draw
+    drawn_slice = F.least(F.floor(spread / (1 + spread) * SLICES), F.lit(SLICES - 1))  # least() passes over nulls
+    d = d.withColumn("slice", F.when(F.col("odds").isNotNull(), drawn_slice).otherwise(-1 - F.floor(F.col("u") * SLICES)))
     # words of each slice and, in every slice, the words of the slices before it
     drawn = F.sum(F.when(F.col("slice") >= 0, F.col("size")).otherwise(0))
     per = d.groupBy("key", "target", "slice").agg(drawn.alias("drawn"), F.sum(F.col("size") * F.col("sure")).alias("certain"))
@@ -99,7 +104,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     # only the slice in which a target ends needs an order within it
     edge = (F.col("slice") >= 0) & (F.col("before") < F.col("rest")) & (F.col("before") + F.col("drawn") > F.col("rest"))
     d = d.withColumn("edge", edge)
-    order = W.partitionBy("key", "slice").orderBy("rank", F.col("id").asc_nulls_last(), "size")
+    order = W.partitionBy("key", "slice").orderBy("odds", F.col("id").asc_nulls_last(), "size")
     upto = F.col("before") + F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0))
     # the document at the end is taken if that comes nearer to the target
     inside = d.where("edge").withColumn("upto", upto)
