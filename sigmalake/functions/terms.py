@@ -8,16 +8,13 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..config import DEFAULT, Settings
 from . import latex as latex_reader
 from . import mathml as mathml_reader
 from .mathtree import Term, normalise, terms
 
-ANALYSIS = T.StructType.fromDDL(
-    "terms array<struct<term:string,level:int,generalization:boolean>>, tree string, is_error boolean"
-)
+ANALYSIS = "terms array<struct<term:string,level:int,generalization:boolean>>, tree string, is_error boolean"
 
 
 def tree_of(formula: str, settings: Settings = DEFAULT, mathml: bool = False):
@@ -42,13 +39,12 @@ def _analysed(formula: str, settings: Settings, mathml: bool) -> tuple[list[Term
 def analyse(formula: Column, settings: Settings = DEFAULT, mathml: bool = False) -> Column:
     """Struct (terms, tree, is_error) of a formula column. A null formula has no terms and is no error."""
 
-    @F.pandas_udf(ANALYSIS)
     def run(column: pd.Series) -> pd.DataFrame:
         rows = [([], None, False) if f is None else _analysed(f, settings, mathml) for f in column]
         out = [([t._asdict() for t in ts], tree, bad) for ts, tree, bad in rows]
         return pd.DataFrame(out, columns=["terms", "tree", "is_error"])
 
-    return run(formula)
+    return F.pandas_udf(run, ANALYSIS)(formula)
 
 
 def explode_terms(formulas: DataFrame, column: str = "latex", settings: Settings = DEFAULT, mathml: bool = False) -> DataFrame:
