@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: A word is a run of anything but ASCII white space (Java and Python regex alike).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -103,6 +104,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     ).groupBy("node").agg(F.min("component").alias("component"))
 
 
-def fields(spec: str) -> T.StructType:
-    """A struct type from a DDL string."""
-    return T.StructType.fromDDL(spec)
+def arrow_rows(spark: SparkSession, rows: int = 2_000) -> None:
+    """Sets how many rows an Arrow batch may hold. Texts are long: at Spark's 10,000 a batch, and the JVM's copies of it, take over 100 MB a task."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def trim() -> None:
+    """Gives memory that a Python worker has freed back to the system; workers live from task to task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, table
+from .common import arrow_rows, fold_of, table
 
 #: Most labelled rows that the counts are taken from.
 SAMPLE = 8_000
@@ -253,6 +253,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     give a row each; an empty table gives none.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    arrow_rows(docs.sparkSession, 10_000)  # a Viterbi step takes all texts of a batch at once
     schema = "doc_id long, lang_pred string, score double" + ", spans array<struct<first:long,words:long,lang:string>>" * with_spans
     return d.mapInArrow(_label(model, switch, with_spans), schema)
 

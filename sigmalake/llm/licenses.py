@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import arrow_rows, table
 
 THRESHOLD = 0.8
 BLOCK = 64
@@ -171,6 +171,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     found, else 0. Null and empty texts have no words. Repeated rows and null
     ids give a row each; an empty table gives none.
     """
+    arrow_rows(docs.sparkSession)
     join = Join(token_order(docs, templates, text_col), templates, threshold)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return d.mapInArrow(_scan(join, phrases or PHRASES), "doc_id long, " + SCHEMA)

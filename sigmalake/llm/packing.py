@@ -21,15 +21,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import arrow_rows, table, trim, written
 
 CAPACITY = 4096
 END = 1
 #: Pieces a shard holds; with 4,096 gaps this keeps a shard within some MB.
 SHARD = 60_000
 #: Words whose ids a worker remembers, some 200 bytes each.
-REMEMBERED = 900_000
-CHUNK_BYTES = 12_000_000
+REMEMBERED = 500_000
+CHUNK_BYTES = 8_000_000
 VOCABULARY = "word_bpe_49k.json"
 
 #: Marks that a word may end in; no apostrophe, which some pre-tokens start with.
@@ -150,6 +150,7 @@ def _pieces(capacity: int, end: int, vocabulary: str, with_ids: bool):
                     out = []
             if out:
                 yield _batch(out, width)
+            trim()
 
     return run
 
@@ -227,6 +228,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     little-endian 32-bit ids themselves, from which a writer can lay out whole
     sequences by (sequence_id, offset).
     """
+    arrow_rows(docs.sparkSession)
     p = written(pieces(docs, id_col, text_col, capacity, end, vocabulary, with_ids), "pieces")
     shards = max(1, -(-p.count() // shard))
     dealt = p.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("long"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, small, table, written
+from .common import arrow_rows, components, small, table, trim, written
 
 SHINGLE = 4
 SEED = 42
@@ -29,7 +29,7 @@ THRESHOLD = 4
 #: Distinct fingerprints up to which 4, 5, 6 blocks are used.
 LEVELS = (1 << 22, 1 << 31)
 #: Rows that a task compares, and rows of one anchor from which it is split over tasks.
-TASK_ROWS = 400_000
+TASK_ROWS = 50_000
 ANCHOR_ROWS = 100_000
 
 
@@ -59,6 +59,7 @@ def _fingerprints(shingle: int, seed: int):
             texts = b.column(1).cast(pa.binary())
             fps = np.fromiter((fingerprint(t.as_py() or b"", shingle, seed) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+        trim()
 
     return run
 
@@ -219,6 +220,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component's id unless no other is reachable. Empty in, empty out.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    arrow_rows(docs.sparkSession)
     marked = written(d.mapInArrow(_fingerprints(shingle, SEED), "doc_id long, fp long"), "fingerprints")
     least = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
     linked = components(links(least, least.count()))

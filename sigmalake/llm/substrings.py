@@ -24,12 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import arrow_rows, table, trim, written
+from .packed import ROW, emit, get, get_sorted, put, put_sorted, rows_of
 
 WINDOW = 13
 ANCHOR = 7
 #: Words of the documents that are handled together, and bytes of text per bucket.
-BLOCK_WORDS = 1_500_000
+BLOCK_WORDS = 1_000_000
 BUCKET_BYTES = 24_000_000
 #: A table of ranges up to this size may be broadcast; a larger one is joined by shuffle.
 BROADCAST_BYTES = 48_000_000
@@ -37,25 +38,6 @@ MULTIPLIER = 0x9E3779B97F4A7C15
 NO_ID = np.iinfo(np.int64).max
 
 
-def put(a: np.ndarray) -> bytes:
-    """Bytes of an unsigned array by planes, so that its high zero bytes lie together and compress."""
-    a = np.ascontiguousarray(a)
-    return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
-
-
-def get(b: bytes, dtype, n: int) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8, n * size).reshape(size, n).T).view(dtype).ravel()
-
-
-def put_sorted(a: np.ndarray) -> bytes:
-    return put(np.diff(a, prepend=a.dtype.type(0)))
-
-
-def get_sorted(b: bytes, dtype, n: int) -> np.ndarray:
-    return np.cumsum(get(b, dtype, n), dtype=dtype)
-
-
 def word_hashes(split: list[list[bytes]]) -> np.ndarray:
     """64-bit hashes of all words, one text after the other."""
     code: dict[bytes, int] = {}
@@ -118,20 +100,6 @@ def _blocks(batches, columns: int):
         yield split, rest
 
 
-ROW = "bucket int, block long, kind int, n int, data binary, more binary"
-
-
-def _row(bucket, block, kind, n, data, more=b""):
-    return (bucket, block, kind, n, data, more)
-
-
-def _emit(rows):
-    types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["bucket", "block", "kind", "n", "data", "more"]
-    )
-
-
 def _probes(buckets: int, anchor: int):
     """(text, row) -> per bucket: sorted 32-bit keys of all rolling windows, their places, which of them are anchors."""
 
@@ -149,27 +117,26 @@ def _probes(buckets: int, anchor: int):
             order = np.lexsort((key.astype(np.uint32), bucket)) if buckets > 1 else np.argsort(key.astype(np.uint32), kind="stable")
             low, at, fixed = key.astype(np.uint32)[order], valid[order].astype(np.uint32), (inside % anchor == 0)[order]
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            yield _emit([_row(block % buckets, block, 1, len(rows), np.array(rows, np.int64).tobytes(), put(sizes.astype(np.uint32)))])
+            yield emit([(block % buckets, block, 1, len(rows), np.array(rows, np.int64).tobytes(), put(sizes.astype(np.uint32)))])
             for b, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
                 if j > i:
-                    yield _emit([_row(b, block, 0, j - i, put_sorted(low[i:j]) + put(at[i:j]), np.packbits(fixed[i:j]).tobytes())])
+                    yield emit([(b, block, 0, j - i, put_sorted(low[i:j]) + put(at[i:j]), np.packbits(fixed[i:j]).tobytes())])
+            del split, key, inside, valid, order, low, at, fixed, bucket
+            trim()
 
     return run
 
 
-def _rows_of(t: pa.Table) -> list[tuple]:
-    return list(zip(*[t.column(c).to_pylist() for c in ("bucket", "block", "kind", "n", "data", "more")]))
-
-
 def _table(rows: list[tuple]) -> pa.Table:
+    trim()
     if not rows:
         rows = [(0, 0, -1, 0, b"", b"")]
-    return pa.Table.from_batches([_emit(rows)])
+    return pa.Table.from_batches([emit(rows)])
 
 
 def _matched(t: pa.Table) -> pa.Table:
     """Per block: places whose key some anchor has and that occur more than once."""
-    rows = _rows_of(t)
+    rows = rows_of(t)
     out = [(0, block, 1, n, data, more) for _, block, kind, n, data, more in rows if kind == 1]
     own = [r for r in rows if r[2] == 0]
     if own:
@@ -196,7 +163,7 @@ def _around(window: int, anchor: int):
     """Hits of a block -> per row: ranges of the windows' starts around them."""
 
     def run(t: pa.Table) -> pa.Table:
-        rows = _rows_of(t)
+        rows = rows_of(t)
         keys, ranges = [], []
         docs = [r for r in rows if r[2] == 1]
         hits = [get_sorted(r[4], np.uint32, r[3]) for r in rows if r[2] == 0]
@@ -252,7 +219,7 @@ def _candidates(buckets: int, window: int):
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             head = np.array(rows, np.int64).tobytes() + count.astype(np.int64).tobytes()
-            yield _emit([_row(block % buckets, block, 1, len(rows), head, all_pairs.astype("<u4").tobytes())])
+            yield emit([(block % buckets, block, 1, len(rows), head, all_pairs.astype("<u4").tobytes())])
             doc = np.repeat(np.arange(len(rows)), widths)
             for b, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
                 if j > i:
@@ -260,14 +227,16 @@ def _candidates(buckets: int, window: int):
                     of = doc[o]  # rises, as the places do: an id and a count for each document
                     first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
                     head = ids[of[first]].tobytes() + put(np.diff(np.r_[first, len(of)]).astype(np.uint32))
-                    yield _emit([_row(b, block, 0, j - i, key[o].tobytes() + put_sorted(o.astype(np.uint32)), head)])
+                    yield emit([(b, block, 0, j - i, key[o].tobytes() + put_sorted(o.astype(np.uint32)), head)])
+            del split, h, key, at, doc, order, bucket
+            trim()
 
     return run
 
 
 def _repeated(t: pa.Table) -> pa.Table:
     """Per block: the windows whose sequence a document with a smaller id has too."""
-    rows = _rows_of(t)
+    rows = rows_of(t)
     out = [(0, block, 1, n, data, more) for _, block, kind, n, data, more in rows if kind == 1]
     own = [r for r in rows if r[2] == 0]
     if own:
@@ -297,7 +266,7 @@ def _removed(window: int):
     """Repeated windows of a block -> per row: maximal ranges of words to remove."""
 
     def run(t: pa.Table) -> pa.Table:
-        rows = _rows_of(t)
+        rows = rows_of(t)
         keys, ranges = [], []
         docs = [r for r in rows if r[2] == 1]
         hits = [get_sorted(r[4], np.uint32, r[3]) for r in rows if r[2] == 0]
@@ -360,6 +329,7 @@ def _joined(left: DataFrame, ranges: DataFrame, how: str) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(row, ranges) of the rows (row, doc_id, text) with words to remove: little-endian pairs of 32-bit word places."""
+    arrow_rows(docs.sparkSession)
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = int(size // BUCKET_BYTES) + 1
     probes = docs.select("text", "row").mapInArrow(_probes(buckets, anchor), ROW)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, table, trim
+from .common import arrow_rows, fold_of, table, trim
 
 #: Most labelled rows that the classifier is fitted on, and features that it keeps.
 SAMPLE = 16_000
@@ -179,6 +179,7 @@ def fit(examples: list, fairness: float = FAIRNESS, steps: int = 250) -> Model:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
           sample: int = SAMPLE, groups=IDENTITY, fairness: float = FAIRNESS) -> Model:
     """The classifier, from labelled rows outside fold 0, at most ``sample`` of them (the least hashes of the id)."""
+    arrow_rows(docs.sparkSession)
     y = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     y = y.groupBy(F.col(id_col).cast("long").alias("i")).agg((F.max(label_col) > 0).cast("int").alias("y")).where(fold_of(F.col("i")) != 0)
     y = y.orderBy(F.xxhash64("i"), "i").limit(sample)
@@ -207,6 +208,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Null and empty texts get the score of a text without words. Repeated rows
     and null ids give a row each; an empty table gives none.
     """
+    arrow_rows(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     s = d.mapInArrow(_scores(model.weights, model.bias), "doc_id long, score double")
     return s.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -226,6 +228,7 @@ def _clean(weights: dict[int, float], bias: float, at: int):
 
 def reject(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text scores under 0.5."""
+    arrow_rows(docs.sparkSession)
     return docs.mapInArrow(_clean(model.weights, model.bias, docs.columns.index(text_col)), docs.schema)
 
 
