@@ -12,6 +12,7 @@ table grows and finds the same links.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -96,7 +97,7 @@ class Cover:
         self.rows = sum(1 + comb(self.blocks[k][1], 2) / (1 << ((self.blocks[k][1] + 1).bit_length() - 1)) for _, k in self.routes)
 
     def __call__(self, fps: np.ndarray):
-        """Arrays (key, fp, home) of every fingerprint at every anchor it goes to, a route at a time."""
+        """Arrays (key, place in ``fps``, home) of every fingerprint at every anchor it goes to, some at a time."""
         part = [(fps >> np.uint64(at)) & np.uint64((1 << w) - 1) for at, w in self.blocks]
         for n, (same, k) in enumerate(self.routes):
             code = self.codes[self.blocks[k][1]]
@@ -111,45 +112,59 @@ class Cover:
                 if len(at):
                     anchor = (part[k][at][:, None] ^ flips[None, :]).ravel()
                     i = np.repeat(at, len(flips))
-                    yield key[i] | anchor, fps[i], anchor == home[i]
+                    yield key[i] | anchor, i, anchor == home[i]
 
 
 def _routed(exact: int):
     def run(batches):
         cover = Cover(exact)
         for b in batches:
-            for key, fp, home in cover(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)):
+            fps, ids = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), b.column(1).to_numpy(zero_copy_only=False)
+            for key, at, home in cover(fps):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(home)], names=["key", "fp", "home"]
+                    [pa.array(key.view(np.int64)), pa.array(fps[at].view(np.int64)), pa.array(ids[at]), pa.array(home)], names=["key", "fp", "id", "home"]
                 )
 
     return run
 
 
-def near_pairs(home: np.ndarray, every: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) that join what is within ``threshold`` bits, some member of ``home`` at one end.
+Pairs = tuple[np.ndarray, np.ndarray]
+
+
+def near_pairs(home: np.ndarray, f: np.ndarray, threshold: int = THRESHOLD, central: bool = False) -> Pairs:
+    """Places (i, j) of links that join what is within ``threshold`` bits among ``f``, one end being a ``home``.
 
     Few links are returned as they are; of many, only a tree over each set that
-    they connect, which takes near-linear time where a set is dense.
+    they connect, which takes near-linear time where a set is dense. With
+    ``central`` a tree of the shortest links, and the links to the most central
+    members, or all links of a small set.
     """
     left, right, n = [], [], 0
-    rows = max(1, (1 << 21) // max(1, len(every)))
-    most = 4 * (len(home) + len(every)) + 64
-    for at in range(0, len(home), rows):
-        h = home[at : at + rows]
-        i, j = np.nonzero(np.bitwise_count(h[:, None] ^ every[None, :]) <= threshold)
-        x, y = h[i], every[j]
-        other = x != y
-        left.append(x[other])
-        right.append(y[other])
+    homes = np.flatnonzero(home)
+    rows = max(1, (1 << 21) // max(1, len(f)))
+    most = 4 * (len(homes) + len(f)) + 64
+    for at in range(0, len(homes), rows):
+        h = homes[at : at + rows]
+        i, j = np.nonzero(np.bitwise_count(f[h][:, None] ^ f[None, :]) <= threshold)
+        i = h[i]
+        other = i != j
+        left.append(i[other])
+        right.append(j[other])
         n += int(other.sum())
         if n > most:
-            return _trees(np.union1d(home, every), threshold)
-    return (np.concatenate(left), np.concatenate(right)) if left else (home[:0], home[:0])
+            return (_central if central else _trees)(f, threshold)
+    return _joined(left, right)
+
+
+def _joined(left: list, right: list) -> Pairs:
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def _trees(rest: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+def _trees(f: np.ndarray, threshold: int) -> Pairs:
+    """(root, member) of every set that links connect."""
     left, right = [], []
+    rest = np.arange(len(f))
     while len(rest):
         root, edge, rest = rest[0], rest[:1], rest[1:]
         while len(edge) and len(rest):
@@ -158,58 +173,102 @@ def _trees(rest: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
             for at in range(0, len(edge), step):
                 if not len(rest):
                     break
-                near = (np.bitwise_count(edge[at : at + step, None] ^ rest[None, :]) <= threshold).any(axis=0)
+                near = (np.bitwise_count(f[edge[at : at + step]][:, None] ^ f[rest][None, :]) <= threshold).any(axis=0)
                 found.append(rest[near])
                 rest = rest[~near]
             edge = np.concatenate(found)
             left.append(np.full(len(edge), root))
             right.append(edge)
-    return (np.concatenate(left), np.concatenate(right)) if left else (rest, rest)
+    return _joined(left, right)
 
 
-def _compared(t: pa.Table) -> pa.Table:
-    key = t.column("key").to_numpy()
-    fp = t.column("fp").to_numpy().view(np.uint64)
-    home = t.column("home").to_numpy()
-    order = np.argsort(key, kind="stable")
-    key, fp, home = key[order], fp[order], home[order]
-    cuts = np.flatnonzero(np.diff(key)) + 1
+def _shortest(f: np.ndarray, threshold: int) -> Pairs:
+    """Minimum spanning forest over links within the threshold: the nearest to what is joined comes next."""
     left, right = [], []
-    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
-        if b - a > 1 and home[a:b].any():
-            x, y = near_pairs(fp[a:b][home[a:b]], fp[a:b])
-            if len(x):
-                left.append(x)
-                right.append(y)
-    x = np.concatenate(left) if left else fp[:0]
-    y = np.concatenate(right) if right else fp[:0]
-    seen = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-    return pa.table({"a": seen[0].view(np.int64), "b": seen[1].view(np.int64)})
-
-
-def links(fps: DataFrame, n: int) -> DataFrame:
-    """(a, b): links that connect the distinct fingerprints (column fp, ``n`` of them) as all links within the threshold do.
-
-    An anchor with more rows than ANCHOR_ROWS is split into a grid of home
-    parts times replica parts, each met in a task of its own.
+    rest, bits, by = np.arange(1, len(f)), np.bitwise_count(f[1:] ^ f[0]), np.zeros(len(f) - 1, np.int64)
+    while len(rest):
+        k = int(bits.argmin())
+        x = rest[k]
+        if bits[k] <= threshold:
+            left.append(by[k])
+            right.append(x)
+        rest, bits, by = np.delete(rest, k), np.delete(bits, k), np.delete(by, k)
+        own = np.bitwise_count(f[rest] ^ f[x])
+        closer = own < bits
+        bits[closer], by[closer] = own[closer], x
+    return np.array(left, np.int64), np.array(right, np.int64)
+
+
+def _central(f: np.ndarray, threshold: int) -> Pairs:
+    """Links within each connected set: all of a small set; of a large one a shortest tree and all to its PIVOTS nearest to the middle."""
+    roots, found = _trees(f, threshold)
+    left, right = [], []
+    order = np.argsort(roots, kind="stable")
+    roots, found = roots[order], found[order]
+    cuts = np.flatnonzero(np.r_[True, roots[1:] != roots[:-1]]).tolist() if len(roots) else []
+    for i, j in zip(cuts, [*cuts[1:], len(roots)]):
+        own = np.append(found[i:j], roots[i])
+        fs = f[own]
+        bits = np.unpackbits(fs.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        middle = np.packbits(2 * bits > len(own), bitorder="little").view(np.uint64)[0]
+        pivots = np.arange(len(own)) if len(own) <= SMALL_SET else np.argsort(np.bitwise_count(fs ^ middle), kind="stable")[:PIVOTS]
+        x, y = np.nonzero(np.bitwise_count(fs[pivots][:, None] ^ fs[None, :]) <= threshold)
+        left.append(own[pivots[x]])
+        right.append(own[y])
+        if len(own) > SMALL_SET:
+            x, y = _shortest(fs, threshold)
+            left.append(own[x])
+            right.append(own[y])
+    x, y = _joined(left, right)
+    return x[x != y], y[x != y]
+
+
+def _comparer(threshold: int, central: bool):
+    def run(t: pa.Table) -> pa.Table:
+        key, fp, of, home = (t.column(c).to_numpy() for c in ("key", "fp", "id", "home"))
+        order = np.argsort(key, kind="stable")
+        key, fp, of, home = key[order], fp[order].view(np.uint64), of[order], home[order]
+        cuts = (np.flatnonzero(np.diff(key)) + 1).tolist()
+        left, right = [], []
+        for a, b in zip([0, *cuts], [*cuts, len(key)]):
+            if b - a > 1 and home[a:b].any():
+                x, y = near_pairs(home[a:b], fp[a:b], threshold, central)
+                left.append(of[a + x])
+                right.append(of[a + y])
+        x, y = _joined(left, right)
+        pairs = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)])[:, x != y], axis=1)
+        return pa.table({"a": pairs[0], "b": pairs[1]})
+
+    return run
+
+
+def links(fps: DataFrame, n: int, threshold: int = THRESHOLD, central: bool = False) -> DataFrame:
+    """(a, b): links between ids that connect the ``n`` rows (fp, id) as all links within the threshold do.
+
+    Up to twice the blocks less one, 7 bits, four blocks meet every link; the
+    finer covers of larger tables hold up to 4 bits. An anchor with more rows
+    than ANCHOR_ROWS is split into a grid of home parts times replica parts,
+    each met in a task of its own.
     """
-    exact = sum(n > most for most in LEVELS)
-    rows = fps.select("fp").mapInArrow(_routed(exact), "key long, fp long, home boolean")
+    if threshold >= 2 * THRESHOLD:
+        raise ValueError("four blocks meet links of up to 7 bits")
+    exact = sum(n > most for most in LEVELS) if threshold <= THRESHOLD else 0
+    rows = fps.select("fp", "id").mapInArrow(_routed(exact), "key long, fp long, id long, home boolean")
     homes = rows.groupBy("key").agg(F.count_if("home").alias("h"), F.count("*").alias("r")).where(F.col("r") > ANCHOR_ROWS)
     buckets = max(1, int(n * Cover(exact).rows // TASK_ROWS) + 1)
     if n > ANCHOR_ROWS // 4 and (hot := written(homes, "anchors")).limit(1).count():
         part = lambda c: F.ceil(F.col(c) / (ANCHOR_ROWS // 2)).cast("int")
         rows = rows.join(hot.select("key", part("h").alias("hs"), part("r").alias("rs")), "key", "left")
-        one = lambda c: F.pmod(F.xxhash64("fp"), F.col(c)).cast("int")
+        one = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
         all_of = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
         hs, rs = F.greatest(F.coalesce("hs", F.lit(1)), F.lit(1)), F.coalesce("rs", F.lit(1))
         rows = rows.withColumn("hs", hs).withColumn("rs", rs)
         # a home row goes to one home part and meets all replica parts; every row is a replica too
-        as_home = rows.where("home").select("key", "fp", F.lit(True).alias("home"), one("hs").alias("i"), F.explode(all_of("rs")).alias("j"))
-        as_other = rows.select("key", "fp", F.lit(False).alias("home"), F.explode(all_of("hs")).alias("i"), one("rs").alias("j"))
-        rows = as_home.union(as_other).select(F.xxhash64("key", "i", "j").alias("key"), "fp", "home")
+        as_home = rows.where("home").select("key", "fp", "id", F.lit(True).alias("home"), one("hs").alias("i"), F.explode(all_of("rs")).alias("j"))
+        as_other = rows.select("key", "fp", "id", F.lit(False).alias("home"), F.explode(all_of("hs")).alias("i"), one("rs").alias("j"))
+        rows = as_home.union(as_other).select(F.xxhash64("key", "i", "j").alias("key"), "fp", "id", "home")
     bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")
-    return rows.groupBy(bucket.alias("bucket")).applyInArrow(_compared, "a long, b long")
+    return rows.groupBy(bucket.alias("bucket")).applyInArrow(_comparer(threshold, central), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -223,31 +282,102 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     arrow_rows(docs.sparkSession)
     marked = written(d.mapInArrow(_fingerprints(shingle, SEED), "doc_id long, fp long"), "fingerprints")
     least = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
-    linked = components(links(least, least.count()))
+    linked = components(links(least.select("fp", F.col("fp").alias("id")), least.count()))
     root = least.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     ids = root.groupBy("root").agg(F.min("least").alias("component_id"))
     root = root.select("fp", "root").join(ids, "root").select("fp", "component_id")
     return marked.join(root, "fp").select(F.col("doc_id").alias(id_col), "fp", "component_id")
 
 
+# --- similar texts ----------------------------------------------------------
+
+WIDTH = 5
+SIMILARITY = 0.8
+#: Members up to which all links of a dense set are listed, and central members of a larger one.
+SMALL_SET = 64
+PIVOTS = 8
+#: Seeds of the fingerprints over a text's distinct words, and the bits that they may differ in.
+SEEDS = (42, 43)
+WORD_BITS = 7
+
+
+def _word_marks(batches):
+    """(doc_id, text) -> a hash of the word sequence, and the fingerprints of the set of words."""
+    for b in batches:
+        rows = []
+        for t in b.column(1).cast(pa.binary()):
+            words = (t.as_py() or b"").lower().split()
+            row = [xxhash.xxh64_intdigest(b" ".join(words), 7)]
+            for seed in SEEDS:
+                h = np.array([xxhash.xxh64_intdigest(w, seed) for w in set(words)], np.uint64)
+                counts = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                row.append(int.from_bytes(np.packbits(2 * counts > len(h), bitorder="little").tobytes(), "little"))
+            rows.append(row)
+        marks = np.array(rows, np.uint64).reshape(-1, 1 + len(SEEDS)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c)) for c in marks.T)], names=["doc_id", "same", *(f"f{k}" for k in range(len(SEEDS)))])
+    trim()
+
+
+def _shingles(batches):
+    """(doc_id, text) -> sorted distinct 32-bit hashes of its five-word shingles."""
+    for b in batches:
+        sets = []
+        for t in b.column(1).cast(pa.binary()):
+            words = (t.as_py() or b"").lower().split()
+            own = {b" ".join(words[i : i + WIDTH]) for i in range(max(1, len(words) - WIDTH + 1))}
+            sets.append(np.unique(np.fromiter((xxhash.xxh32_intdigest(x) for x in own), np.uint32, len(own))).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+    trim()
+
+
+def _similar(batches):
+    """(a, b, x, y) -> (a, b) whose shingle sets x and y are similar enough."""
+    for batch in batches:
+        ok = []
+        for x, y in zip(batch.column(2), batch.column(3)):
+            x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            ok.append(both >= SIMILARITY * (len(x) + len(y) - both) - 1e-9)
+        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) of all ids but null: groups linked by a Jaccard similarity of 0.8 or more on five-word shingles.
+
+    Texts with the same words (A-Z lowered) are one. Candidates are those whose
+    distinct words' fingerprints differ in at most 7 bits for one of two seeds,
+    met by the same anchor covering; each candidate link is then checked
+    exactly. Of a set of over 64 texts within few bits of each other the
+    shortest links and those to its central texts are checked, not all pairs.
+    Texts without words are alike; shorter ones than five words are one shingle.
+    """
+    arrow_rows(docs.sparkSession)
+    d = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    names = [f"f{k}" for k in range(len(SEEDS))]
+    marks = written(d.mapInArrow(_word_marks, "doc_id long, same long, " + ", ".join(f"{f} long" for f in names)), "marks")
+    reps = written(marks.groupBy("same").agg(F.min("doc_id").alias("id"), *(F.first(f).alias(f) for f in names)), "marks")
+    n = reps.count()
+    near = [links(reps.select(F.col(f).alias("fp"), "id"), n, WORD_BITS, central=True) for f in names]
+    pairs = written(reduce(DataFrame.union, near).distinct(), "pairs")
+    named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    own = d.join(small(named), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_shingles, "doc_id long, shingles binary")
+    own = written(own.dropDuplicates(["doc_id"]), "shingles")
+    of = lambda end, as_: own.select(F.col("doc_id").alias(end), F.col("shingles").alias(as_))
+    both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
+    tree = components(both.mapInArrow(_similar, "a long, b long"))
+    root = reps.join(tree, F.col("id") == F.col("node"), "left").select("same", F.coalesce("component", "id").alias("component_id"))
+    return marks.join(root, "same").select(F.col("doc_id").alias(id_col), "component_id")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, without those whose component has a smaller id.
+    """The rows of ``docs``, all columns as they are, without those whose group of similar texts has a smaller id.
 
-    Of rows that repeat an id one stays; rows with a null id stay unless their
-    component has an id.
+    Of rows that repeat an id one stays; rows with a null id stay.
     """
-    found = written(near_duplicates(docs, id_col, text_col), "components")
-    lost = found.where(F.col("component_id").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("component_id")))
-    kept = docs.join(small(lost.select(id_col).where(F.col(id_col).isNotNull()).distinct()), id_col, "left_anti").select(docs.columns)
-    if lost.where(F.col(id_col).isNull()).limit(1).count():
-        named = lost.where(F.col(id_col).isNull()).select("fp").distinct()
-        marked = docs.where(F.col(id_col).isNull()).withColumn("_n", F.monotonically_increasing_id())
-        marked = written(marked, "unnamed")
-        fps = marked.select("_n", text_col).mapInArrow(_fingerprints(SHINGLE, SEED), "doc_id long, fp long")
-        gone = fps.join(named, "fp", "left_semi").select(F.col("doc_id").alias("_n"))
-        kept = kept.where(F.col(id_col).isNotNull()).unionByName(marked.join(gone, "_n", "left_anti").select(docs.columns))
-    again = found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
-    if again.limit(1).count():
+    found = written(similar_groups(docs, id_col, text_col), "components")
+    lost = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    kept = docs.join(small(written(lost, "lost")), id_col, "left_anti").select(docs.columns)
+    if found.groupBy(id_col).count().where("count > 1").limit(1).count():
         kept = kept.where(F.col(id_col).isNull()).unionByName(kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
     return kept
 

@@ -294,11 +294,11 @@ def _kept(batches, at: int):
             words = t.split()
             n = len(words)
             if r:
-                keep, at = [], 0
+                keep, place = [], 0
                 for i, j in np.frombuffer(r, "<u4").reshape(-1, 2).tolist():
-                    keep += words[at:i]
-                    at = j
-                words = keep + words[at:]
+                    keep += words[place:i]
+                    place = j
+                words = keep + words[place:]
             whole = b" ".join(words)
             total.append(n)
             gone.append(n - len(words))

@@ -2,7 +2,7 @@ import re
 
 import corpus_pipeline
 from pyspark.sql import functions as F
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_simhash import brute_groups
 from tests.llm.test_substrings import brute
 
 from sigmalake.llm import mixing, toxicity
@@ -33,7 +33,7 @@ def test_stages_against_brute_force(spark):
     b = stage["simhash"](spark, a, sf).cache()
     named = {r.doc_id: r for r in want if r.doc_id is not None}
     ids = sorted(named)
-    comp = brute_components(ids, [brute_fingerprint(named[i].text) for i in ids])
+    comp = brute_groups(ids, [named[i].text for i in ids])
     assert b.columns == columns
     assert sorted(r.doc_id for r in b.collect() if r.doc_id is not None) == [i for i in ids if comp[i] == i]
     assert b.where("doc_id is null").count() == 1

@@ -33,6 +33,69 @@ def brute_components(ids, fps, threshold=4):
     return {i: find(i) for i in ids}
 
 
+def brute_groups(ids, texts, similarity=0.8):
+    """Smallest id of each group linked by the Jaccard similarity of five-word shingles."""
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(ids)):
+        for b in range(a):
+            x, y = sets[a], sets[b]
+            if min(len(x), len(y)) >= similarity * max(len(x), len(y)) and len(x & y) >= similarity * len(x | y):
+                p, q = sorted((find(ids[a]), find(ids[b])))
+                root[q] = p
+    return {i: find(i) for i in ids}
+
+
+def test_similar_groups_against_brute_force(spark, sf):
+    rng = random.Random(3)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(800, None), (801, ""), (802, "One two"), (803, "one TWO "), (804, "two one"), (None, "one two")]
+    for k in range(4):
+        base = [rng.choice(words) for _ in range(150 + 60 * k)]
+        for j in range(40):
+            w = list(base)
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            rows.append((1000 + 100 * k + j, " ".join(w)))
+    docs = docs.union(spark.createDataFrame(rows, "doc_id long, text string"))
+    named = {r.doc_id: r.text for r in docs.collect() if r.doc_id is not None}
+    ids = sorted(named)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    assert got == brute_groups(ids, [named[i] for i in ids])
+    kept = simhash.keep_one(docs)
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [i for i in ids if got[i] == i]
+    assert kept.where("doc_id is null").count() == 1 and simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_links_of_a_dense_group_reach_its_middle():
+    rng = random.Random(9)
+    base = rng.getrandbits(64)
+    fps = {base}
+    while len(fps) < 300:
+        x = base
+        for k in rng.sample(range(64), 3):
+            x ^= 1 << k
+        fps.add(x)
+    fps = np.array(sorted(fps), np.uint64)
+    near = lambda f: [f[x] for x in simhash.near_pairs(np.ones(len(f), bool), f, 7, central=True)]
+    a, b = near(fps)
+    assert len(a) < 300 * (simhash.PIVOTS + 2) and (np.bitwise_count(a ^ b) <= 7).all()
+    assert set(b[a == base].tolist()) | set(a[b == base].tolist()) == set(fps.tolist()) - {base}
+    few = np.array(sorted(fps)[:30], np.uint64)
+    a, b = near(few)
+    assert {frozenset(p) for p in zip(a.tolist(), b.tolist())} == {frozenset((x, y)) for x in few.tolist() for y in few.tolist() if x != y and (x ^ y).bit_count() <= 7}
+
+
 def test_simhash_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     odd = [(900, None), (901, ""), (902, " \n"), (903, "One two"), (904, "one TWO"), (905, "É a b c d"), (906, "a b c d " * 30_000)]
@@ -74,7 +137,7 @@ def test_split_anchors_and_dense_groups_keep_every_link(spark, monkeypatch):
             fps.add(x)
     fps = sorted(fps)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    df = spark.createDataFrame([(x, x) for x in signed], "fp long, id long")
     want = brute_components(signed, fps)
     for rows in (100_000, 120):
         monkeypatch.setattr(simhash, "ANCHOR_ROWS", rows)

@@ -54,6 +54,13 @@ def test_substrings_against_brute_force(spark, monkeypatch, block, bytes_):
     assert found(spark, docs) == brute(rows)
 
 
+def test_many_arrow_batches(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "arrow_rows", lambda spark: spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7))
+    rows = random_rows()
+    assert found(spark, spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)) == brute(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
+
+
 def test_substrings_on_documents(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     want = brute([(r.doc_id, r.text) for r in docs.collect()])
