@@ -32,10 +32,9 @@ def search_json(index: Index, query: str, page: int = 1, size: int = 10, setting
 
 def _answer(index: Index, query: str, page: int, size: int, settings: Settings) -> dict:
     search.page_bounds(page, size)
-    spark = index.pages.sparkSession
     head = {"status": "OK", "query_mathml": mathml.render(latex_reader.parse(query)), "query_detail": explain.query_html(query, settings)}
     began = time.monotonic()
-    q = search.clauses(spark, [(0, query)], settings)
+    index, q = search.prepared(index, [(0, query)], settings)
     results = search.search(index, q, settings).cache()
     total = results.count()
     seconds = str(round(time.monotonic() - began, 3))

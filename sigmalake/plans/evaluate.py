@@ -9,7 +9,7 @@ from ..config import DEFAULT, Settings
 from ..functions import scoring
 from ..operators.index import Index
 from ..sources import labels as label_table
-from .search import clauses, result_page, search, with_attributes
+from .search import prepared, result_page, search, with_attributes
 
 
 def quality(judged: DataFrame, k: int) -> DataFrame:
@@ -32,7 +32,8 @@ def evaluate(index: Index, labels: DataFrame, k: int, settings: Settings = DEFAU
     spark = labels.sparkSession
     names = [r.query for r in label_table.all_queries(labels).toLocalIterator()]  # the evaluation set
     ids = spark.createDataFrame(list(enumerate(names)), "query_id long, query string")
-    top = result_page(search(index, clauses(spark, enumerate(names), settings), settings), 1, k)
+    index, q = prepared(index, enumerate(names), settings)
+    top = result_page(search(index, q, settings), 1, k)
     shown = with_attributes(index, top, settings).join(F.broadcast(ids), "query_id")
     judged = label_table.lookup(shown.select("query", F.col("doc_url").alias("url"), "rank"), labels)
     found = ids.join(quality(judged, k), "query", "left")

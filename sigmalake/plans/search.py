@@ -7,6 +7,7 @@ and postings are never shuffled before they are cut down to the clauses' terms.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -20,6 +21,8 @@ from ..operators.index import Index
 CLAUSES = "query_id long, clause int, term string, level int, generalization boolean"
 #: Clauses up to which the side is broadcast; more (millions of queries) are joined by shuffle.
 BROADCAST_CLAUSES = 200_000
+#: Distinct terms up to which the scan of the postings is filtered by them.
+PUSHED_TERMS = 1_000
 
 
 def clauses(spark: SparkSession, queries: Iterable[tuple[int, str]], settings: Settings = DEFAULT) -> DataFrame:
@@ -29,6 +32,20 @@ def clauses(spark: SparkSession, queries: Iterable[tuple[int, str]], settings: S
     return F.broadcast(q) if len(rows) <= BROADCAST_CLAUSES else q
 
 
+def prepared(index: Index, queries: Iterable[tuple[int, str]], settings: Settings = DEFAULT) -> tuple[Index, DataFrame]:
+    """The index cut to the queries' terms, and their clauses.
+
+    Up to PUSHED_TERMS distinct terms become a filter that reaches the scan of
+    the postings, which lie in the order of terms: few row groups are read.
+    """
+    queries = list(queries)
+    terms = sorted({row[2] for row in query_clauses(queries, settings)})
+    if len(terms) <= PUSHED_TERMS:
+        cut = lambda tables: {k: d.where(F.col("term").isin(terms)) for k, d in tables.items()}
+        index = replace(index, postings=cut(index.postings), term_stats=cut(index.term_stats))
+    return index, clauses(index.pages.sparkSession, queries, settings)
+
+
 def weighted(index: Index, kind: str, q: DataFrame) -> DataFrame:
     """Clauses with idf (unknown terms have df 0), and per query n_clauses and query_norm."""
     n = index.docs[kind].agg(F.count("*").alias("n_docs"))

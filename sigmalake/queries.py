@@ -365,7 +365,7 @@ def best_formula_per_page(spark, sf):
 
 
 def _found(spark, sf, queries=QUERIES[:1]):
-    return search.search(corpus(spark, sf), search.clauses(spark, queries))
+    return search.search(*search.prepared(corpus(spark, sf), queries))
 
 
 SCORES = ("formula_score", "page_score", "score")
@@ -434,9 +434,7 @@ def explain_scores(spark, sf):
 @query("search_json")
 def search_json_pages(spark, sf):
     """The JSON answer's items, without the time that it took."""
-    i = corpus(spark, sf)
-    i = index_tables.Index(i.pages, i.formulas, i.postings, i.docs, i.term_stats)
-    answer = json.loads(search_json(i, "a + b", 1, 5))
+    answer = json.loads(search_json(corpus(spark, sf), "a + b", 1, 5))
     rows = [(n, answer["total"], x["doc"]["formula_id"], x["doc"]["formula"], x["doc"]["doc_id"], x["doc"]["doc_title"], x["doc"]["doc_url"], round(x["score"], DIGITS)) for n, x in enumerate(answer["results"])]
     return spark.createDataFrame(rows, "place int, total long, formula_id long, formula string, doc_id long, doc_title string, doc_url string, score double")
 
@@ -562,7 +560,6 @@ def mathml_input(spark, sf):
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """The first page of results for a batch of queries, with titles and links."""
-    i = corpus(spark, sf)
-    q = search.clauses(spark, QUERIES)
+    i, q = search.prepared(corpus(spark, sf), QUERIES)
     return search.with_attributes(i, search.result_page(search.search(i, q), 1, 10)).orderBy("query_id", "rank")
 

@@ -78,6 +78,12 @@ def test_search_json(index):
         assert json.loads(api.search_json(index, **bad))["status"] == "Fail"
 
 
+def test_terms_reach_the_scan(index):
+    i, _ = search.prepared(index, q.QUERIES[:1])
+    plan = i.postings["formula"]._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "term" in plan.split("PushedFilters")[1][:200]
+
+
 def test_contributions_add_up(spark, index):
     c = search.clauses(spark, q.QUERIES)
     for kind in index_tables.KINDS:
