@@ -83,7 +83,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     e = ids
     for _ in range(rounds):
         both = e.where("a <> b").select("a", "b").union(e.where("a <> b").select(F.col("b"), F.col("a")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # as a table, so that the join below shuffles both sides and AQE may split the rows of a hub
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "links")
         # large star: every larger neighbour of a points to a's minimum
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: a and its smaller neighbours point to the smallest
