@@ -27,9 +27,9 @@ CAPACITY = 4096
 END = 1
 #: Pieces a shard holds; with 4,096 gaps this keeps a shard within some MB.
 SHARD = 60_000
-#: Words whose ids a worker remembers, some 200 bytes each.
-REMEMBERED = 500_000
-CHUNK_BYTES = 8_000_000
+#: Words whose ids a worker remembers, and as many from before those, some 200 bytes each.
+REMEMBERED = 400_000
+CHUNK_BYTES = 12_000_000
 VOCABULARY = "word_bpe_49k.json"
 
 #: Marks that a word may end in; no apostrophe, which some pre-tokens start with.
@@ -48,11 +48,16 @@ class _Ids:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}  # the words known before these: those met again stay
         vocabulary_ids = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary_ids.values()) + 1, bool)  # ids that end a pre-token
         for token, i in vocabulary_ids.items():
             self.last[i] = token.endswith("</w>")
 
+    def recall(self, words: set[bytes]) -> None:
+        before = self.before
+        self.known.update([(w, before[w]) for w in words if w in before])
+
     def learn(self, fresh: set[bytes]) -> None:
         """Adds words to ``known``. ASCII marks after an ASCII letter are looked up on their own: a pre-token ends there."""
         known, ends, whole = self.known, [], set()
@@ -65,6 +70,8 @@ class _Ids:
                 rest.append(w)
         whole.update(rest, [stem for _, stem in ends])
         whole.difference_update(known)
+        self.recall(whole)
+        whole.difference_update(known)
         plain = [w for w in whole if w.isalpha()]  # ASCII letters
         odd = []
         for w in whole.difference(plain):
@@ -96,13 +103,15 @@ class _Ids:
         split = pc.ascii_split_whitespace(low)
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.cast(pa.binary()).to_pylist()
+        if len(self.known) > REMEMBERED:
+            self.known, self.before = {}, self.known
         known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
         known[b""] = b""
         found = list(map(known.get, words))
         if None in found:
-            self.learn({w for w, f in zip(words, found) if f is None})
+            missing = {w for w, f in zip(words, found) if f is None}
+            self.recall(missing)
+            self.learn(missing.difference(known))
             found = list(map(known.__getitem__, words))
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         begin = np.cumsum(size) - size
@@ -228,7 +237,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     little-endian 32-bit ids themselves, from which a writer can lay out whole
     sequences by (sequence_id, offset).
     """
-    arrow_rows(docs.sparkSession)
+    arrow_rows(docs.sparkSession, 4_000)
     p = written(pieces(docs, id_col, text_col, capacity, end, vocabulary, with_ids), "pieces")
     shards = max(1, -(-p.count() // shard))
     dealt = p.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("long"))

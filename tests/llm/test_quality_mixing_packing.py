@@ -121,3 +121,17 @@ def test_sum_of_squares_takes_the_least_change():
         assert left[b] == 16 - o
         left[b] -= s
     assert max(fill) <= 16
+
+
+def test_known_words_are_bounded_and_right(monkeypatch):
+    import duckdb
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "REMEMBERED", 300)
+    texts = [r[0] for r in duckdb.sql("select text from '/root/testdata/sf0.001/documents.parquet' order by doc_id").fetchall()]
+    ids = packing._Ids(public_tokenizers.path(packing.VOCABULARY))
+    tok = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    for k in range(0, len(texts), 5):
+        some = texts[k : k + 5]
+        assert list(ids.texts(pa.array(some))) == [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(some, add_special_tokens=False)]
+    assert ids.before and len(ids.known) < 20_000
