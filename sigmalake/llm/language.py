@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, fold_of, table
+from .common import arrow_rows, fold_of, table, trim
 
 #: Most labelled rows that the counts are taken from.
 SAMPLE = 8_000
@@ -241,7 +241,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     for r in got.toLocalIterator():  # a few rows per language
         counts[langs.index(r.lang)] += np.frombuffer(r.grams, "<i8").reshape(len(ORDERS), BUCKETS)
         scripts[langs.index(r.lang)] += np.frombuffer(r.scripts, "<i8")
-    return Model(langs, counts, scripts)
+    model = Model(langs, counts, scripts)
+    del counts
+    trim()
+    return model
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH,

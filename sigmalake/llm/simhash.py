@@ -152,7 +152,7 @@ def near_pairs(home: np.ndarray, f: np.ndarray, threshold: int = THRESHOLD, cent
         right.append(j[other])
         n += int(other.sum())
         if n > most:
-            return (_central if central else _trees)(f, threshold)
+            return _central(f, threshold, home) if central else _trees(f, threshold)
     return _joined(left, right)
 
 
@@ -199,8 +199,12 @@ def _shortest(f: np.ndarray, threshold: int) -> Pairs:
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def _central(f: np.ndarray, threshold: int) -> Pairs:
-    """Links within each connected set: all of a small set; of a large one a shortest tree and all to its PIVOTS nearest to the middle."""
+def _central(f: np.ndarray, threshold: int, home: np.ndarray) -> Pairs:
+    """Links within each connected set: all of a small set; of a large one all to its PIVOTS nearest to the middle, and the
+    shortest links of a tree at members that no pivot reaches.
+
+    Only those with a home at one end: any other is met where one of its ends is at home.
+    """
     roots, found = _trees(f, threshold)
     left, right = [], []
     order = np.argsort(roots, kind="stable")
@@ -216,11 +220,15 @@ def _central(f: np.ndarray, threshold: int) -> Pairs:
         left.append(own[pivots[x]])
         right.append(own[y])
         if len(own) > SMALL_SET:
+            reached = np.zeros(len(own), bool)
+            reached[y] = True
             x, y = _shortest(fs, threshold)
-            left.append(own[x])
-            right.append(own[y])
+            some = ~(reached[x] & reached[y])
+            left.append(own[x[some]])
+            right.append(own[y[some]])
     x, y = _joined(left, right)
-    return x[x != y], y[x != y]
+    own = (x != y) & (home[x] | home[y])
+    return x[own], y[own]
 
 
 def _comparer(threshold: int, central: bool):
@@ -294,8 +302,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 WIDTH = 5
 SIMILARITY = 0.8
 #: Members up to which all links of a dense set are listed, and central members of a larger one.
-SMALL_SET = 64
-PIVOTS = 8
+SMALL_SET = 32
+PIVOTS = 3
 #: Seeds of the fingerprints over a text's distinct words, and the bits that they may differ in.
 SEEDS = (42, 43)
 WORD_BITS = 7
@@ -347,8 +355,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Texts with the same words (A-Z lowered) are one. Candidates are those whose
     distinct words' fingerprints differ in at most 7 bits for one of two seeds,
     met by the same anchor covering; each candidate link is then checked
-    exactly. Of a set of over 64 texts within few bits of each other the
-    shortest links and those to its central texts are checked, not all pairs.
+    exactly. Of a set of over 32 texts within few bits of each other the links
+    to its central texts are checked, and the shortest ones of texts that those
+    do not reach, not all pairs.
     Texts without words are alike; shorter ones than five words are one shingle.
     """
     arrow_rows(docs.sparkSession)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, fold_of, table, trim
 
 #: Most labelled rows that the classifier is fitted on, and features that it keeps.
-SAMPLE = 16_000
+SAMPLE = 12_000
 FEATURES = 20_000
 BUCKETS = 1 << 21
 #: Weight of the counterfactual penalty, of the squared weights, and of a toxic row.
@@ -186,8 +186,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     d = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
     # the sample has a bound, so its side is broadcast; order by the texts' features for the same model every time
     got = d.join(F.broadcast(y), "i").select("t", "y").mapInArrow(_examples(groups), "x binary, plus binary, minus binary, y int")
-    rows = sorted((bytes(r.x), bytes(r.plus), bytes(r.minus), r.y) for r in got.limit(2 * sample).toLocalIterator())
-    return fit(rows, fairness)
+    rows = [(bytes(r.x), bytes(r.plus), bytes(r.minus), r.y) for r in got.limit(2 * sample).toLocalIterator()]
+    rows.sort()
+    model = fit(rows, fairness)
+    del rows
+    trim()
+    return model
 
 
 def _scores(weights: dict[int, float], bias: float):
