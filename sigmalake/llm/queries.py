@@ -17,7 +17,5 @@ QUERIES = {
 
 ORACLES = {
     "op1_quality_rules": quality.OP1_SQL,
-    "op3_lm_scores": scoring.op3_lm_scores,
-    "op4_embeddings": embeddings.op4_embeddings,
     "op5_mix_sources": mixing.OP5_SQL,
 }
