@@ -302,8 +302,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 WIDTH = 5
 SIMILARITY = 0.8
 #: Members up to which all links of a dense set are listed, and central members of a larger one.
-SMALL_SET = 32
-PIVOTS = 3
+SMALL_SET = 64
+PIVOTS = 8
 #: Seeds of the fingerprints over a text's distinct words, and the bits that they may differ in.
 SEEDS = (42, 43)
 WORD_BITS = 7
@@ -355,7 +355,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Texts with the same words (A-Z lowered) are one. Candidates are those whose
     distinct words' fingerprints differ in at most 7 bits for one of two seeds,
     met by the same anchor covering; each candidate link is then checked
-    exactly. Of a set of over 32 texts within few bits of each other the links
+    exactly. Of a set of over 64 texts within few bits of each other the links
     to its central texts are checked, and the shortest ones of texts that those
     do not reach, not all pairs.
     Texts without words are alike; shorter ones than five words are one shingle.

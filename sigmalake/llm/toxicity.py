@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, fold_of, table, trim
 
 #: Most labelled rows that the classifier is fitted on, and features that it keeps.
-SAMPLE = 12_000
+SAMPLE = 16_000
 FEATURES = 20_000
 BUCKETS = 1 << 21
 #: Weight of the counterfactual penalty, of the squared weights, and of a toxic row.
