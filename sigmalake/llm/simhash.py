@@ -12,7 +12,6 @@ table grows and finds the same links.
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -304,77 +303,220 @@ SIMILARITY = 0.8
 #: Members up to which all links of a dense set are listed, and central members of a larger one.
 SMALL_SET = 64
 PIVOTS = 8
-#: Seeds of the fingerprints over a text's distinct words, and the bits that they may differ in.
-SEEDS = (42, 43)
-WORD_BITS = 7
+#: Rows counted to find common shingles, which go last in a text's order, and how many of those are kept.
+ORDER_TEXTS = 8_000
+COMMON = 100_000
+#: Bytes of text per bucket of shingles, shingles that a task compares, and members and shingles of a group from which it is split.
+BUCKET_BYTES = 16_000_000
+TASK_SHINGLES = 4_000_000
+GROUP_ROWS = 2_000
+GROUP_SHINGLES = 4_000_000
+PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+
+
+def _shingle_sets(texts):
+    """Of each text: a hash of its word sequence, and the sorted distinct 64-bit hashes of its five-word shingles."""
+    known: dict[bytes, int] = {}
+    for t in texts.cast(pa.binary()):
+        words = (t.as_py() or b"").lower().split()
+        same = xxhash.xxh64_intdigest(b" ".join(words), 7)
+        for w in words:
+            if w not in known:
+                known[w] = xxhash.xxh64_intdigest(w, SEED)
+        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        n = max(1, len(h) - WIDTH + 1)
+        s = np.zeros(n, np.uint64)
+        for k in range(min(WIDTH, len(h))):
+            s += h[k : k + n] * PLACE[k]
+        s ^= s >> np.uint64(31)
+        s *= PLACE[0]
+        yield same, np.unique(s ^ s >> np.uint64(29))
+
+
+def _same(batches):
+    """(doc_id, text) -> a hash of the word sequence."""
+    for b in batches:
+        words = ((t.as_py() or b"").lower().split() for t in b.column(1).cast(pa.binary()))
+        same = np.fromiter((xxhash.xxh64_intdigest(b" ".join(w), 7) for w in words), np.uint64, b.num_rows)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same.view(np.int64))], names=["doc_id", "same"])
+    trim()
 
 
-def _word_marks(batches):
-    """(doc_id, text) -> a hash of the word sequence, and the fingerprints of the set of words."""
-    for b in batches:
-        rows = []
-        for t in b.column(1).cast(pa.binary()):
-            words = (t.as_py() or b"").lower().split()
-            row = [xxhash.xxh64_intdigest(b" ".join(words), 7)]
-            for seed in SEEDS:
-                h = np.array([xxhash.xxh64_intdigest(w, seed) for w in set(words)], np.uint64)
-                counts = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-                row.append(int.from_bytes(np.packbits(2 * counts > len(h), bitorder="little").tobytes(), "little"))
-            rows.append(row)
-        marks = np.array(rows, np.uint64).reshape(-1, 1 + len(SEEDS)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c)) for c in marks.T)], names=["doc_id", "same", *(f"f{k}" for k in range(len(SEEDS)))])
+def _counted(batches):
+    """(text) -> how many texts of these batches hold each shingle."""
+    own = [s for b in batches for _, s in _shingle_sets(b.column(0))]
+    if own:
+        shingle, n = np.unique(np.concatenate(own), return_counts=True)
+        for at in range(0, len(n), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(shingle[at : at + 50_000].view(np.int64)), pa.array(n[at : at + 50_000])], names=["shingle", "n"])
     trim()
 
 
-def _shingles(batches):
-    """(doc_id, text) -> sorted distinct 32-bit hashes of its five-word shingles."""
+def prefix(s: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first of the shingles ``s``, common ones last, of which sets with a similarity of SIMILARITY or more share one at least.
+
+    Any order of all shingles serves, if it is the same for all texts: a set
+    that lost these from another would share less than SIMILARITY of itself.
+    """
+    n = len(s) - int(np.ceil(SIMILARITY * len(s) - 1e-9)) + 1
+    if not len(common):
+        return s[:n]
+    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+    return s[np.argsort(np.where(common[at] == s, rank[at], 0), kind="stable")[:n]]
+
+
+def _prefixes(buckets: int, common: np.ndarray, rank: np.ndarray):
+    """(text) -> per bucket of shingles: those in prefixes, each with its text's hash and size, as bytes."""
+
+    def run(batches):
+        for b in batches:
+            of, size, first = [], [], []
+            for same, s in _shingle_sets(b.column(0)):
+                of.append(same)
+                size.append(len(s))
+                first.append(prefix(s, common, rank))
+            if not of:
+                continue
+            n = [len(f) for f in first]
+            shingle = np.concatenate(first)
+            of, size = np.repeat(np.array(of, np.uint64), n), np.repeat(np.array(size, np.uint32), n)
+            bucket = ((shingle >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            rows = [(k, order[x:y]) for k, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
+            columns = [pa.array([c[o].tobytes() for _, o in rows], pa.binary()) for c in (shingle, of, size)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), *columns], names=["bucket", "shingle", "same", "size"])
+        trim()
+
+    return run
+
+
+def _grouped(t: pa.Table) -> pa.Table:
+    """A bucket of shingles -> (leader, same, size): the texts that share a shingle, under the first of them."""
+    shingle, same, size = (np.frombuffer(b"".join(t.column(c).to_pylist()), d) for c, d in (("shingle", np.uint64), ("same", np.int64), ("size", np.uint32)))
+    order = np.lexsort((same, shingle))
+    shingle, same, size = shingle[order], same[order], size[order]
+    once = np.r_[True, (shingle[1:] != shingle[:-1]) | (same[1:] != same[:-1])]
+    shingle, same, size = shingle[once], same[once], size[once]
+    first = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
+    n = np.diff(np.r_[first, len(shingle)])
+    shared = np.repeat(n > 1, n)
+    leader, same, size = np.repeat(same[first], n)[shared], same[shared], size[shared]
+    order = np.lexsort((same, leader))
+    leader, same, size = leader[order], same[order], size[order]
+    if len(leader):
+        once = np.r_[True, (leader[1:] != leader[:-1]) | (same[1:] != same[:-1])]
+        leader, same, size = leader[once], same[once], size[once]
+    return pa.table({"leader": leader, "same": same, "size": size.astype(np.int64)})
+
+
+def _sets(batches):
+    """(text) -> the hash of its word sequence and its shingles."""
     for b in batches:
-        sets = []
-        for t in b.column(1).cast(pa.binary()):
-            words = (t.as_py() or b"").lower().split()
-            own = {b" ".join(words[i : i + WIDTH]) for i in range(max(1, len(words) - WIDTH + 1))}
-            sets.append(np.unique(np.fromiter((xxhash.xxh32_intdigest(x) for x in own), np.uint32, len(own))).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+        rows = list(_shingle_sets(b.column(0)))
+        same = np.array([x for x, _ in rows], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(same), pa.array([s.tobytes() for _, s in rows], pa.binary())], names=["same", "shingles"])
     trim()
 
 
-def _similar(batches):
-    """(a, b, x, y) -> (a, b) whose shingle sets x and y are similar enough."""
-    for batch in batches:
-        ok = []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            ok.append(both >= SIMILARITY * (len(x) + len(y) - both) - 1e-9)
-        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+def alike(sets: list[np.ndarray]) -> Pairs:
+    """Places (i, j) of links of SIMILARITY or more that connect ``sets`` as all such links do."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    rest = np.argsort(size, kind="stable")
+    _, code, n = np.unique(np.concatenate([sets[k] for k in rest]), return_inverse=True, return_counts=True)
+    of = np.repeat(np.arange(len(sets)), size[rest])
+    some = n[code] > 1  # what one set holds alone is in no overlap
+    code, of = code[some], of[some]
+    off = np.searchsorted(of, np.arange(len(sets) + 1))
+    own = [code[x:y] for x, y in zip(off, off[1:])]
+    of_set = dict(zip(rest.tolist(), own))
+    mark, left, right = np.zeros(len(n), np.int8), [], []
+    while len(rest) > 1:
+        edge, rest, code, off = [int(rest[0])], rest[1:], code[off[1] - off[0] :], off[1:] - off[1]
+        while edge and len(rest):
+            x = edge.pop()
+            sizes = size[rest]
+            a = int(np.searchsorted(sizes, SIMILARITY * size[x] - 1e-6))
+            b = int(np.searchsorted(sizes, size[x] / SIMILARITY + 1e-6, side="right"))
+            if a >= b:
+                continue
+            mark[of_set[x]] = 1
+            held = np.r_[0, np.cumsum(mark[code[off[a] : off[b]]], dtype=np.int64)]
+            mark[of_set[x]] = 0
+            both = held[off[a + 1 : b + 1] - off[a]] - held[off[a:b] - off[a]]
+            found = np.zeros(len(rest), bool)
+            found[a:b] = both >= SIMILARITY * (sizes[a:b] + size[x] - both) - 1e-9
+            if found.any():
+                edge += rest[found].tolist()
+                left.append(np.full(int(found.sum()), x))
+                right.append(rest[found])
+                n = np.diff(off)
+                code = code[np.repeat(~found, n)]
+                rest, off = rest[~found], np.r_[0, np.cumsum(n[~found])]
+    return _joined(left, right)
+
+
+def _compared(t: pa.Table) -> pa.Table:
+    """Groups of texts with their shingles -> (a, b): links that connect each group as all similar pairs do."""
+    leader, x, y, same = (t.column(c).to_numpy() for c in ("leader", "x", "y", "same"))
+    shingles = t.column("shingles").combine_chunks() if t.num_rows else []
+    order = np.lexsort((same, y, x, leader))
+    leader, x, y, same = leader[order], x[order], y[order], same[order]
+    cuts = (np.flatnonzero((np.diff(leader) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)) + 1).tolist()
+    left, right = [], []
+    for a, b in zip([0, *cuts], [*cuts, len(same)]):
+        if b - a > 1:
+            i, j = alike([np.frombuffer(shingles[int(k)].as_buffer(), np.uint64) for k in order[a:b]])
+            left.append(same[a + i])
+            right.append(same[a + j])
+    a, b = _joined(left, right)
+    return pa.table({"a": a, "b": b})
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) of all ids but null: groups linked by a Jaccard similarity of 0.8 or more on five-word shingles.
 
-    Texts with the same words (A-Z lowered) are one. Candidates are those whose
-    distinct words' fingerprints differ in at most 7 bits for one of two seeds,
-    met by the same anchor covering; each candidate link is then checked
-    exactly. Of a set of over 64 texts within few bits of each other the links
-    to its central texts are checked, and the shortest ones of texts that those
-    do not reach, not all pairs.
+    Texts with the same words (A-Z lowered) are one. A set-similarity join that
+    misses no pair: two texts of that similarity share a shingle among the first
+    fifth of each, in one order of all shingles. Texts that share one there go to
+    the group of the first of them, where all sets are compared exactly; a large
+    group is split into a grid, so that each pair still meets. Rows of a group
+    give a tree of links, not pairs. Counts of some texts only choose the order.
     Texts without words are alike; shorter ones than five words are one shingle.
     """
-    arrow_rows(docs.sparkSession)
+    spark = docs.sparkSession
+    arrow_rows(spark)
     d = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    names = [f"f{k}" for k in range(len(SEEDS))]
-    marks = written(d.mapInArrow(_word_marks, "doc_id long, same long, " + ", ".join(f"{f} long" for f in names)), "marks")
-    reps = written(marks.groupBy("same").agg(F.min("doc_id").alias("id"), *(F.first(f).alias(f) for f in names)), "marks")
-    n = reps.count()
-    near = [links(reps.select(F.col(f).alias("fp"), "id"), n, WORD_BITS, central=True) for f in names]
-    pairs = written(reduce(DataFrame.union, near).distinct(), "pairs")
-    named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    own = d.join(small(named), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_shingles, "doc_id long, shingles binary")
-    own = written(own.dropDuplicates(["doc_id"]), "shingles")
-    of = lambda end, as_: own.select(F.col("doc_id").alias(end), F.col("shingles").alias(as_))
-    both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
-    tree = components(both.mapInArrow(_similar, "a long, b long"))
-    root = reps.join(tree, F.col("id") == F.col("node"), "left").select("same", F.coalesce("component", "id").alias("component_id"))
+    marks = written(d.mapInArrow(_same, "doc_id long, same long"), "marks")
+    n, size = d.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    some = d.where(F.pmod(F.xxhash64("doc_id"), F.lit(n // ORDER_TEXTS + 1)) == 0).select("text")
+    counted = some.mapInArrow(_counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 2")
+    often = counted.orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    common, rank = often.column("shingle").to_numpy().view(np.uint64), often.column("n").to_numpy()
+    by = np.argsort(common)
+    buckets = int(size // BUCKET_BYTES) + 1
+    first = d.select("text").mapInArrow(_prefixes(buckets, common[by], rank[by]), "bucket int, shingle binary, same binary, size binary")
+    met = written(first.groupBy("bucket").applyInArrow(_grouped, "leader long, same long, size long").distinct(), "groups")
+    parts = F.ceil(F.greatest(F.count("*") / GROUP_ROWS, F.sum("size") / GROUP_SHINGLES)).cast("int")
+    hot = written(met.groupBy("leader").agg(parts.alias("p")).where("p > 1"), "groups")
+    cells = met.withColumn("x", F.lit(0)).withColumn("y", F.lit(0))
+    if hot.limit(1).count():
+        cells = met.join(small(hot), "leader", "left").withColumn("p", F.coalesce("p", F.lit(1)))
+        # a member of part a goes to the cells (a, b) of all parts b
+        cells = cells.withColumn("part", F.pmod(F.xxhash64("same"), F.col("p")).cast("int"))
+        cells = cells.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
+        cells = cells.select("leader", "same", "size", F.least("part", "with").alias("x"), F.greatest("part", "with").alias("y"))
+    reps = written(marks.groupBy("same").agg(F.min("doc_id").alias("id")), "marks")
+    named = reps.join(small(met.select("same").distinct()), "same", "left_semi").select(F.col("id").alias("doc_id")).distinct()
+    own = d.join(small(written(named, "named")), "doc_id", "left_semi").select("text").mapInArrow(_sets, "same long, shingles binary")
+    own = written(own.dropDuplicates(["same"]), "shingles")
+    total = cells.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    bucket = F.pmod(F.xxhash64("leader", "x", "y"), F.lit(int(total // TASK_SHINGLES) + 1)).cast("int").alias("bucket")
+    both = cells.drop("size").join(own, "same").groupBy(bucket).applyInArrow(_compared, "a long, b long")
+    tree = components(written(both, "pairs"))
+    root = reps.join(tree, F.col("same") == F.col("node"), "left").select("same", "id", F.coalesce("component", "same").alias("root"))
+    ids = root.groupBy("root").agg(F.min("id").alias("component_id"))
+    root = root.select("same", "root").join(ids, "root").select("same", "component_id")
     return marks.join(root, "same").select(F.col("doc_id").alias(id_col), "component_id")
 
 

@@ -77,6 +77,36 @@ def test_similar_groups_against_brute_force(spark, sf):
     assert kept.where("doc_id is null").count() == 1 and simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def pairs_found(spark, pairs):
+    """How many of ``pairs`` of texts are groups of their own."""
+    rows = [(2 * k + end, t) for k, pair in enumerate(pairs) for end, t in enumerate(pair)]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows) and all(c // 2 == i // 2 for i, c in got.items())
+    return sum(got[2 * k + 1] == 2 * k for k in range(len(pairs)))
+
+
+def test_similar_texts_of_one_vocabulary(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    pairs = []
+    for _ in range(150):
+        w = words + [rng.choice(words) for _ in range(240)]
+        rng.shuffle(w)
+        x = list(w)
+        x[rng.randrange(300)] = rng.choice(words)
+        pairs.append((" ".join(w), " ".join(x)))
+    assert pairs_found(spark, pairs) == 150
+    # a group whose members all share a passage, split into a grid
+    passage = " ".join(f"p{i}" for i in range(600))
+    shared = [(f"{passage} {a}", f"{passage} {b}") for a, b in pairs[:60]]
+    rows = [(2 * k + end, t) for k, pair in enumerate(shared) for end, t in enumerate(pair)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(simhash.similar_groups(docs).collect())
+    monkeypatch.setattr(simhash, "GROUP_ROWS", 10)
+    assert sorted(simhash.similar_groups(docs).collect()) == whole
+    assert {r.doc_id: r.component_id for r in whole} == brute_groups([i for i, _ in rows], [t for _, t in rows])
+
+
 def test_links_of_a_dense_group_reach_its_middle():
     rng = random.Random(9)
     base = rng.getrandbits(64)
