@@ -104,14 +104,14 @@ def _linked(unit: np.ndarray, keys: np.ndarray, own: int, part: np.ndarray, cell
         i, j = i[ok], j[ok]
         if not len(i):
             continue
-        # trees: the smallest label spreads over the links of these rows until nothing changes
-        while True:
-            before = root.copy()
-            np.minimum.at(root, j, root[i])
-            np.minimum.at(root, i, root[j])
-            root = root[root]
-            if (root == before).all():
-                break
+        # trees: of two roots that a link joins the larger hangs on the smaller, until no link joins two
+        x, y = root[i], root[j]
+        while len(x := x[some := x != y]):
+            y = y[some]
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (root[root] != root).any():
+                root = root[root]
+            x, y = root[x], root[y]
         met = np.zeros(len(i), bool)
         for t in range(own):
             met |= keys[i, t] == keys[j, t]

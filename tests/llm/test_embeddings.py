@@ -63,3 +63,12 @@ def test_more_vectors_take_more_projections():
     assert embeddings.plan(100)[0] < embeddings.plan(10_000)[0] < embeddings.plan(10**9)[0]
     k, tables = embeddings.plan(5000)
     assert 1 - (1 - embeddings.collision(0.2) ** k) ** tables >= embeddings.RECALL
+
+
+def test_sparse_chains_of_a_large_cell_stay_connected():
+    rng = np.random.default_rng(1)
+    for n in (1400, 2000, 4000):
+        angle = rng.permutation(n) * (2 * np.pi / n)
+        unit = np.stack([np.cos(angle), np.sin(angle)], axis=1)
+        count, root = embeddings._linked(unit, np.zeros((n, 1), np.int64), 0, np.zeros(n, int), (0, 0), np.cos(3.5 * 2 * np.pi / n))
+        assert (count == 6).all() and (root == root[0]).all()
