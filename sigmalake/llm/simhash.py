@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, components, small, table, trim, written
+from .packed import get_sorted, put_sorted
 
 SHINGLE = 4
 SEED = 42
@@ -394,14 +395,15 @@ def _prefixes(buckets: int, common: np.ndarray, rank: np.ndarray):
 def _grouped(t: pa.Table) -> pa.Table:
     """A bucket of shingles -> (leader, same, size): the texts that share a shingle, under the first of them."""
     shingle, same, size = (np.frombuffer(b"".join(t.column(c).to_pylist()), d) for c, d in (("shingle", np.uint64), ("same", np.int64), ("size", np.uint32)))
-    order = np.lexsort((same, shingle))
+    order = np.lexsort((same, size, shingle))
     shingle, same, size = shingle[order], same[order], size[order]
     once = np.r_[True, (shingle[1:] != shingle[:-1]) | (same[1:] != same[:-1])]
     shingle, same, size = shingle[once], same[once], size[once]
-    first = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
+    # similar sets are of similar size: no such pair lies across a gap
+    first = np.flatnonzero(np.r_[True, (shingle[1:] != shingle[:-1]) | (size[:-1] < SIMILARITY * size[1:] - 1e-6)])
     n = np.diff(np.r_[first, len(shingle)])
     shared = np.repeat(n > 1, n)
-    leader, same, size = np.repeat(same[first], n)[shared], same[shared], size[shared]
+    leader, same, size = np.repeat(np.minimum.reduceat(same, first), n)[shared], same[shared], size[shared]
     order = np.lexsort((same, leader))
     leader, same, size = leader[order], same[order], size[order]
     if len(leader):
@@ -411,11 +413,11 @@ def _grouped(t: pa.Table) -> pa.Table:
 
 
 def _sets(batches):
-    """(text) -> the hash of its word sequence and its shingles."""
+    """(text) -> the hash of its word sequence and 32 bits of each shingle."""
     for b in batches:
         rows = list(_shingle_sets(b.column(0)))
         same = np.array([x for x, _ in rows], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(same), pa.array([s.tobytes() for _, s in rows], pa.binary())], names=["same", "shingles"])
+        yield pa.RecordBatch.from_arrays([pa.array(same), pa.array([put_sorted(np.sort(s.astype(np.uint32))) for _, s in rows], pa.binary())], names=["same", "shingles"])
     trim()
 
 
@@ -466,7 +468,7 @@ def _compared(t: pa.Table) -> pa.Table:
     left, right = [], []
     for a, b in zip([0, *cuts], [*cuts, len(same)]):
         if b - a > 1:
-            i, j = alike([np.frombuffer(shingles[int(k)].as_buffer(), np.uint64) for k in order[a:b]])
+            i, j = alike([get_sorted(x, np.uint32, len(x) // 4) for x in shingles.take(pa.array(order[a:b])).to_pylist()])
             left.append(same[a + i])
             right.append(same[a + j])
     a, b = _joined(left, right)
@@ -509,10 +511,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     reps = written(marks.groupBy("same").agg(F.min("doc_id").alias("id")), "marks")
     named = reps.join(small(met.select("same").distinct()), "same", "left_semi").select(F.col("id").alias("doc_id")).distinct()
     own = d.join(small(written(named, "named")), "doc_id", "left_semi").select("text").mapInArrow(_sets, "same long, shingles binary")
-    own = written(own.dropDuplicates(["same"]), "shingles")
+    if marks.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        own = own.dropDuplicates(["same"])
     total = cells.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     bucket = F.pmod(F.xxhash64("leader", "x", "y"), F.lit(int(total // TASK_SHINGLES) + 1)).cast("int").alias("bucket")
-    both = cells.drop("size").join(own, "same").groupBy(bucket).applyInArrow(_compared, "a long, b long")
+    both = own.join(small(cells.drop("size")), "same").groupBy(bucket).applyInArrow(_compared, "a long, b long")
     tree = components(written(both, "pairs"))
     root = reps.join(tree, F.col("same") == F.col("node"), "left").select("same", "id", F.coalesce("component", "same").alias("root"))
     ids = root.groupBy("root").agg(F.min("id").alias("component_id"))
