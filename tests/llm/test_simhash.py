@@ -107,6 +107,20 @@ def test_similar_texts_of_one_vocabulary(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in whole} == brute_groups([i for i, _ in rows], [t for _, t in rows])
 
 
+@pytest.mark.parametrize("words, appended, replaced", [(60, 13, 0), (150, 36, 0), (400, 98, 0), (150, 0, 11), (400, 0, 40)])
+def test_passages_appended_or_replaced_near_the_threshold(spark, words, appended, replaced):
+    rng = random.Random(words + appended)
+    word = lambda: f"v{rng.randrange(1 << 40)}"
+    pairs = []
+    for _ in range(100):
+        w = [word() for _ in range(words)]
+        at = rng.randrange(5, words - replaced - 5)
+        x = w[:at] + [word() for _ in range(replaced)] + w[at + replaced :] + [word() for _ in range(appended)]
+        pairs.append((" ".join(w), " ".join(x)))
+    assert brute_groups([0, 1], pairs[0]) == {0: 0, 1: 0}
+    assert pairs_found(spark, pairs) == 100
+
+
 def test_links_of_a_dense_group_reach_its_middle():
     rng = random.Random(9)
     base = rng.getrandbits(64)
