@@ -31,13 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where that is unset and all run in one process."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
     known = sc._jsc.sc().getCheckpointDir()
     if not known.isDefined():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="sigmalake-"))
         known = sc._jsc.sc().getCheckpointDir()
     return known.get()
@@ -51,12 +53,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a ``written`` table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for name in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(name).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of ``written`` tables that nothing reads any more."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        for name in df.inputFiles()[:1]:
+            path = sc._jvm.org.apache.hadoop.fs.Path(name).getParent()
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Bytes up to which a side of a join may be broadcast, by ``small``.
@@ -73,10 +76,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Large-star and small-star steps in turn, each one shuffle on a node with
     map-side pre-aggregation of the minima, until nothing changes. Every round
-    is written to the shared folder, which also cuts the lineage. Null ends
-    are dropped; an empty input gives an empty result.
+    is written to the shared folder, which also cuts the lineage, and the one
+    before it deleted. Null ends are dropped; an empty input gives an empty
+    result.
     """
-    spark = edges.sparkSession
     e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     e = e.where("a is not null and b is not null")
     ids = written(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
@@ -92,10 +95,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.union(down.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         new = written(small, "links")
-        left = new.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-        chained = new.select(F.col("a").alias("b")).join(new, "b", "left_semi").limit(1).count() if not left else 1
+        dropped(least, *[e] * (e is not ids))
         e = new
-        if not left and not chained:
+        # settled: every node points to one other, which points to none
+        several = e.groupBy("a").count().where("count > 1").select("a")
+        chained = e.select(F.col("b").alias("a")).join(e, "a", "left_semi")
+        if several.union(chained).isEmpty():
             break
     else:
         raise RuntimeError("components did not settle")

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import small, table, words_of, written
 
+#: Slices of a source's ranks and parts of its sums at least, and rows of the table for each slice beyond.
 SLICES = 1024
+SLICE_ROWS = 1 << 20
 #: Weights by the source's place in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -51,33 +53,37 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-        preference: str | None = None, seed: int = 7, weights=WEIGHTS, share: float = SHARE) -> DataFrame:
-    """One row per row of ``docs``: id, source, size, source_size, target, copies, taken.
+        preference: str | None = None, seed: int = 7, weights=WEIGHTS, share: float = SHARE, row_col: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: id, source, size, source_size, target, copies, taken[, row_col].
 
     ``copies`` is 0, 1 or 2 and ``taken`` = copies x size. Null texts have size
     0 and are never taken twice; a null source is a source of its own, last in
-    order. Rows that repeat an id draw the same random number and are told
-    apart by their order in the slice. ``preference`` names a column of
-    relative inclusion weights (null: 1), which makes probabilities unequal
+    order. Rows that repeat an id draw the same random number, and so do rows
+    without an id whose texts are equal; among those of one size, which ones
+    are taken follows their place in the table. ``preference`` names a column
+    of relative inclusion weights (null: 1), which makes probabilities unequal
     within a source too; otherwise they differ between sources only. The same
     seed and rows give the same mix whatever the partitioning. An empty table
-    gives an empty result.
+    gives an empty result. ``row_col`` names a column to carry along.
     """
     like = F.coalesce(F.col(preference).cast("double"), F.lit(1.0)) if preference else F.lit(1.0)
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.xxhash64(F.col(text_col)).cast("string")))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), name))
     unit = (F.conv(F.substring(key, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     source = F.col(source_col).cast("string")
+    own = [F.col(row_col).alias("row")] if row_col else []
     d = docs.select(
         F.col(id_col).alias("id"), source.alias("source"), F.coalesce(F.concat(F.lit("s"), source), F.lit("n")).alias("key"),
-        F.size(words_of(F.col(text_col))).cast("long").alias("size"), like.alias("like"), unit.alias("u"),
+        F.size(words_of(F.col(text_col))).cast("long").alias("size"), like.alias("like"), unit.alias("u"), F.monotonically_increasing_id().alias("uid"), *own,
     )
-    d = d.withColumn("part", F.floor(F.col("u") * SLICES)).checkpoint()  # texts are read once; this is a few numbers a row
+    d = written(d.withColumn("part", F.pmod(F.xxhash64("uid"), F.lit(SLICES)).cast("int")), "sizes")  # texts are read once; this is a few numbers a row
+    slices = max(SLICES, d.count() // SLICE_ROWS)
     # partial sums per part first: a hot source meets as at most SLICES rows
     parts = d.groupBy("key", "source", "part").agg(F.sum("size").alias("size"), F.sum(F.col("size") * F.col("like")).alias("liked"))
     sizes = parts.groupBy("key", "source").agg(F.sum("size").alias("source_size"), F.sum("liked").alias("liked"))
     goal = targets(sizes, weights, share).select("key", "source_size", "target", "liked")
     goal = parts.select("key", "part").join(goal, "key")  # a row per source and part: the big join below has no hot key
-    d = d.join(goal, ["key", "part"]).drop("part")
+    d = d.join(goal, ["key", "part"])
     rate = F.least(F.try_divide(F.col("target") * F.col("like"), F.col("liked")), F.lit(float(MAX_COPIES)))
     d = d.withColumn("rate", F.coalesce(rate, F.lit(0.0))).withColumn("sure", F.floor(F.col("rate") + 1e-9))
     d = d.withColumn("p", F.greatest(F.col("rate") - F.col("sure"), F.lit(0.0)))
@@ -89,8 +95,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     even = F.greatest(F.least(even, F.lit(1 - 1e-6)), F.lit(1e-6))
     spread = F.col("odds") * (even / (1 - even))
     # a slice below 0 where nothing is left to draw
-    drawn_slice = F.least(F.floor(spread / (1 + spread) * SLICES), F.lit(SLICES - 1))  # least() passes over nulls
-    d = d.withColumn("slice", F.when(F.col("odds").isNotNull(), drawn_slice).otherwise(-1 - F.floor(F.col("u") * SLICES)))
+    drawn_slice = F.least(F.floor(spread / (1 + spread) * slices), F.lit(slices - 1))  # least() passes over nulls
+    d = d.withColumn("slice", F.when(F.col("odds").isNotNull(), drawn_slice).otherwise(-1 - F.col("part")))
     # words of each slice and, in every slice, the words of the slices before it
     drawn = F.sum(F.when(F.col("slice") >= 0, F.col("size")).otherwise(0))
     per = d.groupBy("key", "target", "slice").agg(drawn.alias("drawn"), F.sum(F.col("size") * F.col("sure")).alias("certain"))
@@ -103,32 +109,65 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     d = d.join(per, ["key", "slice"])
     # only the slice in which a target ends needs an order within it
     edge = (F.col("slice") >= 0) & (F.col("before") < F.col("rest")) & (F.col("before") + F.col("drawn") > F.col("rest"))
-    d = d.withColumn("edge", edge)
-    order = W.partitionBy("key", "slice").orderBy("odds", F.col("id").asc_nulls_last(), "size")
-    upto = F.col("before") + F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0))
-    # the document at the end is taken if that comes nearer to the target
-    inside = d.where("edge").withColumn("upto", upto)
-    inside = inside.withColumn("extra", (F.col("upto") - F.col("size") / 2 <= F.col("rest")).cast("long"))
+    d = d.withColumn("edge", edge).withColumn("same", F.xxhash64("id", "u"))
     clear = (F.col("slice") >= 0) & (F.col("before") + F.col("drawn") <= F.col("rest"))
-    out = inside.drop("upto").unionByName(d.where("not edge").withColumn("extra", clear.cast("long")))
+    out = d.where("not edge").withColumn("extra", clear.cast("long")).unionByName(_ended(d.where("edge")))
     copies = (F.col("sure") + F.col("extra")).cast("long")
     return out.select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target",
-        copies.alias("copies"), (copies * F.col("size")).alias("taken"),
+        copies.alias("copies"), (copies * F.col("size")).alias("taken"), *([F.col("row").alias(row_col)] if row_col else []),
     )
 
 
+def _ended(edge: DataFrame) -> DataFrame:
+    """Rows of the slices in which a target ends, with ``extra``: 1 for those taken before it ends, in the order of their odds.
+
+    Rows that drew the same number and have the same size are one class, so that
+    an id with a third of all rows is one row in the order. The few classes in
+    which a target ends are numbered by pieces of the table.
+    """
+    edge = written(edge, "edge")
+    of = ["key", "slice", "odds", "same", "size"]
+    n = edge.groupBy(*of, "before", "rest").agg(F.count("*").alias("n"))
+    order = W.partitionBy("key", "slice").orderBy("odds", "same", "size").rowsBetween(W.unboundedPreceding, -1)
+    ahead = F.col("before") + F.coalesce(F.sum(F.col("n") * F.col("size")).over(order), F.lit(0))
+    # the document at the end is taken if that comes nearer to the target
+    fits = F.floor((F.col("rest") - ahead) / F.col("size") + 0.5)
+    n = written(n.select(*of, "n", F.greatest(F.lit(0), F.least(F.col("n"), fits)).cast("long").alias("taken")), "edge")
+    d = edge.join(n, of)
+    extra = F.when(F.col("taken") == F.col("n"), 1).otherwise(0).cast("long")
+    clear = d.where("taken = 0 or taken = n").withColumn("extra", extra)
+    some = n.where("taken > 0 and taken < n")
+    if not some.limit(1).count():
+        return clear.drop("n", "taken")
+    # a class is numbered by its pieces: rows of a piece first, then pieces
+    d = edge.join(some, of).withColumn("piece", F.shiftright("uid", 20))
+    pieces = d.groupBy(*of, "piece").agg(F.count("*").alias("rows"))
+    ahead = F.sum("rows").over(W.partitionBy(*of).orderBy("piece").rowsBetween(W.unboundedPreceding, -1))
+    pieces = pieces.select(*of, "piece", F.coalesce(ahead, F.lit(0)).alias("ahead"))
+    place = F.row_number().over(W.partitionBy(*of, "piece").orderBy("uid"))
+    d = d.withColumn("place", place).join(pieces, [*of, "piece"])
+    d = d.withColumn("extra", (F.col("ahead") + F.col("place") <= F.col("taken")).cast("long"))
+    return clear.unionByName(d.drop("piece", "ahead", "place")).drop("n", "taken")
+
+
 def resample(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs``, all columns as they are, each as many times as ``mix`` takes it.
 
-    Rows that repeat an id, and rows without one, draw the same number; each is
-    taken as often as the one of them that is taken most.
+    Rows are told apart by their id; where an id is null or repeats, by a number
+    given to each, for which the table is written once more.
     """
-    copies = mix(docs, id_col, source_col, text_col, **how).where("copies > 0")
-    copies = written(copies.groupBy(F.col(id_col).alias("_id")).agg(F.max("copies").alias("_copies")), "copies")
-    both = docs.join(small(copies), F.col(id_col).eqNullSafe(F.col("_id")))
-    times = F.sequence(F.lit(1), F.col("_copies").cast("int"))
-    return both.select(*[F.col(c) for c in docs.columns], F.explode(times).alias("_n")).select(docs.columns)
+    columns = docs.columns
+    own = "_" * (1 + max(map(len, columns)))  # longer than any column of the table
+    ids = docs.groupBy(id_col).agg(F.count("*").alias(own)).where(F.col(id_col).isNull() | (F.col(own) > 1))
+    key, row = id_col, None
+    if not ids.isEmpty():
+        key = row = own + "row"
+        docs = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    copies = mix(docs, id_col, source_col, text_col, row_col=row, **how).where("copies > 0")
+    copies = written(copies.select(F.col(key).alias(own + "of"), F.col("copies").cast("int").alias(own + "copies")), "copies")
+    both = docs.join(small(copies), F.col(key) == F.col(own + "of"))
+    return both.select(*columns, F.explode(F.sequence(F.lit(1), F.col(own + "copies"))).alias(own)).select(columns)
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

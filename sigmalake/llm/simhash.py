@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import arrow_rows, components, small, table, trim, written
 from .packed import get_sorted, put_sorted
@@ -131,13 +132,11 @@ def _routed(exact: int):
 Pairs = tuple[np.ndarray, np.ndarray]
 
 
-def near_pairs(home: np.ndarray, f: np.ndarray, threshold: int = THRESHOLD, central: bool = False) -> Pairs:
+def near_pairs(home: np.ndarray, f: np.ndarray, threshold: int = THRESHOLD) -> Pairs:
     """Places (i, j) of links that join what is within ``threshold`` bits among ``f``, one end being a ``home``.
 
     Few links are returned as they are; of many, only a tree over each set that
-    they connect, which takes near-linear time where a set is dense. With
-    ``central`` a tree of the shortest links, and the links to the most central
-    members, or all links of a small set.
+    they connect, which takes near-linear time where a set is dense.
     """
     left, right, n = [], [], 0
     homes = np.flatnonzero(home)
@@ -152,7 +151,7 @@ def near_pairs(home: np.ndarray, f: np.ndarray, threshold: int = THRESHOLD, cent
         right.append(j[other])
         n += int(other.sum())
         if n > most:
-            return _central(f, threshold, home) if central else _trees(f, threshold)
+            return _trees(f, threshold)
     return _joined(left, right)
 
 
@@ -182,56 +181,7 @@ def _trees(f: np.ndarray, threshold: int) -> Pairs:
     return _joined(left, right)
 
 
-def _shortest(f: np.ndarray, threshold: int) -> Pairs:
-    """Minimum spanning forest over links within the threshold: the nearest to what is joined comes next."""
-    left, right = [], []
-    rest, bits, by = np.arange(1, len(f)), np.bitwise_count(f[1:] ^ f[0]), np.zeros(len(f) - 1, np.int64)
-    while len(rest):
-        k = int(bits.argmin())
-        x = rest[k]
-        if bits[k] <= threshold:
-            left.append(by[k])
-            right.append(x)
-        rest, bits, by = np.delete(rest, k), np.delete(bits, k), np.delete(by, k)
-        own = np.bitwise_count(f[rest] ^ f[x])
-        closer = own < bits
-        bits[closer], by[closer] = own[closer], x
-    return np.array(left, np.int64), np.array(right, np.int64)
-
-
-def _central(f: np.ndarray, threshold: int, home: np.ndarray) -> Pairs:
-    """Links within each connected set: all of a small set; of a large one all to its PIVOTS nearest to the middle, and the
-    shortest links of a tree at members that no pivot reaches.
-
-    Only those with a home at one end: any other is met where one of its ends is at home.
-    """
-    roots, found = _trees(f, threshold)
-    left, right = [], []
-    order = np.argsort(roots, kind="stable")
-    roots, found = roots[order], found[order]
-    cuts = np.flatnonzero(np.r_[True, roots[1:] != roots[:-1]]).tolist() if len(roots) else []
-    for i, j in zip(cuts, [*cuts[1:], len(roots)]):
-        own = np.append(found[i:j], roots[i])
-        fs = f[own]
-        bits = np.unpackbits(fs.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        middle = np.packbits(2 * bits > len(own), bitorder="little").view(np.uint64)[0]
-        pivots = np.arange(len(own)) if len(own) <= SMALL_SET else np.argsort(np.bitwise_count(fs ^ middle), kind="stable")[:PIVOTS]
-        x, y = np.nonzero(np.bitwise_count(fs[pivots][:, None] ^ fs[None, :]) <= threshold)
-        left.append(own[pivots[x]])
-        right.append(own[y])
-        if len(own) > SMALL_SET:
-            reached = np.zeros(len(own), bool)
-            reached[y] = True
-            x, y = _shortest(fs, threshold)
-            some = ~(reached[x] & reached[y])
-            left.append(own[x[some]])
-            right.append(own[y[some]])
-    x, y = _joined(left, right)
-    own = (x != y) & (home[x] | home[y])
-    return x[own], y[own]
-
-
-def _comparer(threshold: int, central: bool):
+def _comparer(threshold: int):
     def run(t: pa.Table) -> pa.Table:
         key, fp, of, home = (t.column(c).to_numpy() for c in ("key", "fp", "id", "home"))
         order = np.argsort(key, kind="stable")
@@ -240,7 +190,7 @@ def _comparer(threshold: int, central: bool):
         left, right = [], []
         for a, b in zip([0, *cuts], [*cuts, len(key)]):
             if b - a > 1 and home[a:b].any():
-                x, y = near_pairs(home[a:b], fp[a:b], threshold, central)
+                x, y = near_pairs(home[a:b], fp[a:b], threshold)
                 left.append(of[a + x])
                 right.append(of[a + y])
         x, y = _joined(left, right)
@@ -250,7 +200,7 @@ def _comparer(threshold: int, central: bool):
     return run
 
 
-def links(fps: DataFrame, n: int, threshold: int = THRESHOLD, central: bool = False) -> DataFrame:
+def links(fps: DataFrame, n: int, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b): links between ids that connect the ``n`` rows (fp, id) as all links within the threshold do.
 
     Up to twice the blocks less one, 7 bits, four blocks meet every link; the
@@ -276,7 +226,7 @@ def links(fps: DataFrame, n: int, threshold: int = THRESHOLD, central: bool = Fa
         as_other = rows.select("key", "fp", "id", F.lit(False).alias("home"), F.explode(all_of("hs")).alias("i"), one("rs").alias("j"))
         rows = as_home.union(as_other).select(F.xxhash64("key", "i", "j").alias("key"), "fp", "id", "home")
     bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")
-    return rows.groupBy(bucket.alias("bucket")).applyInArrow(_comparer(threshold, central), "a long, b long")
+    return rows.groupBy(bucket.alias("bucket")).applyInArrow(_comparer(threshold), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -301,9 +251,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 WIDTH = 5
 SIMILARITY = 0.8
-#: Members up to which all links of a dense set are listed, and central members of a larger one.
-SMALL_SET = 64
-PIVOTS = 8
 #: Rows counted to find common shingles, which go last in a text's order, and how many of those are kept.
 ORDER_TEXTS = 8_000
 COMMON = 100_000
@@ -475,15 +422,52 @@ def _compared(t: pa.Table) -> pa.Table:
     return pa.table({"a": a, "b": b})
 
 
+def _parts(members: DataFrame) -> DataFrame:
+    """Cells of large groups: each part of a group, with the group's leader in all."""
+    columns = ("leader", "same", "size", F.col("part").alias("x"), F.col("part").alias("y"))
+    led = members.where("same = leader").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
+    return members.where("same <> leader").select(*columns).union(led.select(*columns))
+
+
+def _strangers(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Cells in which members of large groups that are not linked with most of their group meet all of it.
+
+    In a group of copies these are few, so that its rows do not grow with its square.
+    """
+    m = members.join(classes, F.col("same") == F.col("node"), "left").withColumn("class", F.coalesce("component", "same"))
+    m = written(m.select("leader", "same", "size", "p", "part", "class"), "members")
+    n = m.groupBy("leader", "class").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    most = F.max_by("class", F.struct("n", "class"))
+    chunks = F.ceil(F.greatest((F.sum("n") - F.max("n")) / GROUP_ROWS, (F.sum("s") - F.max_by("s", F.struct("n", "class"))) / GROUP_SHINGLES))
+    per = written(n.groupBy("leader").agg(most.alias("most"), chunks.cast("int").alias("chunks")).where("chunks > 0"), "members")
+    m = m.join(small(per), "leader")
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    few = m.where("class <> most").withColumn("x", F.pmod(F.xxhash64("same", "leader"), F.col("chunks")).cast("int")).withColumn("y", upto("p"))
+    every = m.withColumn("x", upto("chunks")).withColumn("y", F.col("part"))
+    columns = ("leader", "same", "size", "x", "y")
+    return few.select(*columns).union(every.select(*columns)).distinct()
+
+
+def _met(own: DataFrame, cells: DataFrame) -> DataFrame:
+    """Links (a, b) of the texts that meet in ``cells`` (leader, same, size, x, y); ``own`` has their sets."""
+    total = cells.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    bucket = F.pmod(F.xxhash64("leader", "x", "y"), F.lit(int(total // TASK_SHINGLES) + 1)).cast("int").alias("bucket")
+    return written(own.join(small(cells.drop("size")), "same").groupBy(bucket).applyInArrow(_compared, "a long, b long"), "pairs")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of all ids but null: groups linked by a Jaccard similarity of 0.8 or more on five-word shingles.
+    """(id, same, component_id, first) of all rows with an id: groups linked by a Jaccard similarity of 0.8 or more on five-word shingles.
+
+    ``same`` is a hash of the row's words and ``component_id`` the smallest id of
+    its group; ``first`` is the least hash of the group's rows with that id.
 
     Texts with the same words (A-Z lowered) are one. A set-similarity join that
     misses no pair: two texts of that similarity share a shingle among the first
     fifth of each, in one order of all shingles. Texts that share one there go to
-    the group of the first of them, where all sets are compared exactly; a large
-    group is split into a grid, so that each pair still meets. Rows of a group
-    give a tree of links, not pairs. Counts of some texts only choose the order.
+    the group of the first of them, where all sets are compared exactly. A large
+    group is compared in parts first; then those not linked with most of it meet
+    all of it, in a grid of cells. Rows of a group give a tree of links, not
+    pairs. Counts of some texts only choose the order.
     Texts without words are alike; shorter ones than five words are one shingle.
     """
     spark = docs.sparkSession
@@ -501,39 +485,62 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     met = written(first.groupBy("bucket").applyInArrow(_grouped, "leader long, same long, size long").distinct(), "groups")
     parts = F.ceil(F.greatest(F.count("*") / GROUP_ROWS, F.sum("size") / GROUP_SHINGLES)).cast("int")
     hot = written(met.groupBy("leader").agg(parts.alias("p")).where("p > 1"), "groups")
-    cells = met.withColumn("x", F.lit(0)).withColumn("y", F.lit(0))
-    if hot.limit(1).count():
-        cells = met.join(small(hot), "leader", "left").withColumn("p", F.coalesce("p", F.lit(1)))
-        # a member of part a goes to the cells (a, b) of all parts b
-        cells = cells.withColumn("part", F.pmod(F.xxhash64("same"), F.col("p")).cast("int"))
-        cells = cells.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
-        cells = cells.select("leader", "same", "size", F.least("part", "with").alias("x"), F.greatest("part", "with").alias("y"))
+    split = not hot.isEmpty()
+    cells = met.join(small(hot), "leader", "left_anti") if split else met
+    cells = cells.select("leader", "same", "size", F.lit(0).alias("x"), F.lit(0).alias("y"))
     reps = written(marks.groupBy("same").agg(F.min("doc_id").alias("id")), "marks")
     named = reps.join(small(met.select("same").distinct()), "same", "left_semi").select(F.col("id").alias("doc_id")).distinct()
     own = d.join(small(written(named, "named")), "doc_id", "left_semi").select("text").mapInArrow(_sets, "same long, shingles binary")
     if marks.groupBy("doc_id").count().where("count > 1").limit(1).count():
         own = own.dropDuplicates(["same"])
-    total = cells.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    bucket = F.pmod(F.xxhash64("leader", "x", "y"), F.lit(int(total // TASK_SHINGLES) + 1)).cast("int").alias("bucket")
-    both = own.join(small(cells.drop("size")), "same").groupBy(bucket).applyInArrow(_compared, "a long, b long")
-    tree = components(written(both, "pairs"))
+    if not split:
+        tree = components(_met(own, cells))
+    else:
+        own = written(own, "sets")
+        members = met.join(small(hot), "leader").withColumn("part", F.pmod(F.xxhash64("same"), F.col("p")).cast("int"))
+        classes = written(components(_met(own, cells.unionByName(_parts(members)))), "classes")
+        rest = written(_strangers(members, classes), "cells")
+        tree = components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).union(_met(own, rest)))
     root = reps.join(tree, F.col("same") == F.col("node"), "left").select("same", "id", F.coalesce("component", "same").alias("root"))
-    ids = root.groupBy("root").agg(F.min("id").alias("component_id"))
-    root = root.select("same", "root").join(ids, "root").select("same", "component_id")
-    return marks.join(root, "same").select(F.col("doc_id").alias(id_col), "component_id")
+    least = root.groupBy("root").agg(F.min(F.struct("id", "same")).alias("least"))
+    root = root.select("same", "root").join(least, "root").select("same", F.col("least.id").alias("component_id"), F.col("least.same").alias("first"))
+    return marks.join(root, "same").select(F.col("doc_id").alias(id_col), "same", "component_id", "first")
+
+
+def _with_same(text_at: int, name: str):
+    """Rows with a hash of their word sequence as one more column."""
+
+    def run(batches):
+        for b in batches:
+            texts = pa.RecordBatch.from_arrays([b.column(text_at), b.column(text_at)], names=["id", "text"])
+            same = next(_same([texts])).column(1)
+            yield pa.RecordBatch.from_arrays([*b.columns, same], names=[*b.schema.names, name])
+
+    return run
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, without those whose group of similar texts has a smaller id.
+    """The rows of ``docs``, all columns as they are, without those whose group of similar texts has a row that comes first.
 
-    Of rows that repeat an id one stays; rows with a null id stay.
+    The smallest id comes first; of rows that repeat it, the one whose words,
+    then whose columns, have the least hash. So rows that repeat an id stay if
+    their texts are not similar. Rows with a null id stay.
     """
     found = written(similar_groups(docs, id_col, text_col), "components")
-    lost = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    kept = docs.join(small(written(lost, "lost")), id_col, "left_anti").select(docs.columns)
-    if found.groupBy(id_col).count().where("count > 1").limit(1).count():
-        kept = kept.where(F.col(id_col).isNull()).unionByName(kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
-    return kept
+    if found.groupBy(id_col).count().where("count > 1").isEmpty():
+        lost = found.where(F.col(id_col) != F.col("component_id")).select(id_col)
+        return docs.join(small(written(lost, "lost")), id_col, "left_anti").select(docs.columns)
+    columns = docs.columns
+    own = "_" * (1 + max(map(len, columns)))  # longer than any column of the table
+    same, row = own + "same", own + "row"
+    known = docs.where(F.col(id_col).isNotNull())
+    known = known.mapInArrow(_with_same(columns.index(text_col), same), StructType([*docs.schema.fields, StructField(same, LongType())]))
+    stay = written(found.select(F.col("component_id").alias(id_col), F.col("first").alias(same)).distinct(), "kept")
+    known = known.join(small(stay), [id_col, same], "left_semi").withColumn(row, F.xxhash64(*columns))
+    known = written(known, "kept")
+    least = known.groupBy(id_col, same).agg(F.min(row).alias(row))
+    known = known.join(least, [id_col, same, row], "left_semi").dropDuplicates([id_col, same])
+    return known.select(columns).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

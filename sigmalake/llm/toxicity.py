@@ -4,8 +4,9 @@ Features are the presence of lower-cased letter runs and of their first four
 and five bytes, hashed. The loss adds, for labelled texts, the squared change of
 the score when identity terms in them are swapped for others of their group, or
 a neutral mention of one is put in; so the model learns to ignore who is spoken
-of. It is fitted on at most ``SAMPLE`` labelled rows, chosen by a hash of their
-id; texts are scored in one pass without a shuffle.
+of. It is fitted on at most ``SAMPLE`` labelled ids, chosen by a hash, in one
+task of an executor; only the weights come to the driver. Texts are scored in
+one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, fold_of, table, trim
+from .common import arrow_rows, dropped, fold_of, table, trim, written
 
 #: Most labelled rows that the classifier is fitted on, and features that it keeps.
 SAMPLE = 16_000
@@ -79,12 +80,13 @@ def _examples(groups):
     def run(batches):
         for b in batches:
             rows = []
-            for t in b.column(0).cast(pa.binary()):
+            for t in b.column(2).cast(pa.binary()):
                 words = set((t.as_py() or b"").translate(LETTERS).split())
                 x, y = features(words), features(counterfactual(words, groups))
                 rows.append((np.array(sorted(x), "<u4").tobytes(), np.array(sorted(y - x), "<u4").tobytes(), np.array(sorted(x - y), "<u4").tobytes()))
             columns = [pa.array(c, pa.binary()) for c in zip(*rows)] if rows else [pa.array([], pa.binary())] * 3
-            yield pa.RecordBatch.from_arrays([*columns, b.column(1)], names=["x", "plus", "minus", "y"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns, b.column(3)], names=["i", "h", "x", "plus", "minus", "y"])
+        trim()
 
     return run
 
@@ -176,22 +178,45 @@ def fit(examples: list, fairness: float = FAIRNESS, steps: int = 250) -> Model:
     return Model({int(k): float(x) for k, x in zip(keep[big], w[big])}, bias)
 
 
+def _fitted(fairness: float):
+    """All examples, in one task -> (feature, weight) of the model fitted on them; feature -1 is the bias."""
+
+    def run(batches):
+        rows = [r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(4)))]
+        rows.sort()
+        model = fit(rows, fairness)
+        features, weights = [-1, *model.weights], [model.bias, *model.weights.values()]
+        del rows, model
+        trim()
+        yield pa.RecordBatch.from_arrays([pa.array(features, pa.int64()), pa.array(weights, pa.float64())], names=["feature", "weight"])
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
           sample: int = SAMPLE, groups=IDENTITY, fairness: float = FAIRNESS) -> Model:
-    """The classifier, from labelled rows outside fold 0, at most ``sample`` of them (the least hashes of the id)."""
+    """The classifier, from labelled ids outside fold 0, at most ``sample`` of them (the least hashes of the id).
+
+    An id counts as toxic if any of its labels is. Of rows that repeat an id the
+    text with the least hash is learned from, so the same rows give the same
+    model whatever their order and partitioning. Without rows to learn from, or
+    with labels of one kind only, all texts get one score.
+    """
     arrow_rows(docs.sparkSession)
     y = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     y = y.groupBy(F.col(id_col).cast("long").alias("i")).agg((F.max(label_col) > 0).cast("int").alias("y")).where(fold_of(F.col("i")) != 0)
     y = y.orderBy(F.xxhash64("i"), "i").limit(sample)
     d = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
-    # the sample has a bound, so its side is broadcast; order by the texts' features for the same model every time
-    got = d.join(F.broadcast(y), "i").select("t", "y").mapInArrow(_examples(groups), "x binary, plus binary, minus binary, y int")
-    rows = [(bytes(r.x), bytes(r.plus), bytes(r.minus), r.y) for r in got.limit(2 * sample).toLocalIterator()]
-    rows.sort()
-    model = fit(rows, fairness)
-    del rows
-    trim()
-    return model
+    # the sample has a bound, so its side is broadcast
+    own = d.join(F.broadcast(y), "i").select("i", F.xxhash64("t").alias("h"), F.coalesce("t", F.lit("")).alias("t"), "y")
+    own = own.mapInArrow(_examples(groups), "i long, h long, x binary, plus binary, minus binary, y int")
+    one = own.groupBy("i").agg(F.min(F.struct("h", "x", "plus", "minus", "y")).alias("r")).select("r.x", "r.plus", "r.minus", "r.y")
+    examples = written(one, "examples")
+    found = examples.coalesce(1).mapInArrow(_fitted(fairness), "feature long, weight double").collect()  # at most FEATURES + 1 rows
+    dropped(examples)
+    weights = {r.feature: r.weight for r in found}
+    bias = weights.pop(-1, 0.0)
+    return Model(weights, bias)
 
 
 def _scores(weights: dict[int, float], bias: float):

@@ -72,6 +72,25 @@ def test_mixing_reaches_targets(spark, sf, odd):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_of_repeated_rows_and_null_ids(spark):
+    rows = [(7, "a b c", "s")] * 900 + [(7, "d e", "s")] * 20 + [(None, "x y", "s")] * 300 + [(None, f"n{k} z", "s") for k in range(200)] + [(k + 10, "p q r s", "s") for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_copies", F.lit(1)).withColumn("copies", F.lit("x"))
+    m = mixing.mix(docs, share=0.43).toPandas()
+    assert len(m) == len(rows) and set(m.copies) == {0, 1}
+    assert abs(m.taken.sum() - m.target[0]) <= 2
+    again = mixing.mix(docs.repartition(7), share=0.43).toPandas()
+    count = lambda d: Counter(zip(d.doc_id.fillna(-1), d["size"], d.copies))
+    assert count(m) == count(again)
+    taken = mixing.resample(docs, share=0.43)
+    assert taken.columns == docs.columns
+    words = sum(len(r.text.split()) for r in taken.collect())
+    assert words == m.taken.sum()
+    # classes in which a target ends, taken row by row
+    for share in (0.1, 0.83):
+        m = mixing.mix(docs, share=share).toPandas()
+        assert abs(m.taken.sum() - m.target[0]) <= 2
+
+
 def test_mixing_preference_makes_unequal_odds(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"), (1 + F.col("id") % 2 * 2).cast("double").alias("like"))
     m = mixing.mix(docs, preference="like", share=0.4).toPandas()

@@ -107,6 +107,20 @@ def test_similar_texts_of_one_vocabulary(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in whole} == brute_groups([i for i, _ in rows], [t for _, t in rows])
 
 
+def test_rows_that_repeat_an_id(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, long, "b", 0), (1, long, "a", 0), (1, "something else", "c", 0), (2, long + " x", "d", 0), (2, "other words here", "e", 0), (None, long, "f", 0), (None, long, "f", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, same string, component_id int")
+    seen = set()
+    for d in (docs, docs.repartition(3)):
+        kept = simhash.keep_one(d)
+        assert kept.columns == docs.columns
+        got = sorted((str(r.doc_id), r.text, r.same) for r in kept.collect())
+        assert [x[:2] for x in got] == [("1", "something else"), ("1", long), ("2", "other words here"), ("None", long), ("None", long)]
+        seen.add(got[1][2])
+    assert len(seen) == 1
+
+
 @pytest.mark.parametrize("words, appended, replaced", [(60, 13, 0), (150, 36, 0), (400, 98, 0), (150, 0, 11), (400, 0, 40)])
 def test_passages_appended_or_replaced_near_the_threshold(spark, words, appended, replaced):
     rng = random.Random(words + appended)
@@ -121,25 +135,6 @@ def test_passages_appended_or_replaced_near_the_threshold(spark, words, appended
     assert pairs_found(spark, pairs) == 100
 
 
-def test_links_of_a_dense_group_reach_its_middle():
-    rng = random.Random(9)
-    base = rng.getrandbits(64)
-    fps = {base}
-    while len(fps) < 300:
-        x = base
-        for k in rng.sample(range(64), 3):
-            x ^= 1 << k
-        fps.add(x)
-    fps = np.array(sorted(fps), np.uint64)
-    near = lambda f: [f[x] for x in simhash.near_pairs(np.ones(len(f), bool), f, 7, central=True)]
-    a, b = near(fps)
-    assert len(a) < 300 * (simhash.PIVOTS + 2) and (np.bitwise_count(a ^ b) <= 7).all()
-    assert set(b[a == base].tolist()) | set(a[b == base].tolist()) == set(fps.tolist()) - {base}
-    few = np.array(sorted(fps)[:30], np.uint64)
-    a, b = near(few)
-    assert {frozenset(p) for p in zip(a.tolist(), b.tolist())} == {frozenset((x, y)) for x in few.tolist() for y in few.tolist() if x != y and (x ^ y).bit_count() <= 7}
-
-
 def test_simhash_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     odd = [(900, None), (901, ""), (902, " \n"), (903, "One two"), (904, "one TWO"), (905, "É a b c d"), (906, "a b c d " * 30_000)]
