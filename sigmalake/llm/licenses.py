@@ -1,12 +1,15 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with templates.
 
-Blocks are overlapping windows of words, so that every notice of up to
-``BLOCK - STEP`` words lies whole in one of them. The tokens of the templates
-are ordered by how many documents hold them, rarest first, counted over all
-documents. A template whose containment in a block reaches the threshold shares
-a token of its prefix with it; of the blocks that do, the length and position
-filters drop those that cannot reach the overlap, and the rest is counted
-exactly. The templates are a bounded, fixed list; the texts never move.
+Blocks are overlapping windows of words. Templates of up to n words are compared
+with windows of 2n or more that start every n or more, so that any n words in a
+row lie whole in one of them, whatever the template's length. The tokens of the
+templates are ordered by how many documents hold them, rarest first, counted
+over all documents. A template whose containment in a block reaches the
+threshold shares a token of its prefix with it; of the blocks that do, the
+length and position filters drop those that cannot reach the overlap, and the
+rest is counted exactly. A match must hold the template's own phrase, and gives
+way to one of a template that has all its tokens and more. The templates are a
+bounded, fixed list; the texts never move.
 """
 
 from __future__ import annotations
@@ -18,30 +21,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, table
+from .license_texts import TEMPLATES
 
 THRESHOLD = 0.8
-BLOCK = 64
-STEP = 32
+#: Words of the shortest blocks; longer templates have blocks of twice, four times, ... that.
+BLOCK = 16
 
 #: phrase -> label
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: (label, notice): short notices as they stand in documents and source files.
-TEMPLATES = (
-    ("mit", "released under the MIT license"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("apache", "licensed under the Apache license version 2.0"),
-    ("apache", "you may not use this file except in compliance with the License"),
-    ("gpl", "this work is licensed under the GNU general public license version 3"),
-    ("gpl", "under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl", "subject to the terms of the Mozilla Public License v. 2.0"),
-    ("cc-by", "this work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-nc", "licensed under CC BY-NC 4.0"),
-    ("cc-by-sa", "licensed under CC BY-SA 4.0"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
-)
-
 #: Words are runs of ASCII letters and digits and of anything beyond ASCII; A-Z count as a-z.
 FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -85,54 +73,80 @@ def _count_tokens(vocabulary: frozenset):
 
 def token_order(docs: DataFrame, templates=TEMPLATES, text_col: str = "text") -> dict[bytes, int]:
     """Rank of each template token by the number of documents that hold it, rarest first, ties by the token."""
-    vocabulary = frozenset(w for _, t in templates for w in words_of(t.encode()))
+    vocabulary = frozenset(w for _, _, t in templates for w in words_of(t.encode()))
     seen = docs.select(F.col(text_col).cast("string")).mapInArrow(_count_tokens(vocabulary), "token string, n long")
     n = {r.token.encode(): r.n for r in seen.groupBy("token").agg(F.sum("n").alias("n")).collect()}  # one row per template token
     return {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (n.get(w, 0), w)))}
 
 
+def holds(words: list[bytes], phrase: list[bytes]) -> bool:
+    """Whether the words of ``phrase`` stand in a row in ``words``."""
+    return any(words[i : i + len(phrase)] == phrase for i, w in enumerate(words) if w == phrase[0]) if phrase else True
+
+
+def block_of(n: int) -> int:
+    """Words of the blocks that templates of ``n`` words are compared with."""
+    size = BLOCK
+    while size < 2 * n:
+        size *= 2
+    return size
+
+
 class Join:
-    """Templates indexed by the rarest tokens of each."""
+    """Templates (label, phrase, text), indexed by block size and by the rarest tokens of each."""
 
     def __init__(self, order: dict[bytes, int], templates=TEMPLATES, threshold: float = THRESHOLD):
         self.order = order
         self.templates = []
-        self.index: dict[bytes, list[tuple[int, int]]] = {}
-        for label, text in templates:
-            tokens = sorted(set(words_of(text.encode())), key=order.__getitem__)
+        self.index: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
+        for label, phrase, text in templates:
+            words = words_of(text.encode())
+            if not words:
+                raise ValueError(f"a template of {label} has no words")
+            tokens = sorted(set(words), key=order.__getitem__)
             least = max(1, math.ceil(threshold * len(tokens) - 1e-9))
+            index = self.index.setdefault(block_of(len(words)), {})
             for place in range(len(tokens) - least + 1):
-                self.index.setdefault(tokens[place], []).append((len(self.templates), place))
-            self.templates.append((label, tokens, frozenset(tokens), least))
-        self.prefixes = frozenset(self.index)
+                index.setdefault(tokens[place], []).append((len(self.templates), place))
+            self.templates.append((label, tokens, frozenset(tokens), least, words_of(phrase.encode())))
+        self.prefixes = frozenset(w for index in self.index.values() for w in index)
+        # the templates that have all tokens of one, and more
+        self.wider = [frozenset(j for j, y in enumerate(self.templates) if x[2] < y[2]) for x in self.templates]
 
     def matches(self, words: list[bytes]) -> dict[int, float]:
         """Template -> its largest containment in a block of ``words``, for all that reach the threshold."""
         best: dict[int, float] = {}
         if self.prefixes.isdisjoint(words):
             return best
-        for at in range(0, max(1, len(words) - BLOCK + STEP), STEP):
-            block = set(words[at : at + BLOCK])
-            known = block.intersection(self.order)
-            hits = sorted(known & self.prefixes, key=self.order.__getitem__)
-            if not hits:
-                continue
-            rank = {w: i for i, w in enumerate(sorted(known, key=self.order.__getitem__))}
-            tried = set()
-            for w in hits:
-                for k, place in self.index[w]:
-                    if k in tried:
-                        continue
-                    tried.add(k)
-                    _, tokens, whole, least = self.templates[k]
-                    # length: the block must hold enough tokens; position: enough must come from here on, as this is the first shared
-                    if len(known) < least or min(len(tokens) - place, len(known) - rank[w]) < least:
-                        continue
-                    overlap = len(whole & known)
-                    if overlap >= least:
-                        best[k] = max(best.get(k, 0.0), overlap / len(tokens))
+        for size, index in self.index.items():
+            step = size // 2
+            last = max(0, -(-(len(words) - size) // step))  # the block that reaches the end
+            hit = {k for i, w in enumerate(words) if w in index for k in (i // step - 1, i // step) if 0 <= k <= last}
+            for k in sorted(hit):
+                block = words[k * step : k * step + size]
+                found = self._block(block, index)
+                for t, c in found.items():
+                    if self.wider[t].isdisjoint(found):
+                        best[t] = max(best.get(t, 0.0), c)
         return best
 
+    def _block(self, block: list[bytes], index: dict) -> dict[int, float]:
+        known = sorted(self.order.keys() & set(block), key=self.order.__getitem__)
+        found, tried, have = {}, set(), frozenset(known)
+        for rank, w in enumerate(known):
+            for t, place in index.get(w, ()):
+                if t in tried:
+                    continue
+                tried.add(t)
+                _, tokens, whole, least, phrase = self.templates[t]
+                # length: the block must hold enough tokens; position: enough must come from here on, as this is the first shared
+                if len(known) < least or min(len(tokens) - place, len(known) - rank) < least:
+                    continue
+                overlap = len(whole & have)
+                if overlap >= least and holds(block, phrase):
+                    found[t] = overlap / len(tokens)
+        return found
+
 
 SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
@@ -167,7 +181,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     ``n_base`` counts all phrase places; first_word and last_word are null
     without any. Labels are sorted, comma-joined and empty if there are none;
     ``labels`` adds those of templates contained to ``threshold`` or more in a
-    block. ``score`` is the largest such containment, 1 if only phrases were
+    block that holds their phrase too. ``score`` is the largest such containment, 1 if only phrases were
     found, else 0. Null and empty texts have no words. Repeated rows and null
     ids give a row each; an empty table gives none.
     """
