@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from .functions import mathml
 from .operators.index import Index
 from .plans import evaluate as evaluation
 from .plans import explain, search
+from .sources import labels as label_table
 
 
 def failure(message: str) -> str:
@@ -41,12 +43,12 @@ def _answer(index: Index, query: str, page: int, size: int, settings: Settings)
     if not total:
         results.unpersist()
         return head | {"results": [], "time": seconds}
-    top = search.result_page(results, page, size)
-    rows = sorted(search.with_attributes(index, top, settings).collect(), key=lambda r: r.rank)  # at most ``size`` rows
+    rows = search.top_rows(index, results, page, size, settings)
     why: dict[tuple, list] = {}
-    for kind, column in (("formula", "formula_id"), ("page", "page_id")):
-        docs = top.select("query_id", F.col(column).alias("doc_id"))
-        for r in explain.explain_scores(index, kind, q, docs).collect():
+    for kind, column in (("formula", "formula_id"), ("page", "page_id")) if rows else ():
+        ids = [r[column] for r in rows]
+        own = replace(index, postings=index.postings | {kind: index.postings[kind].where(F.col("doc_id").isin(ids))})
+        for r in explain.explain_scores(own, kind, q).collect():
             why.setdefault((kind, r.doc_id), []).append(r)
     results.unpersist()
     shown = [
@@ -66,11 +68,15 @@ def label_json(labels, query: str, url: str) -> str:
     return json.dumps({"status": "OK", "label": row.relevance if row else 0})
 
 
+def put_label_json(spark, path: str, query: str, url: str, relevance: int) -> str:
+    """Stores a label; relevance 0 takes it out."""
+    label_table.store(spark.createDataFrame([(query, url, relevance)], label_table.SCHEMA), path)
+    return json.dumps({"status": "OK"})
+
+
 def dcg_json(index: Index, labels, k: int, settings: Settings = DEFAULT) -> str:
     details = evaluation.evaluate(index, labels, k, settings).orderBy("query").cache()
     mean = evaluation.mean_quality(details).first()
     rows = [r.asDict() for r in details.collect()]  # one row per labelled query
     details.unpersist()
     return json.dumps({"dcg": mean.dcg, "precision": mean.precision, "details": rows}, ensure_ascii=False)
-
-

@@ -7,13 +7,13 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Settings:
-    """Switches of the normalisation, the formula cap of the scan, and the weights of the merged score."""
+    """Switches of the normalisation, the formula cap of the scan (None: no cap), and the weights of the merged score."""
 
     adjust_tree: bool = True
     reconstruct_expression: bool = True
     reorder_operands: bool = True
     generalise: bool = True
-    max_formula_count: int = 100_000
+    max_formula_count: int | None = 100_000
     formula_weight: float = 0.7
     page_weight: float = 0.3
     url_prefix: str = "http://en.wikipedia.org/wiki/"

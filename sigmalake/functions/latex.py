@@ -37,6 +37,18 @@ OPERATORS = {
     "longrightarrow": "&longrightarrow;", "mapsto": "&map;", "hookrightarrow": "&hookrightarrow;", "uparrow": "&uparrow;",
     "downarrow": "&downarrow;", "colon": ":", "vert": "|", "Vert": "&Vert;", "prime": "&prime;", "backslash": "\\",
     "{": "{", "}": "}", "|": "&Vert;", "%": "%", "#": "#", "&": "&amp;", "$": "$", "_": "_",
+    "leqslant": "&les;", "geqslant": "&ges;", "nleq": "&nle;", "ngeq": "&nge;", "nless": "&nlt;", "ngtr": "&ngt;", "leqq": "&lE;", "geqq": "&gE;",
+    "lesssim": "&lsim;", "gtrsim": "&gsim;", "triangleq": "&trie;", "doteq": "&esdot;", "asymp": "&asympeq;", "bowtie": "&bowtie;",
+    "preceq": "&pre;", "succeq": "&sce;", "subsetneq": "&subne;", "supsetneq": "&supne;", "nsubseteq": "&nsube;", "nsupseteq": "&nsupe;",
+    "sqsubset": "&sqsub;", "sqsubseteq": "&sqsube;", "sqsupset": "&sqsup;", "sqsupseteq": "&sqsupe;", "sqcup": "&sqcup;", "sqcap": "&sqcap;",
+    "uplus": "&uplus;", "amalg": "&amalg;", "wr": "&wr;", "diamond": "&diamond;", "odot": "&odot;", "oslash": "&osol;", "dagger": "&dagger;", "ddagger": "&Dagger;",
+    "nexists": "&nexist;", "dashv": "&dashv;", "Vdash": "&Vdash;", "vDash": "&vDash;", "smile": "&smile;", "frown": "&frown;", "nmid": "&nmid;",
+    "ltimes": "&ltimes;", "rtimes": "&rtimes;", "smallsetminus": "&setminus;", "therefore": "&therefore;", "because": "&because;",
+    "gets": "&ShortLeftArrow;", "longleftarrow": "&longleftarrow;", "longleftrightarrow": "&longleftrightarrow;", "longmapsto": "&longmapsto;",
+    "Longrightarrow": "&Longrightarrow;", "Longleftarrow": "&Longleftarrow;", "Longleftrightarrow": "&Longleftrightarrow;", "impliedby": "&Longleftarrow;",
+    "hookleftarrow": "&hookleftarrow;", "rightharpoonup": "&rharu;", "rightleftharpoons": "&rlhar;", "twoheadrightarrow": "&Rarr;", "rightsquigarrow": "&rarrw;",
+    "updownarrow": "&varr;", "Uparrow": "&uArr;", "Downarrow": "&dArr;", "nearrow": "&nearr;", "searrow": "&searr;", "swarrow": "&swarr;", "nwarrow": "&nwarr;",
+    "lbrace": "{", "rbrace": "}", "lbrack": "[", "rbrack": "]", "lvert": "|", "rvert": "|", "lVert": "&Vert;", "rVert": "&Vert;",
     "langle": "&lang;", "rangle": "&rang;", "lfloor": "&lfloor;", "rfloor": "&rfloor;", "lceil": "&lceil;", "rceil": "&rceil;",
 }
 
@@ -59,7 +71,9 @@ SYMBOLS = {
     "infty": "&infin;", "ell": "&ell;", "hbar": "&hbar;", "Re": "&Re;", "Im": "&Im;", "wp": "&wp;", "aleph": "&aleph;",
     "emptyset": "&empty;", "varnothing": "&empty;", "imath": "&imath;", "jmath": "&jmath;", "angle": "&angle;", "top": "&top;",
     "bot": "&bottom;", "dots": "&ctdot;", "ldots": "&hellip;", "cdots": "&ctdot;", "vdots": "&vellip;", "ddots": "&dtdot;",
-    "triangle": "&triangle;", "square": "&square;",
+    "triangle": "&triangle;", "square": "&square;", "Box": "&square;", "complement": "&comp;", "beth": "&beth;", "gimel": "&gimel;", "eth": "&eth;",
+    "hslash": "&hbar;", "clubsuit": "&clubs;", "diamondsuit": "&diams;", "heartsuit": "&hearts;", "spadesuit": "&spades;", "flat": "&flat;",
+    "natural": "&natur;", "sharp": "&sharp;", "surd": "&Sqrt;", "digamma": "&gammad;", "dotsb": "&ctdot;", "dotsc": "&hellip;", "S": "&sect;", "P": "&para;",
 }
 
 #: Spaces.
@@ -70,15 +84,19 @@ ABOVE = {
     "dot": "&dot;", "ddot": "&Dot;", "tilde": "&sim;", "widetilde": "&sim;", "check": "&caron;", "breve": "&breve;", "acute": "&acute;",
     "grave": "&grave;", "overbrace": "&OverBrace;",
 }
+#: Arrows that stretch under their text.
+ARROWS = {"xrightarrow": "&rightarrow;", "xleftarrow": "&leftarrow;"}
+#: Commands between two halves of a group: with a line or without.
+HALVES = ("over", "atop")
 BELOW = {"underline": "&UnderBar;", "underbrace": "&UnderBrace;"}
 #: Commands that set their argument in another face, or change the size of what follows; the tree is the same.
-FACES = ("mathrm", "mathbf", "mathit", "mathsf", "mathtt", "mathcal", "mathbb", "mathfrak", "boldsymbol", "operatorname", "mathscr", "pmb", "bold")
+FACES = ("mathrm", "mathbf", "mathit", "mathsf", "mathtt", "mathcal", "mathbb", "mathfrak", "boldsymbol", "operatorname", "mathscr", "pmb", "bold", "mathop", "mathbin", "mathrel", "mathord", "boldmath")
 SIZES = ("displaystyle", "textstyle", "scriptstyle", "scriptscriptstyle", "limits", "nolimits", "rm", "bf", "it", "big", "Big", "bigg", "Bigg",
          "bigl", "bigr", "Bigl", "Bigr", "biggl", "biggr", "Biggl", "Biggr", "bigm", "nonumber", "notag")
-TEXTS = ("text", "mbox", "hbox", "textrm", "textbf", "textit", "textsf", "texttt", "mathop")
+TEXTS = ("text", "mbox", "hbox", "textrm", "textbf", "textit", "textsf", "texttt")
 
 FENCES = {"(": ")", "[": "]"}
-FENCE_NAMES = {"{": "{", "}": "}", "langle": "<", "rangle": ">", "lfloor": "l", "rfloor": "r", "lceil": "l", "rceil": "r", "|": "|", "vert": "|", "Vert": "|"}
+FENCE_NAMES = {"lbrace": "{", "rbrace": "}", "lbrack": "[", "rbrack": "]", "lvert": "|", "rvert": "|", "lVert": "|", "rVert": "|", "{": "{", "}": "}", "langle": "<", "rangle": ">", "lfloor": "l", "rfloor": "r", "lceil": "l", "rceil": "r", "|": "|", "vert": "|", "Vert": "|"}
 TABLES = ("matrix", "pmatrix", "bmatrix", "Bmatrix", "vmatrix", "Vmatrix", "smallmatrix", "cases", "array", "align", "align*", "aligned",
           "eqnarray", "eqnarray*", "gather", "gathered", "split")
 FENCED_TABLES = ("pmatrix", "bmatrix", "Bmatrix", "vmatrix", "Vmatrix", "cases")
@@ -118,8 +136,10 @@ class _Reader:
                 if ("end", "") in ends:
                     break
                 raise MathError("formula ends early")
-            item = self.scripted()
-            items += item if isinstance(item, list) else [item]
+            if self.peek()[0] == "name" and self.peek()[1] in HALVES:
+                self.next()
+                return [element("mfrac", self.as_one(items), self.as_one(self.row(*ends)))]
+            items += self.row_of(self.scripted())
         return items
 
     def scripted(self) -> Node | list[Node]:
@@ -172,6 +192,10 @@ class _Reader:
         item = self.item()
         return self.as_one(item) if isinstance(item, list) else item
 
+    @staticmethod
+    def row_of(item: Node | list[Node]) -> list[Node]:
+        return item if isinstance(item, list) else [item]
+
     def group(self) -> Node:
         self.expect("{")
         items = self.row(("char", "}"))
@@ -284,6 +308,24 @@ class _Reader:
             return element("munder", self.argument(), token("mo", BELOW[name]))
         if name in ("frac", "dfrac", "tfrac", "cfrac"):
             return element("mfrac", self.argument(), self.argument())
+        if name in ARROWS:
+            below, above = self.optional(), self.argument()
+            arrow = token("mo", ARROWS[name])
+            return element("munderover", arrow, below, above) if below else element("mover", arrow, above)
+        if name in ("color", "textcolor"):
+            self.raw()
+            return [] if name == "color" else self.argument()
+        if name == "substack":
+            self.expect("{")
+            lines = []
+            while True:
+                lines.append(element("mtr", element("mtd", *self.row(("char", "}"), ("mark", "\\")))))
+                if self.next() == ("char", "}"):
+                    break
+            return element("mtable", *lines)
+        if name == "sideset":
+            left, right = self.argument(), self.argument()
+            return [left, self.as_one(self.row_of(self.scripted())), right]
         if name in ("binom", "tbinom", "dbinom"):
             return element("mfenced", element("mfrac", self.argument(), self.argument()))
         if name == "sqrt":

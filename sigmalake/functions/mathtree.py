@@ -207,8 +207,9 @@ GROUPING = ("math", "mrow")
 def terms(node: Node, generalise: bool = True, level: int = 1) -> Iterator[Term]:
     """A term for each subtree, its parent's first: the general form (children in outline), then the exact one.
 
-    Leaves and texts of one character give no term. A group with one child is
-    passed over, though its child is a level deeper.
+    Leaves and texts of one character give no term, and neither does a formula
+    that holds nothing but spaces. A group with one child is passed over, though
+    its child is a level deeper.
     """
     if node.kind in (TEXT, LEAF):
         if len((node.text if node.kind == LEAF else node.name).encode("utf-16-be", "surrogatepass")) > 2:
@@ -221,6 +222,7 @@ def terms(node: Node, generalise: bool = True, level: int = 1) -> Iterator[Term]
             general, exact = node.wrap(general), node.wrap(exact)
         if generalise and general != exact:
             yield Term(general, level, True)
-        yield Term(exact, level, False)
+        if exact or level > 1:
+            yield Term(exact, level, False)
     for child in node.children:
         yield from terms(child, generalise, level + 1)

@@ -37,14 +37,17 @@ def _analysed(formula: str, settings: Settings, mathml: bool) -> tuple[list[Term
 
 
 def analyse(formula: Column, settings: Settings = DEFAULT, mathml: bool = False) -> Column:
-    """Struct (terms, tree, is_error) of a formula column. A null formula has no terms and is no error."""
+    """Struct (terms, tree, is_error) of a formula column. A null or empty formula has no terms and is no error.
+
+    Marked as not deterministic, so that Spark never calls it twice for a row.
+    """
 
     def run(column: pd.Series) -> pd.DataFrame:
-        rows = [([], None, False) if f is None else _analysed(f, settings, mathml) for f in column]
+        rows = [([], None, False) if not f else _analysed(f, settings, mathml) for f in column]
         out = [([t._asdict() for t in ts], tree, bad) for ts, tree, bad in rows]
         return pd.DataFrame(out, columns=["terms", "tree", "is_error"])
 
-    return F.pandas_udf(run, ANALYSIS)(formula)
+    return F.pandas_udf(run, ANALYSIS).asNondeterministic()(formula)
 
 
 def explode_terms(formulas: DataFrame, column: str = "latex", settings: Settings = DEFAULT, mathml: bool = False) -> DataFrame:

@@ -14,15 +14,26 @@ from ..functions.terms import analyse
 KINDS = ("formula", "page")
 
 
+#: Postings and terms of a written partition.
+PARTITION_ROWS = 250_000
+
+
 @dataclass(frozen=True)
 class Index:
-    """postings (term, doc_id, page_id, levels), docs (doc_id, len, norm), term_stats (term, df) for each kind, and the attributes."""
+    """The analysed formulas (known), and what follows from them.
+
+    For each kind postings (term, doc_id, page_id, levels, norm), docs (doc_id,
+    len, norm), term_stats (term, df) and sizes (n_docs: one row); and the
+    attributes of pages and formulas.
+    """
 
     pages: DataFrame
     formulas: DataFrame
+    known: DataFrame
     postings: dict[str, DataFrame]
     docs: dict[str, DataFrame]
     term_stats: dict[str, DataFrame]
+    sizes: dict[str, DataFrame]
 
 
 def analysed(formulas: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -32,60 +43,85 @@ def analysed(formulas: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
 
 
 def build(pages: DataFrame, formulas: DataFrame, settings: Settings = DEFAULT) -> Index:
-    """Indexes over pages (page_id, title) and formulas (formula_id, page_id, latex, doc_title).
+    """Indexes over pages (page_id, title) and formulas (formula_id, page_id, latex, doc_title)."""
+    return of_known(pages, formulas, analysed(formulas, settings).select("formula_id", "page_id", "terms", "n_terms", "is_error"))
+
+
+def of_known(pages: DataFrame, formulas: DataFrame, known: DataFrame) -> Index:
+    """Indexes over analysed formulas.
 
     A formula's terms lie in its row, so its postings need no shuffle beyond
-    (formula, term); a page's are the union of its formulas'. Documents without
-    terms stay in ``docs`` and count in N.
+    (formula, term); a page's are the union of its formulas'. Postings carry the
+    norm of their document, so that a search reads nothing else. Documents
+    without terms stay in ``docs`` and count in n_docs.
     """
-    known = analysed(formulas, settings)
-    each = known.select("formula_id", "page_id", F.explode("terms").alias("t")).select("formula_id", "page_id", "t.term", "t.level")
-    by_formula = each.groupBy(F.col("formula_id").alias("doc_id"), "page_id", "term").agg(F.sort_array(F.collect_set("level")).alias("levels"))
-    by_page = each.groupBy("page_id", "term").agg(F.sort_array(F.collect_set("level")).alias("levels"))
-    by_page = by_page.select(F.col("page_id").alias("doc_id"), "page_id", "term", "levels")
+    each = known.select("formula_id", "page_id", scoring.norm(F.col("n_terms")).alias("norm"), F.explode("terms").alias("t"))
+    each = each.select("formula_id", "page_id", "norm", "t.term", "t.level")
+    levels = F.sort_array(F.collect_set("level")).alias("levels")
+    by_formula = each.groupBy(F.col("formula_id").alias("doc_id"), "page_id", "term").agg(levels, F.first("norm").alias("norm"))
     length = known.groupBy("page_id").agg(F.sum("n_terms").alias("len"))
+    by_page = each.groupBy("page_id", "term").agg(levels).join(length, "page_id")
+    by_page = by_page.select(F.col("page_id").alias("doc_id"), "page_id", "term", "levels", scoring.norm(F.col("len")).alias("norm"))
     lengths = {
         "formula": known.select(F.col("formula_id").alias("doc_id"), F.col("n_terms").cast("long").alias("len")),
         "page": pages.select("page_id").join(length, "page_id", "left").select(F.col("page_id").alias("doc_id"), F.coalesce("len", F.lit(0)).cast("long").alias("len")),
     }
     postings = {"formula": by_formula, "page": by_page}
     return Index(
-        pages.select("page_id", "title"),
-        formulas,
-        postings,
+        pages.select("page_id", "title"), formulas, known, postings,
         {k: v.select("doc_id", "len", scoring.norm(F.col("len")).alias("norm")) for k, v in lengths.items()},
         {k: v.groupBy("term").agg(F.count("*").alias("df")) for k, v in postings.items()},
-    )
+        {"formula": known.agg(F.count("*").alias("n_docs")), "page": pages.agg(F.count("*").alias("n_docs"))},
+    )
 
 
 def counters(formulas: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """(formulas, errors, terms): one row. Every formula is read once, so an error counts once."""
-    a = analysed(formulas, settings)
-    return a.agg(
+    return counted(analysed(formulas, settings))
+
+
+def counted(known: DataFrame) -> DataFrame:
+    """(formulas, errors, terms) of analysed formulas."""
+    return known.agg(
         F.count("*").alias("formulas"),
         F.coalesce(F.sum(F.col("is_error").cast("long")), F.lit(0)).alias("errors"),
         F.coalesce(F.sum("n_terms"), F.lit(0)).alias("terms"),
     )
 
 
-def write(index: Index, path: str, partitions: int = 8) -> None:
-    """Parquet tables under ``path``, which must not exist. Postings lie in the order of terms, so a term is found by its row group."""
-    index.pages.write.parquet(f"{path}/pages")
-    index.formulas.write.parquet(f"{path}/formulas")
+def write(index: Index, path: str) -> None:
+    """Parquet tables under ``path``, which must not exist.
+
+    Formulas are analysed in one pass; everything else is made of its table.
+    Postings lie in the order of terms, so a term is found by its row group, and
+    the attributes in the order of their ids. Partitions follow the rows.
+    """
+    spark = index.pages.sparkSession
+    index.known.write.parquet(f"{path}/known")
+    own = of_known(index.pages, index.formulas, spark.read.parquet(f"{path}/known"))
+    for name, table, by in (("pages", own.pages, "page_id"), ("formulas", own.formulas, "formula_id")):
+        table.repartitionByRange(table.count() // PARTITION_ROWS + 1, by).sortWithinPartitions(by).write.parquet(f"{path}/{name}")
+    rows = own.known.agg(F.coalesce(F.sum("n_terms"), F.lit(0))).first()[0]
+    parts = int(rows // PARTITION_ROWS) + 1
     for kind in KINDS:
-        ordered = index.postings[kind].repartitionByRange(partitions, "term", "doc_id").sortWithinPartitions("term", "doc_id")
+        ordered = own.postings[kind].repartitionByRange(parts, "term", "doc_id").sortWithinPartitions("term", "doc_id")
         ordered.write.option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings_{kind}")
-        index.docs[kind].write.parquet(f"{path}/docs_{kind}")
-        # the stored postings are counted, so formulas are not read again
-        stats = index.pages.sparkSession.read.parquet(f"{path}/postings_{kind}").groupBy("term").agg(F.count("*").alias("df"))
-        stats.repartitionByRange(partitions, "term").sortWithinPartitions("term").write.parquet(f"{path}/terms_{kind}")
+        own.docs[kind].write.parquet(f"{path}/docs_{kind}")
+        stats = spark.read.parquet(f"{path}/postings_{kind}").groupBy("term").agg(F.count("*").alias("df"))
+        stats.repartitionByRange(parts, "term").sortWithinPartitions("term").write.parquet(f"{path}/terms_{kind}")
+        own.sizes[kind].coalesce(1).write.parquet(f"{path}/sizes_{kind}")
 
 
 def read(spark: SparkSession, path: str) -> Index:
     def load(name: str) -> DataFrame:
         return spark.read.parquet(f"{path}/{name}")
 
-    return Index(
-        load("pages"), load("formulas"), {k: load(f"postings_{k}") for k in KINDS},
-        {k: load(f"docs_{k}") for k in KINDS}, {k: load(f"terms_{k}") for k in KINDS},
-    )
+    each = lambda name: {k: load(f"{name}_{k}") for k in KINDS}
+    return Index(load("pages"), load("formulas"), load("known"), each("postings"), each("docs"), each("terms"), each("sizes"))
+
+
+def opened(index: Index) -> Index:
+    """``index`` with all that searches read kept in memory (and on disk beyond it), filled now."""
+    for d in (index.pages, index.formulas, *index.postings.values(), *index.term_stats.values(), *index.sizes.values()):
+        d.cache().count()
+    return index

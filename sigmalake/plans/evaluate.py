@@ -34,7 +34,7 @@ def evaluate(index: Index, labels: DataFrame, k: int, settings: Settings = DEFAU
     ids = spark.createDataFrame(list(enumerate(names)), "query_id long, query string")
     index, q = prepared(index, enumerate(names), settings)
     top = result_page(search(index, q, settings), 1, k)
-    shown = with_attributes(index, top, settings).join(F.broadcast(ids), "query_id")
+    shown = with_attributes(index, top, settings, len(names) * k).join(ids, "query_id")
     judged = label_table.lookup(shown.select("query", F.col("doc_url").alias("url"), "rank"), labels)
     found = ids.join(quality(judged, k), "query", "left")
     zero = {c: F.coalesce(c, F.lit(0)).cast(t).alias(c) for c, t in (("dcg", "double"), ("active", "long"), ("precision", "double"))}

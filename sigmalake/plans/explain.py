@@ -5,11 +5,12 @@ from __future__ import annotations
 from html import escape
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.terms import terms_of
 from ..operators.index import Index
-from .search import matches
+from .search import Clauses, matches
 
 
 def explain_terms(q: DataFrame) -> DataFrame:
@@ -17,17 +18,17 @@ def explain_terms(q: DataFrame) -> DataFrame:
     return q.select("query_id", "clause", "term", "level", "generalization")
 
 
-def explain_scores(index: Index, kind: str, q: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+def explain_scores(index: Index, kind: str, q: Clauses, docs: DataFrame | None = None) -> DataFrame:
     """Per matched clause of a document: idf, boost, proximity, coord, query_norm, norm and its contribution; they add up to the score.
 
     ``docs`` (query_id, doc_id) narrows it to some documents.
     """
     m = matches(index, kind, q)
     if docs is not None:
-        m = m.join(F.broadcast(docs.select("query_id", "doc_id")), ["query_id", "doc_id"])
-    total = m.groupBy("query_id", "doc_id").agg(F.count("*").alias("matched"))
-    m = m.join(total, ["query_id", "doc_id"]).join(index.docs[kind].select("doc_id", "norm"), "doc_id")
-    m = m.withColumn("coord", F.col("matched") / F.col("n_clauses"))
+        m = m.join(docs.select("query_id", "doc_id"), ["query_id", "doc_id"])
+    # a document has at most a row for each clause of a query
+    matched = F.count("*").over(W.partitionBy("query_id", "doc_id"))
+    m = m.withColumn("coord", matched / F.col("n_clauses"))
     worth = F.col("coord") * F.col("query_norm") * F.col("norm") * F.col("part")
     return m.select("query_id", "doc_id", "clause", "term", "idf", "boost", "proximity", "coord", "query_norm", "norm", worth.alias("contribution"))
 

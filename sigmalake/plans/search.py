@@ -1,7 +1,10 @@
 """Ranked search: any number of queries in one job, each step keyed by query_id.
 
-Query clauses are a handful of rows made on the driver, so they are broadcast
-and postings are never shuffled before they are cut down to the clauses' terms.
+Query clauses are made on the driver. Those of up to PUSHED_TERMS distinct terms
+are weighted first (one small job) and then meet the postings as a local table:
+a filter on the terms reaches the scan, and what matches is shuffled once, by
+query and page. More clauses are joined as tables, by shuffle where they are
+large.
 """
 
 from __future__ import annotations
@@ -16,41 +19,57 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Settings
 from ..functions import scoring
 from ..functions.terms import query_clauses
-from ..operators.index import Index
+from ..operators.index import KINDS, Index
 
 CLAUSES = "query_id long, clause int, term string, level int, generalization boolean"
-#: Clauses up to which the side is broadcast; more (millions of queries) are joined by shuffle.
-BROADCAST_CLAUSES = 200_000
+#: Rows (clauses, results of a page) up to which a side is broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 200_000
 #: Distinct terms up to which the scan of the postings is filtered by them.
 PUSHED_TERMS = 1_000
 
+#: Clauses as ``clauses`` makes them, or weighted ones for each kind of index.
+Clauses = DataFrame | dict[str, DataFrame]
+
 
 def clauses(spark: SparkSession, queries: Iterable[tuple[int, str]], settings: Settings = DEFAULT) -> DataFrame:
     """The clauses of (query_id, LaTeX) pairs with their boost."""
-    rows = query_clauses(queries, settings)
-    q = spark.createDataFrame(rows, CLAUSES).withColumn("boost", scoring.boost(F.col("generalization")))
-    return F.broadcast(q) if len(rows) <= BROADCAST_CLAUSES else q
+    return _clauses(spark, query_clauses(queries, settings))
+
+
+def _clauses(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, CLAUSES).withColumn("boost", scoring.boost(F.col("generalization")))
 
 
-def prepared(index: Index, queries: Iterable[tuple[int, str]], settings: Settings = DEFAULT) -> tuple[Index, DataFrame]:
+def prepared(index: Index, queries: Iterable[tuple[int, str]], settings: Settings = DEFAULT) -> tuple[Index, Clauses]:
     """The index cut to the queries' terms, and their clauses.
 
     Up to PUSHED_TERMS distinct terms become a filter that reaches the scan of
-    the postings, which lie in the order of terms: few row groups are read.
+    the postings, which lie in the order of terms: few row groups are read. Up
+    to BROADCAST_ROWS of their clauses are weighted here, in one job.
     """
-    queries = list(queries)
-    terms = sorted({row[2] for row in query_clauses(queries, settings)})
-    if len(terms) <= PUSHED_TERMS:
-        cut = lambda tables: {k: d.where(F.col("term").isin(terms)) for k, d in tables.items()}
-        index = replace(index, postings=cut(index.postings), term_stats=cut(index.term_stats))
-    return index, clauses(index.pages.sparkSession, queries, settings)
-
-
-def weighted(index: Index, kind: str, q: DataFrame) -> DataFrame:
+    spark = index.pages.sparkSession
+    rows = query_clauses(queries, settings)
+    terms = sorted({row[2] for row in rows})
+    q = _clauses(spark, rows)
+    if len(terms) > PUSHED_TERMS:
+        return index, q
+    cut = lambda tables: {k: d.where(F.col("term").isin(terms)) for k, d in tables.items()}
+    index = replace(index, postings=cut(index.postings), term_stats=cut(index.term_stats))
+    if len(rows) > BROADCAST_ROWS:
+        return index, q
+    both = [weighted(index, kind, q).withColumn("kind", F.lit(kind)) for kind in KINDS]
+    found = both[0].unionByName(both[1])
+    known = found.collect()  # as many rows as clauses, twice
+    types = found.drop("kind").schema
+    return index, {k: F.broadcast(spark.createDataFrame([r[:-1] for r in known if r.kind == k], types)) for k in KINDS}
+
+
+def weighted(index: Index, kind: str, q: Clauses) -> DataFrame:
     """Clauses with idf (unknown terms have df 0), and per query n_clauses and query_norm."""
-    n = index.docs[kind].agg(F.count("*").alias("n_docs"))
+    if isinstance(q, dict):
+        return q[kind]
     stats = q.select("term").distinct().join(index.term_stats[kind], "term")
-    w = q.join(F.broadcast(stats), "term", "left").crossJoin(F.broadcast(n))  # n is one row
+    w = q.join(stats, "term", "left").crossJoin(F.broadcast(index.sizes[kind]))  # one row
     w = w.withColumn("df", F.coalesce("df", F.lit(0))).withColumn("idf", scoring.idf(F.col("n_docs"), F.col("df")))
     own = W.partitionBy("query_id")
     square = F.pow(F.col("idf") * F.col("boost"), F.lit(2))
@@ -60,25 +79,29 @@ def weighted(index: Index, kind: str, q: DataFrame) -> DataFrame:
     )
 
 
-def matches(index: Index, kind: str, q: DataFrame) -> DataFrame:
-    """(query_id, clause, doc_id, page_id, proximity, part) of every clause that a document matches; part = idf^2 x boost x proximity."""
-    m = index.postings[kind].join(F.broadcast(weighted(index, kind, q)), "term")
-    near = scoring.proximity(F.col("level"), F.col("levels"))
-    m = m.withColumn("proximity", near)
+def matches(index: Index, kind: str, q: Clauses) -> DataFrame:
+    """(query_id, clause, doc_id, page_id, norm, proximity, part) of every clause that a document matches; part = idf^2 x boost x proximity."""
+    m = index.postings[kind].join(weighted(index, kind, q), "term")
+    m = m.withColumn("proximity", scoring.proximity(F.col("level"), F.col("levels")))
     return m.withColumn("part", F.col("idf") * F.col("idf") * F.col("boost") * F.col("proximity"))
 
 
-def search_documents(index: Index, kind: str, q: DataFrame) -> DataFrame:
-    """(query_id, doc_id, page_id, matched, score) of all documents that match some clause."""
-    m = matches(index, kind, q).groupBy("query_id", "doc_id", "page_id").agg(
-        F.count("*").alias("matched"), F.sum("part").alias("sum"), F.first("n_clauses").alias("n"), F.first("query_norm").alias("qn")
-    )
-    m = m.join(index.docs[kind].select("doc_id", "norm"), "doc_id")
+def search_documents(index: Index, kind: str, q: Clauses) -> DataFrame:
+    """(query_id, doc_id, page_id, matched, score) of all documents that match some clause.
+
+    Matches are dealt by (query, page) once; every grouping and join after it
+    keeps that partitioning.
+    """
+    m = matches(index, kind, q).select("query_id", "doc_id", "page_id", "part", "n_clauses", "query_norm", "norm")
+    m = m.repartition("query_id", "page_id").groupBy("query_id", "doc_id", "page_id").agg(
+        F.count("*").alias("matched"), F.sum("part").alias("sum"), F.first("n_clauses").alias("n"),
+        F.first("query_norm").alias("qn"), F.first("norm").alias("norm"),
+    )
     score = F.col("matched") / F.col("n") * F.col("qn") * F.col("norm") * F.col("sum")
     return m.select("query_id", "doc_id", "page_id", "matched", score.alias("score"))
 
 
-def best_formulas(index: Index, q: DataFrame) -> DataFrame:
+def best_formulas(index: Index, q: Clauses) -> DataFrame:
     """(query_id, page_id, formula_id, formula_score): of each page the formula that ranks first, the smaller id among equals.
 
     One aggregation with map-side partials, no window over a page's formulas.
@@ -88,12 +111,12 @@ def best_formulas(index: Index, q: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", "page_id").agg(best).select("query_id", "page_id", F.col("b.doc_id").alias("formula_id"), F.col("b.score").alias("formula_score"))
 
 
-def search_pages(index: Index, q: DataFrame) -> DataFrame:
+def search_pages(index: Index, q: Clauses) -> DataFrame:
     """(query_id, page_id, page_score)."""
     return search_documents(index, "page", q).select("query_id", "page_id", F.col("score").alias("page_score"))
 
 
-def search(index: Index, q: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+def search(index: Index, q: Clauses, settings: Settings = DEFAULT) -> DataFrame:
     """(query_id, page_id, formula_id, formula_score, page_score, score), unordered: every page that matches."""
     both = best_formulas(index, q).join(search_pages(index, q), ["query_id", "page_id"])
     return both.withColumn("score", scoring.merged(F.col("formula_score"), F.col("page_score"), settings))
@@ -127,11 +150,31 @@ def total_hits(results: DataFrame) -> DataFrame:
     return results.groupBy("query_id").agg(F.count("*").alias("total"))
 
 
-def with_attributes(index: Index, page_rows: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Result rows with formula, doc_title and doc_url, looked up for the rows of the page only."""
-    rows = F.broadcast(page_rows)  # at most ``size`` rows a query
+def with_attributes(index: Index, page_rows: DataFrame, settings: Settings = DEFAULT, most: int | None = None) -> DataFrame:
+    """Result rows with formula, doc_title and doc_url, looked up for the rows of the page only.
+
+    ``most`` is a bound of their number, if the caller knows one (queries x
+    size): up to BROADCAST_ROWS they are broadcast, else Spark decides.
+    """
+    near = (lambda d: F.broadcast(d)) if most is not None and most <= BROADCAST_ROWS else (lambda d: d)
     f = index.formulas.select("formula_id", F.col("latex").alias("formula"))
     p = index.pages.select("page_id", F.col("title").alias("doc_title"))
-    out = f.join(rows, "formula_id")
-    out = p.join(F.broadcast(out), "page_id")
+    out = f.join(near(page_rows), "formula_id")
+    out = p.join(near(out), "page_id")
     return out.withColumn("doc_url", scoring.wiki_url(F.col("doc_title"), settings))
+
+
+def top_rows(index: Index, results: DataFrame, page: int, size: int, settings: Settings = DEFAULT) -> list:
+    """The rows of one query's result page with their attributes, in order of rank.
+
+    The ids of the page (at most ``size``) come first and then reach the scans
+    of formulas and pages, which lie in the order of ids.
+    """
+    top = result_page(results, page, size).collect()
+    if not top:
+        return []
+    spark = index.pages.sparkSession
+    ids = lambda name: F.col(name).isin([r[name] for r in top])
+    own = replace(index, formulas=index.formulas.where(ids("formula_id")), pages=index.pages.where(ids("page_id")))
+    found = with_attributes(own, spark.createDataFrame(top, results.columns + ["rank"]), settings, len(top))
+    return sorted(found.collect(), key=lambda r: r["rank"])

@@ -10,8 +10,6 @@ from __future__ import annotations
 
 import json
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +19,7 @@ from .config import Settings
 from .functions import scoring
 from .functions.terms import analyse, explode_terms
 from .operators import index as index_tables
+from .operators.scratch import new_path, written
 from .plans import evaluate, explain, search
 from .sources import labels as label_table
 from .sources import wiki
@@ -53,7 +52,10 @@ def formulas(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf: str) -> index_tables.Index:
-    return index_tables.build(pages(spark, sf), formulas(spark, sf))
+    """The index, its analysed formulas written once."""
+    f = formulas(spark, sf)
+    known = index_tables.analysed(f).select("formula_id", "page_id", "terms", "n_terms", "is_error")
+    return index_tables.of_known(pages(spark, sf), f, written(known, "known"))
 
 
 #: SQL: letters, expected terms, postings of both indexes.
@@ -329,27 +331,32 @@ for _kind in ("formula", "page"):
     query(f"postings_{_kind}", _base() + f" select doc_id, term, array_to_string(levels, ',') levels from post_{_kind}")(_postings(_kind))
 
 
+def _asked(spark, sf, kind, queries):
+    index, q = search.prepared(corpus(spark, sf), queries)
+    return index, kind, q
+
+
 @query("payload_proximity", _search_sql() + f" select query_id, clause, doc_id, {_r('prox')} from m_formula")
 def payload_proximity(spark, sf):
-    m = search.matches(corpus(spark, sf), "formula", search.clauses(spark, QUERIES))
+    m = search.matches(*_asked(spark, sf, "formula", QUERIES))
     return m.select("query_id", "clause", "doc_id", F.round("proximity", DIGITS).alias("prox"))
 
 
 @query("query_norm", _search_sql() + f" select distinct query_id, round(qn, {DIGITS}) qn from n_formula")
 def query_norm(spark, sf):
-    w = search.weighted(corpus(spark, sf), "formula", search.clauses(spark, QUERIES))
+    w = search.weighted(corpus(spark, sf), "formula", search.clauses(spark, QUERIES))  # as many queries are weighted: by joins
     return w.groupBy("query_id").agg(F.round(F.first("query_norm"), DIGITS).alias("qn"))
 
 
 @query("coord", _search_sql() + f" select query_id, doc_id, round(count(*)::double / any_value(n), {DIGITS}) coord from m_formula group by query_id, doc_id")
 def coord(spark, sf):
-    m = search.matches(corpus(spark, sf), "formula", search.clauses(spark, QUERIES))
+    m = search.matches(*_asked(spark, sf, "formula", QUERIES))
     return m.groupBy("query_id", "doc_id").agg(F.round(F.count("*") / F.first("n_clauses"), DIGITS).alias("coord"))
 
 
 def _documents(kind: str):
     def run(spark, sf):
-        s = search.search_documents(corpus(spark, sf), kind, search.clauses(spark, QUERIES[:1]))
+        s = search.search_documents(*_asked(spark, sf, kind, QUERIES[:1]))
         return _round(s.select("doc_id", "page_id", "matched", "score"), "score")
 
     return run
@@ -361,7 +368,7 @@ for _kind in ("formula", "page"):
 
 @query("best_formula_per_page", _search_sql() + f" select query_id, page_id, formula_id, {_r('formula_score')} from best")
 def best_formula_per_page(spark, sf):
-    return _round(search.best_formulas(corpus(spark, sf), search.clauses(spark, QUERIES)), "formula_score")
+    return _round(search.best_formulas(*search.prepared(corpus(spark, sf), QUERIES)), "formula_score")
 
 
 def _found(spark, sf, queries=QUERIES[:1]):
@@ -426,12 +433,14 @@ def explain_terms(spark, sf):
          round(matched::double / n * qn * norm * idf * idf * boost * prox, {DIGITS}) contribution
   from c join docs_page d on d.doc_id = c.doc_id""")
 def explain_scores(spark, sf):
-    x = explain.explain_scores(corpus(spark, sf), "page", search.clauses(spark, QUERIES[1:2]))
+    x = explain.explain_scores(*_asked(spark, sf, "page", QUERIES[1:2]))
     x = x.withColumnsRenamed({"proximity": "prox", "query_norm": "qn"}).drop("query_id")
     return _round(x, "idf", "boost", "prox", "coord", "qn", "norm", "contribution")
 
 
-@query("search_json")
+@query("search_json", _search_sql(QUERIES[:1]) + f""", l as (select formula_id, {LATEX} formula from i)
+  select rank - 1 place, (select count(*) from r) total, formula_id, formula, page_id doc_id, title doc_title, {URL} doc_url, round(score, {DIGITS}) score
+  from ranked join l using (formula_id) join pages using (page_id) where rank <= 5""")
 def search_json_pages(spark, sf):
     """The JSON answer's items, without the time that it took."""
     answer = json.loads(search_json(corpus(spark, sf), "a + b", 1, 5))
@@ -540,12 +549,11 @@ def ingest_counters(spark, sf):
     return index_tables.counters(f.withColumn("latex", broken))
 
 
-@query("xml_scan")
+@query("xml_scan", _base() + " select page_id, title, count(*)::int n_formulas from f join pages using (page_id) group by page_id, title")
 def xml_scan(spark, sf):
     """Pages written as a MediaWiki dump to the shared folder, scanned, and their formulas extracted."""
     text = F.struct(F.struct(F.lit(1).alias("_bytes"), F.col("text").alias("_VALUE")).alias("text")).alias("revision")
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sigmalake-")
-    path = f"{folder.rstrip('/')}/dump-{uuid.uuid4().hex}"
+    path = new_path(spark, "dump")
     dump = _wiki_pages(spark, sf).select("title", F.col("page_id").alias("id"), text)
     dump.write.format("xml").option("rootTag", "mediawiki").option("rowTag", "page").save(path)
     scanned = wiki.with_formulas(wiki.read_dump(spark, path))
@@ -561,5 +569,6 @@ def mathml_input(spark, sf):
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """The first page of results for a batch of queries, with titles and links."""
     i, q = search.prepared(corpus(spark, sf), QUERIES)
-    return search.with_attributes(i, search.result_page(search.search(i, q), 1, 10)).orderBy("query_id", "rank")
+    top = search.result_page(search.search(i, q), 1, 10)
+    return search.with_attributes(i, top, most=10 * len(QUERIES)).orderBy("query_id", "rank")
 

@@ -1,8 +1,13 @@
-"""Relevance labels (query, url, relevance) as a table: put, get, delete, list, export."""
+"""Relevance labels (query, url, relevance) as a table: put, get, delete, list, export.
+
+A stored table is a log: each change is a row with the time it came, and the last
+one of a (query, url) counts. So changes are appended and nothing is replaced.
+"""
 
 from __future__ import annotations
 
 import json
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +20,16 @@ def empty(spark: SparkSession) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SCHEMA).parquet(path)
+    """The labels that a stored table holds now."""
+    log = spark.read.schema(SCHEMA + ", at long").parquet(path)
+    last = F.max_by("relevance", F.struct(F.coalesce("at", F.lit(0)), "relevance")).alias("relevance")
+    return log.groupBy("query", "url").agg(last).where("relevance <> 0")
+
+
+def store(changes: DataFrame, path: str) -> None:
+    """Adds changes (query, url, relevance) to a stored table; relevance 0 takes a label out."""
+    stamped = changes.select("query", "url", F.col("relevance").cast("int"), F.lit(time.time_ns()).alias("at"))
+    stamped.coalesce(1).write.mode("append").parquet(path)
 
 
 def put(labels: DataFrame, changes: DataFrame) -> DataFrame:

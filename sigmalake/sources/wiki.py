@@ -7,12 +7,28 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
+from ..operators.scratch import written
 
 #: Fixed value: what a formula is in wiki text.
 MATH = r"(?s)<math>(.*?)</math>"
 PAGE_SCHEMA = "title string, id long, revision struct<text: struct<_VALUE: string>>"
-#: Ranges into which numbering deals its rows.
-RANGES = 256
+#: Ranges into which numbering deals its rows: at least, and rows of one beyond.
+RANGES = 8
+RANGE_ROWS = 1_000_000
+
+
+def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with ``_part``, a range of the ordering columns that rises with them, and ``_row``, the place in it: written once."""
+    dealt = df.repartitionByRange(RANGES + df.count() // RANGE_ROWS, *order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id()  # the partition's number, then 33 bits of the row's
+    d = written(dealt.withColumn("_row", place), "ranges")
+    return d.withColumn("_part", F.shiftright("_row", 33)).withColumn("_row", F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)))
+
+
+def _before(d: DataFrame, n: Column) -> DataFrame:
+    """(_part, _before): what the ranges before each come to."""
+    sums = d.groupBy("_part").agg(n.alias("_n"))  # a row for each range
+    return F.broadcast(sums.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before")))
 
 
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
@@ -34,39 +50,28 @@ def with_formulas(pages: DataFrame) -> DataFrame:
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """``df`` with ``name`` = 1, 2, ... in the given order, without bringing all rows into one task.
 
-    Rows are sorted in ranges of the first ordering column; a range's rows are
+    Rows are sorted in ranges of the ordering columns; a range's rows are
     numbered on their own and shifted by the counts of the ranges before it.
     Ties in ``order`` must be equal rows or the numbers among them are arbitrary.
     """
-    first, *_ = order
-    bounds = df.stat.approxQuantile(first, [k / RANGES for k in range(1, RANGES)], 0.001) if df.take(1) else []
-    bounds = sorted(set(bounds))
-    part = F.lit(0)
-    if bounds:
-        edges = F.array(*[F.lit(float(b)) for b in bounds])
-        part = F.size(F.filter(edges, lambda b: b < F.col(first)))
-    d = df.withColumn("_part", part)
-    counts = d.groupBy("_part").count()  # at most RANGES rows
-    before = counts.select("_part", (F.sum("count").over(W.orderBy("_part")) - F.col("count")).alias("_before"))
-    place = F.row_number().over(W.partitionBy("_part").orderBy(*order))
-    d = d.withColumn("_place", place).join(F.broadcast(before), "_part")
-    return d.select(*df.columns, (F.col("_before") + F.col("_place")).cast("long").alias(name))
+    d = _ranged(df, order)
+    d = d.join(_before(d, F.count("*")), "_part")
+    return d.select(*df.columns, (F.col("_before") + F.col("_row") + 1).cast("long").alias(name))
 
 
 def capped(pages: DataFrame, limit: int | None = None, settings: Settings = DEFAULT) -> DataFrame:
     """Pages (page_id, n_formulas, ...) up to and with the one that brings the formulas to ``limit``, in the order of page_id.
 
-    Running sums within ranges of page_id, shifted by the sums of the ranges before.
+    Running sums within ranges of page_id, shifted by the sums of the ranges
+    before. Without a limit here, that of the settings; without any, all pages.
     """
     limit = settings.max_formula_count if limit is None else limit
-    bounds = sorted(set(pages.stat.approxQuantile("page_id", [k / RANGES for k in range(1, RANGES)], 0.001))) if pages.take(1) else []
-    part = F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b < F.col("page_id"))) if bounds else F.lit(0)
-    d = pages.withColumn("_part", part)
-    sums = d.groupBy("_part").agg(F.sum("n_formulas").alias("_n"))
-    before = sums.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
-    frame = W.partitionBy("_part").orderBy("page_id").rowsBetween(W.unboundedPreceding, -1)
+    if limit is None:
+        return pages
+    d = _ranged(pages, ["page_id"])
+    frame = W.partitionBy("_part").orderBy("_row").rowsBetween(W.unboundedPreceding, -1)
     running = F.coalesce(F.sum("n_formulas").over(frame), F.lit(0))
-    d = d.withColumn("_running", running).join(F.broadcast(before), "_part")
+    d = d.withColumn("_running", running).join(_before(d, F.sum("n_formulas")), "_part")
     return d.where(F.col("_before") + F.col("_running") < limit).select(pages.columns)
 
 

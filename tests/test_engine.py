@@ -78,6 +78,80 @@ def test_search_json(index):
         assert json.loads(api.search_json(index, **bad))["status"] == "Fail"
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_search_reads_postings_by_their_terms_only(index):
+    """Two scans, pruned by term; no table of documents is read, and matches are shuffled once a side."""
+    i, c = search.prepared(index, q.QUERIES[:1])
+    plan = plan_of(search.search(i, c))
+    scans = [x for x in plan.splitlines() if "FileScan parquet" in x]
+    assert len(scans) == 2 and all("postings_" in x and "In(term" in x for x in scans)
+    assert plan.count("Exchange hashpartitioning") == 2 and "REPARTITION_BY_COL" in plan
+
+
+def test_many_clauses_are_not_broadcast_unseen(spark, index, monkeypatch):
+    few = sorted(search.search(*search.prepared(index, q.QUERIES)).collect())
+    monkeypatch.setattr(search, "BROADCAST_ROWS", 0)
+    i, c = search.prepared(index, q.QUERIES)
+    found = search.search(i, c)
+    assert not isinstance(c, dict) and found._jdf.queryExecution().analyzed().toString().count("strategy=broadcast") == 2  # the two sizes, a row each
+    again = sorted(found.collect())
+    assert [r[:3] for r in again] == [r[:3] for r in few]
+    assert all(x.score == pytest.approx(y.score) for x, y in zip(again, few))
+
+
+def test_formulas_are_analysed_once(spark):
+    built = index_tables.build(q.pages(spark, "/root/testdata/sf0.001"), q.formulas(spark, "/root/testdata/sf0.001"))
+    for kind in index_tables.KINDS:
+        assert plan_of(built.docs[kind]).count("ArrowEvalPython") == 1
+    # page postings need terms and lengths; ``write`` and ``corpus`` make both of one written table
+    assert plan_of(q.corpus(spark, "/root/testdata/sf0.001").postings["page"]).count("ArrowEvalPython") == 0
+
+
+def test_command_line_and_server(spark, tmp_path, capsys):
+    import threading
+    import urllib.request
+    from urllib.parse import quote
+
+    from sigmalake import __main__ as cli
+    from sigmalake.config import Settings
+
+    (tmp_path / "d.xml").write_text(DUMP)
+    out = str(tmp_path / "out")
+    cli.main(["--limit", "0", "index", str(tmp_path / "d.xml"), out])
+    said = capsys.readouterr().out
+    assert "pages: 3" in said and "formulas: 2" in said and "errors: 0" in said
+    cli.main(["search", f"{out}/index", "a + b", "1", "5"])
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["total"] == 1
+    labels = str(tmp_path / "labels")
+    cli.main(["put", labels, "a + b", "http://en.wikipedia.org/wiki/T1", "3"])
+    cli.main(["perf", f"{out}/index", labels])
+    cli.main(["export", labels, str(tmp_path / "l.json")])
+    assert json.loads((tmp_path / "l.json").read_text())[0]["labels"][0]["score"] == 3
+    capsys.readouterr()
+    http = cli.server(index_tables.read(spark, f"{out}/index"), labels, 0, Settings())
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+
+    def call(path, method="GET"):
+        request = urllib.request.Request(f"http://127.0.0.1:{http.server_port}/api/{path}", method=method)
+        return json.loads(urllib.request.urlopen(request).read())
+
+    try:
+        query, url = quote("a + b", safe=""), quote("http://en.wikipedia.org/wiki/T1", safe="")
+        assert call(f"search/{query}/1?size=2")["results"][0]["doc"]["doc_title"] == "T1"
+        assert call(f"search/{query}/0")["status"] == "Fail"
+        assert call(f"label/{query}/{url}")["label"] == 3
+        assert call("dcg/10")["dcg"] == pytest.approx(3)
+        assert call(f"label/{query}/{url}/5", "PUT") == {"status": "OK"} and call(f"label/{query}/{url}")["label"] == 5
+        assert call(f"label/{query}/{url}", "DELETE") == {"status": "OK"} and call(f"label/{query}/{url}")["label"] == 0
+        with pytest.raises(Exception, match="404"):
+            call("nothing")
+    finally:
+        http.shutdown()
+
+
 def test_terms_reach_the_scan(index):
     i, _ = search.prepared(index, q.QUERIES[:1])
     plan = i.postings["formula"]._jdf.queryExecution().executedPlan().toString()
@@ -128,7 +202,8 @@ def test_streamed_pages_give_the_same_postings(spark, tmp_path):
     assert got.select("term").distinct().count() == 2
 
 
-def test_without_the_operators(tmp_path):
+@pytest.mark.parametrize("files", [("sigmalake", "__spark_entry__.py"), ("sigmalake", "__spark_entry__.py", "corpus_pipeline.py")])
+def test_without_the_operators(tmp_path, files):
     """The entry imports and lists the formula queries where the training-data operators are not there."""
     import os
     import shutil
@@ -136,8 +211,10 @@ def test_without_the_operators(tmp_path):
     import sys
 
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    for name in ("sigmalake", "__spark_entry__.py"):
+    for name in files:
         source = os.path.join(root, name)
+        if not os.path.exists(source):
+            continue
         (shutil.copytree if os.path.isdir(source) else shutil.copy)(source, str(tmp_path / name))
     shutil.rmtree(tmp_path / "sigmalake" / "llm", ignore_errors=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'search_batch' in q and 'pipeline' not in q and not any(k.startswith('op') for k in q)"

@@ -124,3 +124,29 @@ def test_switches_and_clauses():
 
 def test_order_is_by_utf16():
     assert m.order_key(m.leaf("mi", "\U0001d400")) < m.order_key(m.leaf("mi", "Ａ"))
+
+
+@pytest.mark.parametrize("empty", ["", " ", "\n", r"\,", "{}"])
+def test_empty_formulas_have_no_terms(empty):
+    assert [t for t in terms_of(empty) if t.level == 1] == [] and all(t.term == "" for t in terms_of(empty))
+
+
+@pytest.mark.parametrize("latex, tree", [
+    (r"{a \over b}", "<mfrac><mi>a</mi><mi>b</mi></mfrac>"), (r"a \leqslant b", "<mo o='&les;'><mi>a</mi><mi>b</mi></mo>"),
+    (r"\mathop{x}", "<mi>x</mi>"), (r"\color{red} x", "<mi>x</mi>"), (r"\left\lVert x \right\rVert", "<mfenced><mi>x</mi></mfenced>"),
+    (r"\xrightarrow{f}", "<mover><mo>&rightarrow;</mo><mi>f</mi></mover>"),
+])
+def test_more_commands(latex, tree):
+    got = str(tree_of(latex))
+    assert tree in got or latex.startswith(r"\xright") and "&rightarrow;" in got
+
+
+@pytest.mark.parametrize("name", "dagger Longleftrightarrow subsetneq lbrace nleq triangleq rVert gets nexists therefore".split())
+def test_known_symbols(name):
+    tree_of(rf"a \{name} b")
+
+
+def test_lines_and_sides():
+    tree_of(r"\sum_{\substack{i < n \\ j}} x")
+    tree_of(r"\sideset{a}{b}\prod x")
+    tree_of(r"a \xrightarrow[x]{y} b")
