@@ -53,10 +53,10 @@ def _answer(index: Index, query: str, page: int, size: int, settings: Settings)
     results.unpersist()
     shown = [
         {
-            "doc": {"formula_id": r.formula_id, "formula": r.formula, "doc_id": r.page_id, "doc_title": r.doc_title, "doc_url": r.doc_url},
-            "score": r.score,
-            "explain": f"<div>{explain.score_html(why.get(('formula', r.formula_id), []))}</div>"
-            f"<div style='background-color:gray'>{explain.score_html(why.get(('page', r.page_id), []))}</div>",
+            "doc": {"formula_id": r["formula_id"], "formula": r["formula"], "doc_id": r["page_id"], "doc_title": r["doc_title"], "doc_url": r["doc_url"]},
+            "score": r["score"],
+            "explain": f"<div>{explain.score_html(why.get(('formula', r['formula_id']), []))}</div>"
+            f"<div style='background-color:gray'>{explain.score_html(why.get(('page', r['page_id']), []))}</div>",
         }
         for r in rows
     ]

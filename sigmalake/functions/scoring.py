@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ def idf(n_docs: Column, df: Column) -> Column:
     return 1 + F.ln(n_docs / (df + 1))
 
 
+def idf_of(n_docs: int, df: int) -> float:
+    """``idf`` of two numbers; nothing indexed: nothing to weigh."""
+    return 1 + log(n_docs / (df + 1)) if n_docs else 0.0
+
+
 def norm(length: Column) -> Column:
     """1 / length, cut to two binary digits after the leading one; 0 for a document without terms."""
     unit = F.pow(F.lit(2.0), F.ceil(F.log2(length)) + 2)

@@ -14,8 +14,13 @@ from ..functions.terms import analyse
 KINDS = ("formula", "page")
 
 
-#: Postings and terms of a written partition.
-PARTITION_ROWS = 250_000
+#: Rows of a written partition: of the first SMALL_PARTITIONS, so that a small table is read by several tasks, and of all beyond.
+SMALL_ROWS, SMALL_PARTITIONS = 20_000, 32
+PARTITION_ROWS = 1_000_000
+
+
+def _partitions(rows: int) -> int:
+    return 1 + min(rows // SMALL_ROWS, SMALL_PARTITIONS) + rows // PARTITION_ROWS
 
 
 @dataclass(frozen=True)
@@ -100,9 +105,9 @@ def write(index: Index, path: str) -> None:
     index.known.write.parquet(f"{path}/known")
     own = of_known(index.pages, index.formulas, spark.read.parquet(f"{path}/known"))
     for name, table, by in (("pages", own.pages, "page_id"), ("formulas", own.formulas, "formula_id")):
-        table.repartitionByRange(table.count() // PARTITION_ROWS + 1, by).sortWithinPartitions(by).write.parquet(f"{path}/{name}")
+        table.repartitionByRange(_partitions(table.count()), by).sortWithinPartitions(by).write.parquet(f"{path}/{name}")
     rows = own.known.agg(F.coalesce(F.sum("n_terms"), F.lit(0))).first()[0]
-    parts = int(rows // PARTITION_ROWS) + 1
+    parts = _partitions(rows)
     for kind in KINDS:
         ordered = own.postings[kind].repartitionByRange(parts, "term", "doc_id").sortWithinPartitions("term", "doc_id")
         ordered.write.option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings_{kind}")

@@ -1,16 +1,18 @@
 """Ranked search: any number of queries in one job, each step keyed by query_id.
 
 Query clauses are made on the driver. Those of up to PUSHED_TERMS distinct terms
-are weighted first (one small job) and then meet the postings as a local table:
-a filter on the terms reaches the scan, and what matches is shuffled once, by
-query and page. More clauses are joined as tables, by shuffle where they are
-large.
+are weighted there, from one lookup of their terms; a filter on the terms then
+reaches the scan of the postings, and what matches of both indexes is shuffled
+once, by query and page. More clauses are joined as tables, by shuffle where
+they are large.
 """
 
 from __future__ import annotations
 
+import json
+from collections import Counter, defaultdict
 from collections.abc import Iterable
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -22,13 +24,32 @@ from ..functions.terms import query_clauses
 from ..operators.index import KINDS, Index
 
 CLAUSES = "query_id long, clause int, term string, level int, generalization boolean"
+WEIGHTS = "query_id long, clause int, level int, generalization boolean, boost double, df long, idf double, n_clauses long, query_norm double"
 #: Rows (clauses, results of a page) up to which a side is broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 200_000
-#: Distinct terms up to which the scan of the postings is filtered by them.
+#: Distinct terms up to which the scan of the postings is filtered by them, and up to which their weights stand in the plan itself.
 PUSHED_TERMS = 1_000
+FEW_TERMS = 64
 
-#: Clauses as ``clauses`` makes them, or weighted ones for each kind of index.
-Clauses = DataFrame | dict[str, DataFrame]
+
+@dataclass(frozen=True)
+class Weighted:
+    """Weighted clauses of a bounded number: for each kind of index, rows of WEIGHTS by term."""
+
+    rows: dict[str, dict[str, list[dict]]]
+
+    def table(self, spark: SparkSession, kind: str) -> DataFrame:
+        own = spark.range(1).select(F.explode(self.by_term(kind)).alias("term", "w"))
+        return own.select("term", F.inline("w"))
+
+    def by_term(self, kind: str):
+        """The weights as one literal, a map of arrays."""
+        fields = ", ".join("{}: {}".format(*f.split()) for f in WEIGHTS.split(", "))
+        return F.from_json(F.lit(json.dumps(self.rows[kind])), f"map<string, array<struct<{fields}>>>")
+
+
+#: Clauses as ``clauses`` makes them, or weighted ones.
+Clauses = DataFrame | Weighted
 
 
 def clauses(spark: SparkSession, queries: Iterable[tuple[int, str]], settings: Settings = DEFAULT) -> DataFrame:
@@ -47,27 +68,40 @@ def prepared(index: Index, queries: Iterable[tuple[int, str]], settings: Setting
     the postings, which lie in the order of terms: few row groups are read. Up
     to BROADCAST_ROWS of their clauses are weighted here, in one job.
     """
-    spark = index.pages.sparkSession
     rows = query_clauses(queries, settings)
     terms = sorted({row[2] for row in rows})
-    q = _clauses(spark, rows)
     if len(terms) > PUSHED_TERMS:
-        return index, q
+        return index, _clauses(index.pages.sparkSession, rows)
     cut = lambda tables: {k: d.where(F.col("term").isin(terms)) for k, d in tables.items()}
     index = replace(index, postings=cut(index.postings), term_stats=cut(index.term_stats))
     if len(rows) > BROADCAST_ROWS:
-        return index, q
-    both = [weighted(index, kind, q).withColumn("kind", F.lit(kind)) for kind in KINDS]
-    found = both[0].unionByName(both[1])
-    known = found.collect()  # as many rows as clauses, twice
-    types = found.drop("kind").schema
-    return index, {k: F.broadcast(spark.createDataFrame([r[:-1] for r in known if r.kind == k], types)) for k in KINDS}
+        return index, _clauses(index.pages.sparkSession, rows)
+    # one row for each term and kind, and the two sizes
+    sides = [index.term_stats[k].selectExpr(f"'{k}' kind", "term", "df") for k in KINDS]
+    sides += [index.sizes[k].selectExpr(f"'{k}' kind", "null term", "n_docs df") for k in KINDS]
+    known = {(r.kind, r.term): r.df for r in sides[0].union(sides[1]).union(sides[2]).union(sides[3]).collect()}
+    return index, Weighted({k: _weights(rows, known[k, None], {t: known.get((k, t), 0) for t in terms}) for k in KINDS})
+
+
+def _weights(rows: list[tuple], n_docs: int, df: dict[str, int]) -> dict[str, list[dict]]:
+    """Rows of ``weighted``, computed on the driver."""
+    clauses, square = Counter(r[0] for r in rows), defaultdict(float)
+    idf = {t: scoring.idf_of(n_docs, n) for t, n in df.items()}
+    boost = lambda general: scoring.GENERAL_BOOST if general else 1.0
+    for query_id, _, term, _, general in rows:
+        square[query_id] += (idf[term] * boost(general)) ** 2
+    out = defaultdict(list)
+    for query_id, clause, term, level, general in rows:
+        qn = square[query_id] ** -0.5 if square[query_id] else None
+        values = (query_id, clause, level, general, boost(general), df[term], idf[term], clauses[query_id], qn)
+        out[term].append(dict(zip((f.split()[0] for f in WEIGHTS.split(", ")), values)))
+    return dict(out)
 
 
 def weighted(index: Index, kind: str, q: Clauses) -> DataFrame:
     """Clauses with idf (unknown terms have df 0), and per query n_clauses and query_norm."""
-    if isinstance(q, dict):
-        return q[kind]
+    if isinstance(q, Weighted):
+        return q.table(index.pages.sparkSession, kind)
     stats = q.select("term").distinct().join(index.term_stats[kind], "term")
     w = q.join(stats, "term", "left").crossJoin(F.broadcast(index.sizes[kind]))  # one row
     w = w.withColumn("df", F.coalesce("df", F.lit(0))).withColumn("idf", scoring.idf(F.col("n_docs"), F.col("df")))
@@ -80,25 +114,34 @@ def weighted(index: Index, kind: str, q: Clauses) -> DataFrame:
 
 
 def matches(index: Index, kind: str, q: Clauses) -> DataFrame:
-    """(query_id, clause, doc_id, page_id, norm, proximity, part) of every clause that a document matches; part = idf^2 x boost x proximity."""
-    m = index.postings[kind].join(weighted(index, kind, q), "term")
-    m = m.withColumn("proximity", scoring.proximity(F.col("level"), F.col("levels")))
-    return m.withColumn("part", F.col("idf") * F.col("idf") * F.col("boost") * F.col("proximity"))
+    """(query_id, clause, term, ..., doc_id, page_id, norm, proximity, part) of every clause that a document matches.
 
+    part = idf^2 x boost x proximity.
+    """
+    p = index.postings[kind]
+    if isinstance(q, Weighted) and len(q.rows[kind]) <= FEW_TERMS:
+        m = p.select("*", F.inline(F.try_element_at(q.by_term(kind), F.col("term"))))
+    elif isinstance(q, Weighted):
+        m = p.join(F.broadcast(weighted(index, kind, q)), "term")  # at most BROADCAST_ROWS clauses
+    else:
+        m = p.join(weighted(index, kind, q), "term")
+    near = scoring.proximity(F.col("level"), F.col("levels"))
+    return m.select("*", near.alias("proximity"), (F.col("idf") * F.col("idf") * F.col("boost") * near).alias("part"))
 
-def search_documents(index: Index, kind: str, q: Clauses) -> DataFrame:
-    """(query_id, doc_id, page_id, matched, score) of all documents that match some clause.
 
-    Matches are dealt by (query, page) once; every grouping and join after it
-    keeps that partitioning.
-    """
-    m = matches(index, kind, q).select("query_id", "doc_id", "page_id", "part", "n_clauses", "query_norm", "norm")
-    m = m.repartition("query_id", "page_id").groupBy("query_id", "doc_id", "page_id").agg(
-        F.count("*").alias("matched"), F.sum("part").alias("sum"), F.first("n_clauses").alias("n"),
-        F.first("query_norm").alias("qn"), F.first("norm").alias("norm"),
-    )
-    score = F.col("matched") / F.col("n") * F.col("qn") * F.col("norm") * F.col("sum")
-    return m.select("query_id", "doc_id", "page_id", "matched", score.alias("score"))
+MATCHED = ("query_id", "page_id", "doc_id", "part", "n_clauses", "query_norm", "norm")
+
+
+def _scored(m: DataFrame, *keys: str) -> DataFrame:
+    """Matches to documents. They are dealt by (query, page) once; every grouping after it keeps that partitioning."""
+    score = "count(*) / first(n_clauses) * first(query_norm) * first(norm) * sum(part)"
+    by = m.repartition("query_id", "page_id").groupBy("query_id", "page_id", "doc_id", *keys)
+    return by.agg(F.count("*").alias("matched"), F.expr(score).alias("score"))
+
+
+def search_documents(index: Index, kind: str, q: Clauses) -> DataFrame:
+    """(query_id, doc_id, page_id, matched, score) of all documents that match some clause."""
+    return _scored(matches(index, kind, q).select(*MATCHED)).select("query_id", "doc_id", "page_id", "matched", "score")
 
 
 def best_formulas(index: Index, q: Clauses) -> DataFrame:
@@ -117,9 +160,19 @@ def search_pages(index: Index, q: Clauses) -> DataFrame:
 
 
 def search(index: Index, q: Clauses, settings: Settings = DEFAULT) -> DataFrame:
-    """(query_id, page_id, formula_id, formula_score, page_score, score), unordered: every page that matches."""
-    both = best_formulas(index, q).join(search_pages(index, q), ["query_id", "page_id"])
-    return both.withColumn("score", scoring.merged(F.col("formula_score"), F.col("page_score"), settings))
+    """(query_id, page_id, formula_id, formula_score, page_score, score), unordered: every page that matches.
+
+    ``best_formulas`` and ``search_pages`` in one: the matches of both indexes
+    are shuffled together, and no join is left.
+    """
+    both = [matches(index, k, q).select(*MATCHED, F.lit(k == "formula").alias("formula")) for k in KINDS]
+    best = "max_by(struct(doc_id, score), struct(score, -doc_id)) filter (where formula)"
+    found = _scored(both[0].union(both[1]), "formula").groupBy("query_id", "page_id").agg(
+        F.expr(best).alias("b"), F.expr("max(score) filter (where not formula)").alias("page_score")
+    )
+    found = found.where("b is not null and page_score is not null")
+    merged = scoring.merged(F.col("b.score"), F.col("page_score"), settings).alias("score")
+    return found.select("query_id", "page_id", F.col("b.doc_id").alias("formula_id"), F.col("b.score").alias("formula_score"), "page_score", merged)
 
 
 def page_bounds(page: int, size: int) -> tuple[int, int]:
@@ -164,17 +217,22 @@ def with_attributes(index: Index, page_rows: DataFrame, settings: Settings = DEF
     return out.withColumn("doc_url", scoring.wiki_url(F.col("doc_title"), settings))
 
 
-def top_rows(index: Index, results: DataFrame, page: int, size: int, settings: Settings = DEFAULT) -> list:
-    """The rows of one query's result page with their attributes, in order of rank.
+def top_rows(index: Index, results: DataFrame, page: int, size: int, settings: Settings = DEFAULT, digits: int = 10) -> list[dict]:
+    """The rows of one query's result page with their rank and attributes, in order.
 
-    The ids of the page (at most ``size``) come first and then reach the scans
-    of formulas and pages, which lie in the order of ids.
+    Only the top of each partition is sorted. The ids of the page (at most
+    ``size``) then reach the scans of formulas and pages, which lie in the order
+    of ids.
     """
-    top = result_page(results, page, size).collect()
+    start, stop = page_bounds(page, size)
+    top = results.orderBy(F.round("score", digits).desc(), "page_id").limit(stop).collect()[start:]
     if not top:
         return []
-    spark = index.pages.sparkSession
-    ids = lambda name: F.col(name).isin([r[name] for r in top])
-    own = replace(index, formulas=index.formulas.where(ids("formula_id")), pages=index.pages.where(ids("page_id")))
-    found = with_attributes(own, spark.createDataFrame(top, results.columns + ["rank"]), settings, len(top))
-    return sorted(found.collect(), key=lambda r: r["rank"])
+    titled = index.pages.select("page_id", "title", scoring.wiki_url(F.col("title"), settings).alias("doc_url"))
+    titles = {r.page_id: r for r in titled.where(F.col("page_id").isin([r.page_id for r in top])).collect()}
+    latex = index.formulas.where(F.col("formula_id").isin([r.formula_id for r in top])).select("formula_id", "latex").collect()
+    formulas = {r.formula_id: r.latex for r in latex}
+    return [
+        r.asDict() | {"rank": start + n, "formula": formulas[r.formula_id], "doc_title": titles[r.page_id].title, "doc_url": titles[r.page_id].doc_url}
+        for n, r in enumerate(top, 1)
+    ]
