@@ -15,11 +15,12 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, fold_of, table, trim
+from .common import arrow_rows, dropped, fold_of, table, trim, written
 
-#: Most labelled rows that the counts are taken from.
+#: Most labelled rows that the counts are taken from, dealt evenly over the languages.
 SAMPLE = 8_000
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 16
@@ -228,19 +229,41 @@ def _answer(model, switch, with_spans, ids, texts, split):
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
+def chosen(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(i, l) of rows (i, l) to learn from: of each language the least hashes of the id, up to an equal part of ``sample``.
+
+    Rows beyond a hash bound, which keeps some 1.5 times as many, are dropped
+    before anything is sorted, so no task sorts all rows of a language.
+    """
+    count = docs.groupBy("l").agg(F.count("*").alias("n"))  # a row for each language
+    langs = count.count()
+    if not langs:
+        return docs.limit(0)
+    quota = max(1, sample // langs)
+    unit = F.pmod(F.xxhash64("i"), F.lit(1 << 40)) / float(1 << 40)
+    near = docs.join(F.broadcast(count), "l").where(unit * F.col("n") <= 1.5 * quota + 50)
+    place = F.row_number().over(W.partitionBy("l").orderBy(unit, "i"))
+    return near.select("i", "l", place.alias("place")).where(F.col("place") <= quota).select("i", "l")
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """The model, from rows with a language outside fold 0, at most ``sample`` of them (the least hashes of the id)."""
+    """The model, from rows with a language outside fold 0, at most ``sample`` of them, an equal number of each language as far as it has them.
+
+    Rows that repeat an id count as often as they are there. The sampled texts
+    are written once by all tasks, counted by one, and a row for each language
+    comes to the driver.
+    """
     d = docs.select(F.col(id_col).cast("long").alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t"))
     d = d.where("l is not null and t is not null").where(fold_of(F.col("i")) != 0)
-    picked = d.select("i", "l").orderBy(F.xxhash64("i"), "i").limit(sample)  # ids first: no text is sorted
+    picked = written(chosen(d.select("i", "l"), sample), "sample")  # ids first: no text is sorted
     langs = sorted(r.l for r in picked.select("l").distinct().collect())  # at most ``sample`` rows
-    own = d.join(F.broadcast(picked.select("i").distinct()), "i", "left_semi").select("t", "l").where(F.col("l").isin(langs))
-    got = own.coalesce(8).mapInArrow(_counts(langs), "lang string, grams binary, scripts binary")
+    own = written(d.join(F.broadcast(picked.distinct()), ["i", "l"], "left_semi").select("t", "l"), "sample")
     counts = np.zeros((len(langs), len(ORDERS), BUCKETS), np.int64)
     scripts = np.zeros((len(langs), len(SCRIPTS)), np.int64)
-    for r in got.toLocalIterator():  # a few rows per language
-        counts[langs.index(r.lang)] += np.frombuffer(r.grams, "<i8").reshape(len(ORDERS), BUCKETS)
-        scripts[langs.index(r.lang)] += np.frombuffer(r.scripts, "<i8")
+    for r in own.coalesce(1).mapInArrow(_counts(langs), "lang string, grams binary, scripts binary").toLocalIterator():
+        counts[langs.index(r.lang)] = np.frombuffer(r.grams, "<i8").reshape(len(ORDERS), BUCKETS)
+        scripts[langs.index(r.lang)] = np.frombuffer(r.scripts, "<i8")
+    dropped(picked, own)
     model = Model(langs, counts, scripts)
     del counts
     trim()

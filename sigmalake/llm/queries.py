@@ -18,4 +18,5 @@ QUERIES = {
 ORACLES = {
     "op1_quality_rules": quality.OP1_SQL,
     "op5_mix_sources": mixing.OP5_SQL,
+    "op8_substrings": substrings.OP8_SQL,
 }

@@ -390,3 +390,15 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
+OP8_SQL = r"""
+with d as (select row_number() over () r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+s as (select r, doc_id, i, array_to_string(w[i:i + 12], ' ') k from (select *, unnest(range(1, len(w) - 11)) i from d where len(w) >= 13)),
+m as (select k, min(doc_id) least from s group by k),
+hit as (select r, i from s join m using (k) where doc_id > least or (doc_id is null and least is not null)),
+gone as (select distinct r, i + unnest(range(0, 13)) p from hit),
+each as (select r, unnest(w) x, unnest(range(1, len(w) + 1)) p from d),
+kept as (select r, string_agg(x, ' ' order by p) t, count(*) n from each anti join gone using (r, p) group by r)
+select doc_id, len(w)::bigint n_words, (len(w) - coalesce(n, 0))::bigint n_removed, sha256(coalesce(t, '')) kept_sha256 from d left join kept using (r)
+"""

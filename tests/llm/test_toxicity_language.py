@@ -87,6 +87,90 @@ def test_language_spans_scripts_and_odd_rows(spark):
     assert none.langs == [] and language.identify(spark.createDataFrame([(1, "a")], "doc_id long, text string"), none).first().lang_pred == "und"
 
 
+def test_rare_languages_are_learned_and_samples_bounded(spark):
+    rows = [(k, "xx" if k % 4000 == 1 else "en" if k % 3 else "de") for k in range(12_000)]
+    docs = spark.createDataFrame(rows, "i long, l string")
+    got = language.chosen(docs, 300).groupBy("l").count().collect()
+    assert {r.l: r["count"] for r in got} == {"xx": 3, "en": 100, "de": 100}
+    assert sorted(language.chosen(docs, 300).collect()) == sorted(language.chosen(docs.repartition(5), 300).collect())
+    assert language.chosen(docs.limit(0), 300).count() == 0
+
+
+def test_language_against_a_plain_version(spark):
+    """Counts, word scores, script narrowing and the choice of a text's language, a gram and a path at a time."""
+    import re
+
+    train = [("the cat sat on the mat", "en"), ("the dog and the house", "en"), ("der hund sitzt im haus", "de"), ("die katze und der hund", "de"), ("кошка и собака", "ru")]
+    docs = [(5 * k + j, t, lang) for k in range(30) for j, (t, lang) in enumerate(train)]
+    model = language.train(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    from zlib import crc32
+
+    learned = [(t, lang) for i, t, lang in docs if crc32(str(i).encode()) % 5]
+    langs = ["de", "en", "ru"]
+
+    def hashed(text, n):
+        out = []
+        for at in range(len(text) - n + 1):
+            h = 0
+            for byte in text[at : at + n]:
+                h = (h * 16777619 ^ byte) % 2**32
+            out.append((h * 2654435761 % 2**32) >> 16)
+        return out
+
+    def own(word, n):  # a word's grams: with the blanks around it, single bytes without
+        return hashed(word if n == 1 else b" " + word + b" ", n)
+
+    counts = {(lang, n): np.full(1 << 16, 0.5) for lang in langs for n in language.ORDERS}
+    for t, lang in learned:
+        line = b" " + t.encode() + b" "
+        for n in language.ORDERS:
+            # every place once that lies in some word's reach
+            places = set()
+            for m in re.finditer(rb"\S+", line):
+                a, b = (m.start(), m.end()) if n == 1 else (m.start() - 1, m.end() + 1)
+                places |= set(range(a, b - n + 1))
+            for h in (hashed(line[p : p + n], n)[0] for p in places):
+                counts[lang, n][h] += 1
+    log = {k: language.SCALE * np.log(c / c.sum()) for k, c in counts.items()}
+
+    def word_scores(w):
+        s = np.array([sum(log[lang, n][h] for n in language.ORDERS for h in own(w, n)) for lang in langs])
+        s = s - np.where([(lang == "ru") != (not w.isascii()) for lang in langs], 1e4, 0)
+        return s - s.max()
+
+    def best(words):
+        import itertools
+
+        paths = itertools.product(range(3), repeat=len(words))
+        value = lambda p: sum(word_scores(w)[k] for w, k in zip(words, p)) - language.SWITCH * sum(a != b for a, b in zip(p, p[1:]))
+        return max(paths, key=value)
+
+    texts = ["the mat", "hund im haus und katze", "cat собака кошка", "house haus", "и", "xyz qqq the the the"]
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(texts):
+        words = t.encode().split()
+        share = np.zeros(3)
+        for w, k in zip(words, best(words)):
+            share[k] += len(w)
+        assert got[i].lang_pred == langs[int(share.argmax())] and got[i].score == pytest.approx(share.max() / share.sum())
+
+
+def test_toxicity_scores_against_a_plain_version(spark):
+    from zlib import crc32
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    for r in toxicity.score(docs.where("doc_id % 20 = 0"), model).join(docs.withColumnRenamed("doc_id", "i"), F.col("doc_id") == F.col("i")).collect():
+        line = "".join(chr(b + 32) if 65 <= b <= 90 else chr(b) if 97 <= b <= 122 or b >= 128 else " " for b in (r.text or "").encode())
+        z, seen = model.bias, set()
+        for w in {x.encode("latin-1") for x in line.split(" ") if x}:
+            for f in [b"w" + w] + ([b"4" + w[:4], b"5" + w[:5]] if len(w) >= 5 else []):
+                seen.add(crc32(f) % toxicity.BUCKETS)
+        z += sum(model.weights.get(x, 0.0) for x in seen)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-max(-60, min(60, z)))))
+        assert r.predicted == (r.score >= 0.5)
+
+
 @pytest.mark.parametrize("switch", [0.0, 2.0, 12.0])
 def test_viterbi_is_the_best_path(switch):
     rng = np.random.default_rng(4)
