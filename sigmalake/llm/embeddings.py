@@ -3,7 +3,8 @@
 Normalised vectors of one label are bucketed in several tables, each by
 quantised random projections; members of a bucket are compared by exact cosine
 in double precision. A pair that meets in several tables counts in the first
-only, so links are counted without listing pairs. The number of projections
+only, so links are counted without listing pairs. Equal vectors are one, with
+their number as its weight. The number of projections
 follows the number of vectors, which keeps chance collisions rare at any size,
 and the number of tables follows from the recall asked for. Only vectors that
 share a bucket ever travel; a large bucket is split into a grid of parts.
@@ -89,10 +90,10 @@ def _keyed(k: int, tables: int):
     return run
 
 
-def _linked(unit: np.ndarray, keys: np.ndarray, own: int, part: np.ndarray, cell: tuple[int, int], cosine: float):
-    """Per member of a bucket cell: links first met here, and a member that it is connected with (itself: none)."""
+def _linked(unit: np.ndarray, weight: np.ndarray, keys: np.ndarray, own: int, part: np.ndarray, cell: tuple[int, int], cosine: float):
+    """Per member of a bucket cell: weight of links first met here, and a member that it is connected with (itself: none)."""
     n = len(unit)
-    count, root = np.zeros(n, np.int64), np.arange(n)
+    count, root = np.zeros(n), np.arange(n)
     rows = max(1, (1 << 21) // n)
     for at in range(0, n, rows):
         near = unit[at : at + rows] @ unit.T >= cosine
@@ -115,13 +116,14 @@ def _linked(unit: np.ndarray, keys: np.ndarray, own: int, part: np.ndarray, cell
         met = np.zeros(len(i), bool)
         for t in range(own):
             met |= keys[i, t] == keys[j, t]
-        count += np.bincount(i[~met], minlength=n) + np.bincount(j[~met], minlength=n)
-    return count, root
+        i, j = i[~met], j[~met]
+        count += np.bincount(i, weight[j], minlength=n) + np.bincount(j, weight[i], minlength=n)
+    return count.astype(np.int64), root
 
 
 def _compared(k: int, tables: int, cosine: float):
     def run(t: pa.Table) -> pa.Table:
-        uid, key, label = (t.column(c).to_numpy() for c in ("uid", "key", "label"))
+        uid, key, label, weight = (t.column(c).to_numpy() for c in ("uid", "key", "label", "weight"))
         x, y, part = (t.column(c).to_numpy() for c in ("x", "y", "part"))
         out: list[tuple] = []
         for rows, v in _matrix(t.column("embedding")):
@@ -135,7 +137,7 @@ def _compared(k: int, tables: int, cosine: float):
                     continue
                 o, r = order[a:b], s[a:b]
                 own = int(np.flatnonzero(all_keys[o[0]] == key[r[0]])[0])
-                count, root = _linked(unit[o], all_keys[o], own, part[r], (x[r[0]], y[r[0]]), cosine)
+                count, root = _linked(unit[o], weight[r], all_keys[o], own, part[r], (x[r[0]], y[r[0]]), cosine)
                 some = (count > 0) | (root != np.arange(len(r)))
                 out.append((uid[r][some], count[some], uid[r][root][some]))
         c = [np.concatenate(z) for z in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
@@ -167,10 +169,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         ).withColumn("uid", F.monotonically_increasing_id()),
         "vectors",
     )
-    valid = rows.where("good").select("uid", "label", "embedding")
+    equal = rows.where("good").groupBy("label", "embedding").agg(F.min("uid").alias("uid"), F.count("*").alias("weight"), F.min("id").alias("least"))
+    valid = written(equal, "vectors")  # one row for equal vectors
     most = valid.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     k, tables = plan(most, cosine, recall)
-    keys = written(valid.mapInArrow(_keyed(k, tables), "key long, uid long"), "keys")
+    keys = written(valid.select("uid", "label", "embedding").mapInArrow(_keyed(k, tables), "key long, uid long"), "keys")
     shared = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     parts = F.ceil(F.col("m") / PART).cast("int")
     met = keys.join(shared, "key").select("key", "uid", F.when(F.col("m") > PART, parts).otherwise(1).alias("p"))
@@ -181,13 +184,20 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     met = written(met, "met")
     buckets = met.count() // TASK_ROWS + 1
     bucket = F.pmod(F.xxhash64("key", "x", "y"), F.lit(buckets)).cast("int").alias("bucket")
-    found = met.join(valid, "uid").groupBy(bucket).applyInArrow(_compared(k, tables, cosine), "uid long, n long, other long")
+    vectors = valid.select("uid", "label", "embedding", "weight")
+    found = met.join(vectors, "uid").groupBy(bucket).applyInArrow(_compared(k, tables, cosine), "uid long, n long, other long")
     found = written(found, "links")
     counts = found.groupBy("uid").agg(F.sum("n").alias("n_links"))
     tree = components(found.where("uid <> other").select(F.col("uid").alias("a"), F.col("other").alias("b")))
-    least = tree.join(rows.select("uid", "id"), F.col("node") == F.col("uid")).groupBy("component").agg(F.min("id").alias("least"))
-    of = tree.join(least, "component").select(F.col("node").alias("uid"), "least")
-    out = rows.select("uid", "id").join(counts, "uid", "left").join(of, "uid", "left")
+    root = valid.select("uid", "least", "weight").join(tree, F.col("uid") == F.col("node"), "left")
+    root = root.select("uid", "least", "weight", F.coalesce("component", "uid").alias("root"))
+    least = root.groupBy("root").agg(F.min("least").alias("least"))
+    of = root.drop("least").join(least, "root").join(counts, "uid", "left")
+    of = of.select("uid", "least", (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    # a row's vector is one of ``valid``; the other rows link with nothing
+    known = valid.select("label", "embedding", F.col("uid").alias("of")).join(of.withColumnRenamed("uid", "of"), "of")
+    good = rows.where("good").select("id", "label", "embedding").join(known.drop("of"), ["label", "embedding"]).select("id", "n_links", "least")
+    out = good.unionByName(rows.where("not good").select("id", F.lit(0).alias("n_links"), F.col("id").alias("least")))
     component = F.coalesce("least", "id")
     return out.select(
         F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

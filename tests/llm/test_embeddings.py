@@ -70,5 +70,5 @@ def test_sparse_chains_of_a_large_cell_stay_connected():
     for n in (1400, 2000, 4000):
         angle = rng.permutation(n) * (2 * np.pi / n)
         unit = np.stack([np.cos(angle), np.sin(angle)], axis=1)
-        count, root = embeddings._linked(unit, np.zeros((n, 1), np.int64), 0, np.zeros(n, int), (0, 0), np.cos(3.5 * 2 * np.pi / n))
+        count, root = embeddings._linked(unit, np.ones(n), np.zeros((n, 1), np.int64), 0, np.zeros(n, int), (0, 0), np.cos(3.5 * 2 * np.pi / n))
         assert (count == 6).all() and (root == root[0]).all()
