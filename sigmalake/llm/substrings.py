@@ -8,9 +8,11 @@ word sequences, all documents at once), and adjoining repeats merge into maximal
 ones. No pair of documents is ever formed: a passage shared by n documents
 costs n entries.
 
-Keys travel as packed arrays, one row per (block of documents, bucket), so the
-shuffle holds some 5 bytes per word. Buckets and blocks have a bounded size;
-their number grows with the texts.
+Keys travel as packed arrays, one row per (block of documents, bucket that the
+block has keys of). A block names each of its keys once, however often it has
+it, and keeps the places for itself, so a line that a third of all documents
+share costs one entry per block. Buckets and blocks have a bounded size; their
+number grows with the texts.
 """
 
 from __future__ import annotations
@@ -81,8 +83,8 @@ def places(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
 
 
-def _blocks(batches, columns: int):
-    """Lists of rows, up to BLOCK_WORDS or so: (words of each text, other columns)."""
+def _blocks(batches, columns: int, most: int):
+    """Lists of rows, up to ``most`` words or so: (words of each text, other columns)."""
     split, rest, n = [], [[] for _ in range(columns - 1)], 0
     for b in batches:
         texts = b.column(0).cast(pa.binary())
@@ -93,19 +95,62 @@ def _blocks(batches, columns: int):
             for k in range(columns - 1):
                 rest[k].append(others[k][i])
             n += len(words)
-            if n >= BLOCK_WORDS or len(split) >= 50_000:
+            if n >= most or len(split) >= 50_000:
                 yield split, rest
                 split, rest, n = [], [[] for _ in range(columns - 1)], 0
     if split:
         yield split, rest
 
 
-def _probes(buckets: int, anchor: int):
-    """(text, row) -> per bucket: sorted 32-bit keys of all rolling windows, their places, which of them are anchors."""
+def runs(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where each distinct key begins."""
+    return np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]]) if len(sorted_keys) else np.zeros(0, np.int64)
+
+
+def cuts(sorted_buckets: np.ndarray):
+    """(bucket, from, to) of the buckets that there are."""
+    first = runs(sorted_buckets)
+    return zip(sorted_buckets[first].tolist(), first.tolist(), [*first[1:].tolist(), len(sorted_buckets)])
+
+
+#: Rows of a block: its keys in one bucket (answered by a bit for each), its documents, the places of its keys.
+KEYS, DOCS, PLACES = range(3)
+
+
+def _home(block: int, buckets: int) -> int:
+    """The bucket through which a block's own rows pass; blocks of one partition spread, too."""
+    return (block ^ block >> 24) % buckets
+
+
+def _places(block: int, buckets: int, at: np.ndarray, size: np.ndarray, bucket: np.ndarray, more: bytes = b"") -> tuple:
+    """Row of a block's places, key after key; ``bucket`` is each key's."""
+    each = np.array([(b, j - i) for b, i, j in cuts(bucket)], np.int64).reshape(-1, 2)
+    head = np.array([len(each), len(size), len(at)], np.int64).tobytes() + each.tobytes()
+    return (_home(block, buckets), block, PLACES, len(at), head + put(size.astype(np.uint32)) + put(at.astype(np.uint32)), more)
+
+
+def _answered(own: tuple, answers: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """A block's places, key after key, and which of them lie under a key whose bit is set."""
+    data = own[4]
+    n_buckets, n_keys, n = np.frombuffer(data, np.int64, 3).tolist()
+    each = np.frombuffer(data, np.int64, 2 * n_buckets, 24).reshape(-1, 2)
+    from_ = 24 + 16 * n_buckets
+    size = get(data, np.uint32, n_keys, from_).astype(np.int64)
+    at = get(data, np.uint32, n, from_ + 4 * n_keys).astype(np.int64)
+    begin = dict(zip(each[:, 0].tolist(), (np.cumsum(each[:, 1]) - each[:, 1]).tolist()))
+    good = np.zeros(n_keys, bool)
+    for bucket, _, _, k, bits, _ in answers:
+        i = begin[bucket]
+        good[i : i + k] = np.unpackbits(np.frombuffer(bits, np.uint8), count=k)
+    return at, np.repeat(good, size)
+
+
+def _probes(buckets: int, anchor: int, most: int):
+    """(text, row) -> per bucket: a block's 32-bit keys of rolling windows, which of them it has twice, which are anchors; per block: documents, places."""
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        for number, (split, (rows,)) in enumerate(_blocks(batches, 2)):
+        for number, (split, (rows,)) in enumerate(_blocks(batches, 2, most)):
             block = (part << 24) | number
             sizes = np.array([len(w) for w in split], np.int64)
             begin = np.cumsum(sizes) - sizes
@@ -115,12 +160,18 @@ def _probes(buckets: int, anchor: int):
             key, inside = key[valid], inside[valid]
             bucket = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             order = np.lexsort((key.astype(np.uint32), bucket)) if buckets > 1 else np.argsort(key.astype(np.uint32), kind="stable")
-            low, at, fixed = key.astype(np.uint32)[order], valid[order].astype(np.uint32), (inside % anchor == 0)[order]
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            yield emit([(block % buckets, block, 1, len(rows), np.array(rows, np.int64).tobytes(), put(sizes.astype(np.uint32)))])
-            for b, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
-                if j > i:
-                    yield emit([(b, block, 0, j - i, put_sorted(low[i:j]) + put(at[i:j]), np.packbits(fixed[i:j]).tobytes())])
+            low, at, fixed, bucket = key.astype(np.uint32)[order], valid[order], (inside % anchor == 0)[order], bucket[order]
+            first = runs(bucket << np.uint64(32) | low)
+            size = np.diff(np.r_[first, len(low)])
+            yield emit([
+                (_home(block, buckets), block, DOCS, len(rows), np.array(rows, np.int64).tobytes(), put(sizes.astype(np.uint32))),
+                _places(block, buckets, at, size, bucket[first]),
+            ])
+            fixed = np.logical_or.reduceat(fixed, first) if len(first) else fixed
+            low, bucket, twice = low[first], bucket[first], size > 1
+            for b, i, j in cuts(bucket):
+                yield emit([(b, block, KEYS, j - i, put_sorted(low[i:j]), np.packbits(np.r_[twice[i:j], fixed[i:j]]).tobytes())])
+            del first, size, twice
             del split, key, inside, valid, order, low, at, fixed, bucket
             trim()
 
@@ -134,28 +185,33 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_batches([emit(rows)])
 
 
+def _bits(rows: list[tuple], hit: np.ndarray) -> list[tuple]:
+    """Answers to rows of keys, in their order: a bit for each; none where no bit is set."""
+    out, i = [], 0
+    for bucket, block, _, n, _, _ in rows:
+        mine = hit[i : i + n]
+        i += n
+        if mine.any():
+            out.append((bucket, block, KEYS, n, np.packbits(mine).tobytes(), b""))
+    return out
+
+
 def _matched(t: pa.Table) -> pa.Table:
-    """Per block: places whose key some anchor has and that occur more than once."""
+    """Per block: which of its keys some anchor has and occur more than once."""
     rows = rows_of(t)
-    out = [(0, block, 1, n, data, more) for _, block, kind, n, data, more in rows if kind == 1]
-    own = [r for r in rows if r[2] == 0]
+    out = [r for r in rows if r[2] != KEYS]
+    own = [r for r in rows if r[2] == KEYS]
     if own:
         keys = np.concatenate([get_sorted(r[4], np.uint32, r[3]) for r in own])
-        fixed = np.concatenate([np.unpackbits(np.frombuffer(r[5], np.uint8), count=r[3]) for r in own]).astype(bool)
+        flags = [np.unpackbits(np.frombuffer(r[5], np.uint8), count=2 * r[3]).reshape(2, -1) for r in own]
+        twice, fixed = np.concatenate(flags, axis=1).astype(bool)
         order = np.argsort(keys, kind="stable")
-        s = keys[order]
-        first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-        size = np.diff(np.r_[first, len(s)])
-        good = (size > 1) & np.add.reduceat(fixed[order], first, dtype=np.int64).astype(bool)
+        first = runs(keys[order])
+        size = np.diff(np.r_[first, len(keys)])
+        good = ((size > 1) | np.logical_or.reduceat(twice[order], first)) & np.logical_or.reduceat(fixed[order], first)
         hit = np.zeros(len(keys), bool)
         hit[order] = np.repeat(good, size)
-        i = 0
-        for _, block, _, n, data, _ in own:
-            mine = hit[i : i + n]
-            i += n
-            if mine.any():
-                at = np.sort(get(data[4 * n :], np.uint32, n)[mine])
-                out.append((0, block, 0, len(at), put_sorted(at), b""))
+        out += _bits(own, hit)
     return _table(out)
 
 
@@ -165,13 +221,14 @@ def _around(window: int, anchor: int):
     def run(t: pa.Table) -> pa.Table:
         rows = rows_of(t)
         keys, ranges = [], []
-        docs = [r for r in rows if r[2] == 1]
-        hits = [get_sorted(r[4], np.uint32, r[3]) for r in rows if r[2] == 0]
-        if docs and hits:
+        docs, own = [r for r in rows if r[2] == DOCS], [r for r in rows if r[2] == PLACES]
+        answers = [r for r in rows if r[2] == KEYS]
+        if docs and answers:
             _, _, _, n, data, more = docs[0]
             ids, sizes = np.frombuffer(data, np.int64, n), get(more, np.uint32, n).astype(np.int64)
             begin = np.cumsum(sizes) - sizes
-            at = np.concatenate(hits).astype(np.int64)
+            at, hit = _answered(own[0], answers)
+            at = np.sort(at[hit])
             doc = np.searchsorted(begin, at, side="right") - 1
             q = at - begin[doc]
             lo, hi = np.maximum(q - (window - anchor), 0), np.minimum(q, sizes[doc] - window) + 1
@@ -196,12 +253,12 @@ def _ranges(keys, ranges, ids, doc, lo, hi):
         ranges.append(pairs[i:j].tobytes())
 
 
-def _candidates(buckets: int, window: int):
-    """(text, row, doc_id, ranges) -> per bucket: hashes of the windows in the ranges, by document."""
+def _candidates(buckets: int, window: int, most: int):
+    """(text, row, doc_id, ranges) -> per bucket: a block's hashes of the windows in the ranges, each with the smallest id in the block; per block: documents, places."""
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        for number, (split, (rows, ids, ranges)) in enumerate(_blocks(batches, 4)):
+        for number, (split, (rows, ids, ranges)) in enumerate(_blocks(batches, 4, most)):
             block = (part << 24) | number
             h = word_hashes(split)
             sizes = np.array([len(w) for w in split], np.int64)
@@ -216,18 +273,22 @@ def _candidates(buckets: int, window: int):
             widths = np.add.reduceat(all_pairs[:, 1] - all_pairs[:, 0], np.r_[0, np.cumsum(count)[:-1]])
             ids = np.array([NO_ID if i is None else i for i in ids], np.int64)
             bucket = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            doc = ids[np.repeat(np.arange(len(rows)), widths)]
+            order = np.argsort(key, kind="stable")  # buckets are ranges of the key
+            key, bucket, doc = key[order], bucket[order], doc[order]
+            first = runs(key)
+            size = np.diff(np.r_[first, len(key)])
+            least = np.minimum.reduceat(doc, first)
+            within = np.packbits(doc > np.repeat(least, size)).tobytes()
             head = np.array(rows, np.int64).tobytes() + count.astype(np.int64).tobytes()
-            yield emit([(block % buckets, block, 1, len(rows), head, all_pairs.astype("<u4").tobytes())])
-            doc = np.repeat(np.arange(len(rows)), widths)
-            for b, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
-                if j > i:
-                    o = order[i:j]
-                    of = doc[o]  # rises, as the places do: an id and a count for each document
-                    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-                    head = ids[of[first]].tobytes() + put(np.diff(np.r_[first, len(of)]).astype(np.uint32))
-                    yield emit([(b, block, 0, j - i, key[o].tobytes() + put_sorted(o.astype(np.uint32)), head)])
+            key, bucket = key[first], bucket[first]
+            yield emit([
+                (_home(block, buckets), block, DOCS, len(rows), head, all_pairs.astype("<u4").tobytes()),
+                _places(block, buckets, order, size, bucket, within),
+            ])
+            for b, i, j in cuts(bucket):
+                yield emit([(b, block, KEYS, j - i, key[i:j].tobytes(), put(least[i:j].view(np.uint64)))])
+            del first, size, least
             del split, h, key, at, doc, order, bucket
             trim()
 
@@ -235,30 +296,19 @@ def _candidates(buckets: int, window: int):
 
 
 def _repeated(t: pa.Table) -> pa.Table:
-    """Per block: the windows whose sequence a document with a smaller id has too."""
+    """Per block: which of its windows' sequences a document of another block with a smaller id than any of its own has too."""
     rows = rows_of(t)
-    out = [(0, block, 1, n, data, more) for _, block, kind, n, data, more in rows if kind == 1]
-    own = [r for r in rows if r[2] == 0]
+    out = [r for r in rows if r[2] != KEYS]
+    own = [r for r in rows if r[2] == KEYS]
     if own:
         keys = np.concatenate([np.frombuffer(r[4], np.uint64, r[3]) for r in own])
-        at = [get_sorted(r[4][8 * r[3] :], np.uint32, r[3]) for r in own]
-        docs = []
-        for r in own:
-            n = len(r[5]) // 12
-            docs.append(np.repeat(np.frombuffer(r[5], np.int64, n), get(r[5][8 * n :], np.uint32, n)))
-        docs = np.concatenate(docs)
+        docs = np.concatenate([get(r[5], np.uint64, r[3]) for r in own]).view(np.int64)
         order = np.argsort(keys, kind="stable")
-        s = keys[order]
-        first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        first = runs(keys[order])
         least = np.minimum.reduceat(docs[order], first)
         hit = np.zeros(len(keys), bool)
-        hit[order] = np.repeat(least, np.diff(np.r_[first, len(s)])) < docs[order]
-        i = 0
-        for a, r in zip(at, own):
-            mine = a[hit[i : i + r[3]]]
-            i += r[3]
-            if len(mine):
-                out.append((0, r[1], 0, len(mine), put_sorted(mine), b""))
+        hit[order] = np.repeat(least, np.diff(np.r_[first, len(keys)])) < docs[order]
+        out += _bits(own, hit)
     return _table(out)
 
 
@@ -268,16 +318,16 @@ def _removed(window: int):
     def run(t: pa.Table) -> pa.Table:
         rows = rows_of(t)
         keys, ranges = [], []
-        docs = [r for r in rows if r[2] == 1]
-        hits = [get_sorted(r[4], np.uint32, r[3]) for r in rows if r[2] == 0]
-        if docs and hits:
+        docs, own = [r for r in rows if r[2] == DOCS], [r for r in rows if r[2] == PLACES]
+        if docs:
             _, _, _, n, data, more = docs[0]
             ids, count = np.frombuffer(data, np.int64).reshape(2, n)
             pairs = np.frombuffer(more, "<u4").astype(np.int64).reshape(-1, 2)
             start = places(pairs[:, 0], pairs[:, 1])
             width = np.add.reduceat(pairs[:, 1] - pairs[:, 0], np.r_[0, np.cumsum(count)[:-1]])
             doc = np.repeat(np.arange(n), width)
-            at = np.sort(np.concatenate(hits).astype(np.int64))
+            at, hit = _answered(own[0], [r for r in rows if r[2] == KEYS])
+            at = np.sort(at[hit | np.unpackbits(np.frombuffer(own[0][5], np.uint8), count=len(at)).astype(bool)])
             _ranges(keys, ranges, ids, doc[at], start[at], start[at] + window)
         return pa.table({"row": pa.array(keys, pa.int64()), "ranges": pa.array(ranges, pa.binary())})
 
@@ -332,12 +382,12 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     arrow_rows(docs.sparkSession)
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = int(size // BUCKET_BYTES) + 1
-    probes = docs.select("text", "row").mapInArrow(_probes(buckets, anchor), ROW)
+    probes = docs.select("text", "row").mapInArrow(_probes(buckets, anchor, BLOCK_WORDS), ROW)
     hits = probes.groupBy("bucket").applyInArrow(_matched, ROW).where("kind >= 0")
     near = hits.groupBy("block").applyInArrow(_around(window, anchor), "row long, ranges binary")
     near = written(near.dropDuplicates(["row"]), "anchors")
     own = _joined(docs, near, "inner").select("text", "row", "doc_id", "ranges")
-    found = own.mapInArrow(_candidates(buckets, window), ROW)
+    found = own.mapInArrow(_candidates(buckets, window, BLOCK_WORDS), ROW)
     found = found.groupBy("bucket").applyInArrow(_repeated, ROW).where("kind >= 0")
     gone = found.groupBy("block").applyInArrow(_removed(window), "row long, ranges binary")
     return written(gone.dropDuplicates(["row"]), "repeats")
