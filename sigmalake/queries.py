@@ -1,9 +1,9 @@
 """The formula engine's queries over a templated corpus, and the same in SQL.
 
-Pages are customers, formulas are orders: letters from the keys, one of eight
-templates each. Spark reads the LaTeX of the templates; SQL writes down the
-terms that should come out, so the readers and rewrites are checked by it too.
-Customers whose key ends in 0 are pages without formulas.
+Pages are customers and suppliers, formulas are all orders: letters from the
+keys, one of eight templates each. Spark reads the LaTeX of the templates; SQL
+writes down the terms that should come out, so the readers and rewrites are
+checked by it too. Suppliers, with negative ids, are pages without formulas.
 """
 
 from __future__ import annotations
@@ -37,11 +37,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("page_id"), F.col("c_name").alias("title"))
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("page_id"), F.col("c_name").alias("title"))
+    return c.union(table(spark, sf, "supplier").select(-1 - F.col("s_suppkey"), "s_name"))
 
 
 def formulas(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").where("o_custkey % 10 <> 0")
+    o = table(spark, sf, "orders")
     a, b = F.char(F.lit(97) + F.col("o_orderkey") % 7), F.char(F.lit(97) + F.col("o_custkey") % 5)
     choice = F.lit(None).cast("string")
     for k, t in reversed(list(enumerate(TEMPLATES))):
@@ -61,8 +62,8 @@ def corpus(spark: SparkSession, sf: str) -> index_tables.Index:
 #: SQL: letters, expected terms, postings of both indexes.
 L = "chr((97 + o_orderkey % 7)::int) a, chr((97 + o_custkey % 5)::int) b"
 BASE = f"""
-pages as (select c_custkey page_id, c_name title from customer),
-f as (select o_orderkey formula_id, o_custkey page_id, o_orderkey % 8 t, {L} from orders where o_custkey % 10 <> 0),
+pages as (select c_custkey page_id, c_name title from customer union all select -1 - s_suppkey, s_name from supplier),
+f as (select o_orderkey formula_id, o_custkey page_id, o_orderkey % 8 t, {L} from orders),
 i as (select *, '<mi>' || a || '</mi>' ma, '<mi>' || b || '</mi>' mb from f),
 terms as (
   select formula_id, page_id, t, unnest(case t
@@ -231,23 +232,19 @@ def assign_ids(spark, sf):
     return wiki.numbered(f, ["page_id", "key"], "formula_id").select("formula_id", "page_id", "key")
 
 
-def _terms_of(t: int):
+def _terms_under(root: str):
+    """The terms of all formulas whose tree starts with ``root``."""
+
     def run(spark, sf):
-        f = formulas(spark, sf).where(F.col("key") % 8 == t)
-        return explode_terms(f).select("formula_id", "term", "level", "generalization")
+        found = explode_terms(formulas(spark, sf)).where(F.startswith("term", F.lit(root)))
+        return found.select("formula_id", "term", "level", "generalization")
 
     return run
 
 
-for _t, _name in ((0, "terms_plus"), (2, "terms_frac"), (3, "terms_sup"), (4, "terms_sup_plus"), (5, "terms_mul_plus"), (6, "terms_merge_mi")):
-    query(_name, _base() + f" select formula_id, term, level, gen generalization from e where t = {_t}")(_terms_of(_t))
-
-
-@query("terms_reorder_pairs", """select o_orderkey formula_id, '<mo o=''+''><mi>' || least(a, b) || '</mi><mi>' || greatest(a, b) || '</mi></mo>' term
-  from (select *, """ + L + " from orders where o_custkey % 10 <> 0 and o_orderkey % 8 in (0, 1))")
-def terms_reorder_pairs(spark, sf):
-    f = formulas(spark, sf).where("key % 8 in (0, 1)")
-    return explode_terms(f).where("not generalization").select("formula_id", "term")
+for _name, _root in (("all", "<"), ("plus", "<mo o='+'>"), ("frac", "<mfrac>"), ("sup", "<msup>"), ("mul", "<mo o='*'>"), ("merge_mi", "<mi>")):
+    _quoted = _root.replace("'", "''")
+    query(f"terms_{_name}", _base() + f" select formula_id, term, level, gen generalization from e where starts_with(term, '{_quoted}')")(_terms_under(_root))
 
 
 @query("terms_no_gen", _base() + " select formula_id, term, level from e where not gen")
@@ -255,19 +252,40 @@ def terms_no_gen(spark, sf):
     return explode_terms(formulas(spark, sf), settings=Settings(generalise=False)).select("formula_id", "term", "level")
 
 
-@query("terms_no_reorder", f"""select o_orderkey formula_id, '<mo o=''+''><mi>' || b || '</mi><mi>' || a || '</mi></mo>' term
-  from (select *, {L} from orders where o_custkey % 10 <> 0 and o_orderkey % 8 = 1)""")
+def _exact_sql(templates: dict) -> str:
+    """Exact terms of every formula by template, written with its letters' tags ``ma`` and ``mb``."""
+    cases = " ".join(f"when {t} then [{', '.join(terms)}]" for t, terms in templates.items())
+    return _base() + f" select formula_id, unnest(case t {cases} else [] end) term from i"
+
+
+_SUP, _FRAC, _MUL = ("'{}' || {{}} || '{}'".format(f"<{x}>", f"</{x.split()[0]}>") for x in ("msup", "mfrac", "mo o=''*''"))
+_SUM = "'<mo o=''+''>' || {} || '</mo>'"
+
+
+@query("terms_no_reorder", _exact_sql({
+    0: [_SUM.format("ma || mb")], 1: [_SUM.format("mb || ma")], 2: [_FRAC.format("ma || mb")], 3: [_SUP.format("ma || mb")],
+    4: [_SUM.format(_SUP.format("ma || mb") + " || '<mi>z</mi>'"), _SUP.format("ma || mb")],
+    5: [_SUM.format(_MUL.format("ma || mb") + " || '<mi>c</mi>'"), _MUL.format("ma || mb")], 6: ["'<mi>' || a || b || '</mi>'"],
+}))
 def terms_no_reorder(spark, sf):
-    f = formulas(spark, sf).where("key % 8 = 1")
-    return explode_terms(f, settings=Settings(reorder_operands=False)).where("not generalization").select("formula_id", "term")
+    found = explode_terms(formulas(spark, sf), settings=Settings(reorder_operands=False))
+    return found.where("not generalization").select("formula_id", "term")
+
+
+_PLUS, _TIMES = "'<mo>+</mo>'", "'<mo>*</mo>'"
 
 
-@query("terms_no_adjust", f"""select o_orderkey formula_id, unnest(['<mi></mi><mi></mi>', '<mi>' || a || '</mi><mi>' || b || '</mi>', '<mi>' || a || '</mi>', '<mi>' || b || '</mi>']) term
-  from (select *, {L} from orders where o_custkey % 10 <> 0 and o_orderkey % 8 = 6)""")
+@query("terms_no_adjust", _exact_sql({
+    0: [f"ma || {_PLUS} || mb", "ma", _PLUS, "mb"], 1: [f"mb || {_PLUS} || ma", "mb", _PLUS, "ma"],
+    2: [_FRAC.format("ma || mb"), "ma", "mb"], 3: [_SUP.format("ma || mb"), "ma", "mb"],
+    4: [_SUP.format("ma || mb") + f" || {_PLUS} || '<mi>z</mi>'", _SUP.format("ma || mb"), "ma", "mb", _PLUS, "'<mi>z</mi>'"],
+    5: [f"ma || {_TIMES} || mb || {_PLUS} || '<mi>c</mi>'", "ma", _TIMES, "mb", _PLUS, "'<mi>c</mi>'"],
+    6: ["ma || mb", "ma", "mb"], 7: ["ma"],
+}))
 def terms_no_adjust(spark, sf):
-    f = formulas(spark, sf).where("key % 8 = 6")
     off = Settings(adjust_tree=False, reconstruct_expression=False, reorder_operands=False)
-    return explode_terms(f, settings=off).select("formula_id", "term")
+    found = explode_terms(formulas(spark, sf), settings=off)
+    return found.where("not generalization").select("formula_id", "term")
 
 
 GOLDENS = (
