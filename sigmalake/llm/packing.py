@@ -119,8 +119,12 @@ class _Ids:
         code = coded.indices.to_numpy()
         n = size[code]
         ends = np.cumsum(n)
-        ids = ids[np.repeat(begin[code] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        place = np.repeat(begin[code] - (ends - n), n)
         bounds = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        del low, split, coded, words, found, size, begin, code, n, ends  # a worker's peak is here
+        place += np.arange(len(place))
+        ids = ids[place]
+        del place
         for i, j in zip(bounds, bounds[1:]):
             yield ids[i:j].tobytes()
 

@@ -40,20 +40,6 @@ MULTIPLIER = 0x9E3779B97F4A7C15
 NO_ID = np.iinfo(np.int64).max
 
 
-def word_hashes(split: list[list[bytes]]) -> np.ndarray:
-    """64-bit hashes of all words, one text after the other."""
-    code: dict[bytes, int] = {}
-    for words in split:
-        code.update(dict.fromkeys(words))
-    for k, w in enumerate(code):
-        code[w] = k
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(w) for w in code), np.uint64, len(code))
-    n = sum(map(len, split))
-    at = np.fromiter((code[w] for words in split for w in words), np.uint32, n) if n else np.zeros(0, np.uint32)
-    return h[at]
-
-
 def rolling(h: np.ndarray, width: int) -> np.ndarray:
     """Hash of the ``width`` words from each place on; len(h) - width + 1 of them."""
     if len(h) < width:
@@ -84,22 +70,33 @@ def places(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
 
 
 def _blocks(batches, columns: int, most: int):
-    """Lists of rows, up to ``most`` words or so: (words of each text, other columns)."""
-    split, rest, n = [], [[] for _ in range(columns - 1)], 0
+    """Some rows at a time, up to ``most`` words or so: (64-bit hashes of all words, words of each text, other columns).
+
+    A text's words become codes at once, so a block holds its distinct words only.
+    """
+    digest = xxhash.xxh64_intdigest
+
+    def block():
+        h = np.fromiter(map(digest, code), np.uint64, len(code))
+        return h[np.concatenate(at)], np.fromiter(map(len, at), np.int64, len(at)), rest
+
+    code, at, rest, n = {}, [], [[] for _ in range(columns - 1)], 0
     for b in batches:
         texts = b.column(0).cast(pa.binary())
         others = [b.column(k).to_pylist() for k in range(1, columns)]
         for i in range(b.num_rows):
             words = (texts[i].as_py() or b"").split()
-            split.append(words)
+            for w in dict.fromkeys(words):
+                code.setdefault(w, len(code))
+            at.append(np.fromiter(map(code.__getitem__, words), np.uint32, len(words)))
             for k in range(columns - 1):
                 rest[k].append(others[k][i])
             n += len(words)
-            if n >= most or len(split) >= 50_000:
-                yield split, rest
-                split, rest, n = [], [[] for _ in range(columns - 1)], 0
-    if split:
-        yield split, rest
+            if n >= most or len(at) >= 50_000:
+                yield block()
+                code, at, rest, n = {}, [], [[] for _ in range(columns - 1)], 0
+    if at:
+        yield block()
 
 
 def runs(sorted_keys: np.ndarray) -> np.ndarray:
@@ -150,11 +147,10 @@ def _probes(buckets: int, anchor: int, most: int):
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        for number, (split, (rows,)) in enumerate(_blocks(batches, 2, most)):
+        for number, (h, sizes, (rows,)) in enumerate(_blocks(batches, 2, most)):
             block = (part << 24) | number
-            sizes = np.array([len(w) for w in split], np.int64)
             begin = np.cumsum(sizes) - sizes
-            key = rolling(word_hashes(split), anchor)
+            key = rolling(h, anchor)
             inside = np.arange(len(key)) - np.repeat(begin, sizes)[: len(key)]
             valid = np.flatnonzero(inside + anchor <= np.repeat(sizes, sizes)[: len(key)])
             key, inside = key[valid], inside[valid]
@@ -172,7 +168,7 @@ def _probes(buckets: int, anchor: int, most: int):
             for b, i, j in cuts(bucket):
                 yield emit([(b, block, KEYS, j - i, put_sorted(low[i:j]), np.packbits(np.r_[twice[i:j], fixed[i:j]]).tobytes())])
             del first, size, twice
-            del split, key, inside, valid, order, low, at, fixed, bucket
+            del h, key, inside, valid, order, low, at, fixed, bucket
             trim()
 
     return run
@@ -258,10 +254,8 @@ def _candidates(buckets: int, window: int, most: int):
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        for number, (split, (rows, ids, ranges)) in enumerate(_blocks(batches, 4, most)):
+        for number, (h, sizes, (rows, ids, ranges)) in enumerate(_blocks(batches, 4, most)):
             block = (part << 24) | number
-            h = word_hashes(split)
-            sizes = np.array([len(w) for w in split], np.int64)
             begin = np.cumsum(sizes) - sizes
             key = rolling(h, window)
             pairs = [np.frombuffer(r, "<u4").astype(np.int64).reshape(-1, 2) for r in ranges]
@@ -289,7 +283,7 @@ def _candidates(buckets: int, window: int, most: int):
             for b, i, j in cuts(bucket):
                 yield emit([(b, block, KEYS, j - i, key[i:j].tobytes(), put(least[i:j].view(np.uint64)))])
             del first, size, least
-            del split, h, key, at, doc, order, bucket
+            del h, key, at, doc, order, bucket
             trim()
 
     return run
