@@ -27,9 +27,9 @@ CAPACITY = 4096
 END = 1
 #: Pieces a shard holds; with 4,096 gaps this keeps a shard within some MB.
 SHARD = 60_000
-#: Words whose ids a worker remembers, and as many from before those, some 200 bytes each.
-REMEMBERED = 400_000
-CHUNK_BYTES = 8_000_000
+#: Words whose ids a worker remembers, and as many from before those; a chunk of texts adds its own.
+REMEMBERED = 200_000
+CHUNK_BYTES = 4_000_000
 VOCABULARY = "word_bpe_49k.json"
 
 #: Marks that a word may end in; no apostrophe, which some pre-tokens start with.
