@@ -435,7 +435,7 @@ def search_batch(spark, sf):
 URL = "'http://en.wikipedia.org/wiki/' || replace(replace(replace(title, ' ', '_'), '%', '%25'), '#', '%23')"
 
 
-@query("doc_url", f"select c_custkey page_id, {URL.replace('title', 'c_name')} doc_url from customer")
+@query("doc_url", _base() + f" select page_id, {URL} doc_url from pages")
 def doc_url(spark, sf):
     return pages(spark, sf).select("page_id", scoring.wiki_url(F.col("title")).alias("doc_url"))
 
