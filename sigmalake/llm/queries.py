@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import embeddings, language, licenses, mixing, packing, quality, scoring, simhash, substrings, toxicity
+from . import codes, embeddings, language, licenses, mixing, packing, quality, scoring, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_substrings": substrings.op8_substrings,
     "op9_simhash": simhash.op9_simhash,
     "op10_licenses": licenses.op10_licenses,
+    "op11_vector_codes": codes.op11_vector_codes,
 }
 
 ORACLES = {
     "op1_quality_rules": quality.OP1_SQL,
     "op5_mix_sources": mixing.OP5_SQL,
     "op8_substrings": substrings.OP8_SQL,
+    "op11_vector_codes": codes.OP11_SQL,
 }
