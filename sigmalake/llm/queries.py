@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import codes, embeddings, language, licenses, mixing, packing, quality, ranked, scoring, simhash, substrings, toxicity
+from . import codes, embeddings, language, licenses, mixing, packing, private, quality, ranked, scoring, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op10_licenses": licenses.op10_licenses,
     "op11_vector_codes": codes.op11_vector_codes,
+    "op12_personal_data": private.op12_personal_data,
     "op13_ranked_search": ranked.op13_ranked_search,
 }
 
