@@ -14,7 +14,7 @@ from . import latex as latex_reader
 from . import mathml as mathml_reader
 from .mathtree import Term, normalise, terms
 
-ANALYSIS = "terms array<struct<term:string,level:int,generalization:boolean>>, tree string, is_error boolean"
+ANALYSIS = "terms array<struct<term:string,level:int,generalization:boolean>>, folded array<struct<term:string,levels:array<int>>>, tree string, is_error boolean"
 
 
 def tree_of(formula: str, settings: Settings = DEFAULT, mathml: bool = False):
@@ -26,6 +26,14 @@ def terms_of(formula: str, settings: Settings = DEFAULT, mathml: bool = False) -
     return list(terms(tree_of(formula, settings, mathml), settings.generalise))
 
 
+def folded(found: list[Term]) -> list[dict]:
+    """Terms once each, with their levels: what a formula's postings are made of."""
+    levels: dict[str, set[int]] = {}
+    for t in found:
+        levels.setdefault(t.term, set()).add(t.level)
+    return [{"term": t, "levels": sorted(own)} for t, own in levels.items()]
+
+
 @lru_cache(maxsize=20_000)
 def _analysed(formula: str, settings: Settings, mathml: bool) -> tuple[list[Term], str | None, bool]:
     # whatever is wrong with a formula makes it an error of its own, never of the job
@@ -37,15 +45,15 @@ def _analysed(formula: str, settings: Settings, mathml: bool) -> tuple[list[Term
 
 
 def analyse(formula: Column, settings: Settings = DEFAULT, mathml: bool = False) -> Column:
-    """Struct (terms, tree, is_error) of a formula column. A null or empty formula has no terms and is no error.
+    """Struct (terms, folded, tree, is_error) of a formula column. A null or empty formula has no terms and is no error.
 
     Marked as not deterministic, so that Spark never calls it twice for a row.
     """
 
     def run(column: pd.Series) -> pd.DataFrame:
         rows = [([], None, False) if not f else _analysed(f, settings, mathml) for f in column]
-        out = [([t._asdict() for t in ts], tree, bad) for ts, tree, bad in rows]
-        return pd.DataFrame(out, columns=["terms", "tree", "is_error"])
+        out = [([t._asdict() for t in ts], folded(ts), tree, bad) for ts, tree, bad in rows]
+        return pd.DataFrame(out, columns=["terms", "folded", "tree", "is_error"])
 
     return F.pandas_udf(run, ANALYSIS).asNondeterministic()(formula)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from ..functions import scoring
 from ..functions.terms import analyse
 
 KINDS = ("formula", "page")
+KNOWN = ("formula_id", "page_id", "folded", "n_terms", "is_error")
 
 
 #: Rows of a written partition: of the first SMALL_PARTITIONS, so that a small table is read by several tasks, and of all beyond.
@@ -28,8 +29,8 @@ class Index:
     """The analysed formulas (known), and what follows from them.
 
     For each kind postings (term, doc_id, page_id, levels, norm), docs (doc_id,
-    len, norm), term_stats (term, df) and sizes (n_docs: one row); and the
-    attributes of pages and formulas.
+    len, norm), blocks (term, norm, n: the postings of a term and norm), and
+    sizes (n_docs: one row); and the attributes of pages and formulas.
     """
 
     pages: DataFrame
@@ -37,35 +38,39 @@ class Index:
     known: DataFrame
     postings: dict[str, DataFrame]
     docs: dict[str, DataFrame]
-    term_stats: dict[str, DataFrame]
+    blocks: dict[str, DataFrame]
     sizes: dict[str, DataFrame]
 
+    @property
+    def term_stats(self) -> dict[str, DataFrame]:
+        """(term, df) of each kind."""
+        return {k: b.groupBy("term").agg(F.sum("n").alias("df")) for k, b in self.blocks.items()}
+
 
 def analysed(formulas: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Formulas with their terms (an array), n_terms and is_error: the only pass in Python."""
+    """Formulas with their terms once each (folded: term, levels), n_terms and is_error: the only pass in Python."""
     a = formulas.select("*", analyse(F.col("latex"), settings).alias("_a"))
-    return a.select(*formulas.columns, F.col("_a.terms").alias("terms"), F.size("_a.terms").alias("n_terms"), F.col("_a.is_error").alias("is_error"))
+    return a.select(*formulas.columns, F.col("_a.folded").alias("folded"), F.size("_a.terms").alias("n_terms"), F.col("_a.is_error").alias("is_error"))
 
 
 def build(pages: DataFrame, formulas: DataFrame, settings: Settings = DEFAULT) -> Index:
     """Indexes over pages (page_id, title) and formulas (formula_id, page_id, latex, doc_title)."""
-    return of_known(pages, formulas, analysed(formulas, settings).select("formula_id", "page_id", "terms", "n_terms", "is_error"))
+    return of_known(pages, formulas, analysed(formulas, settings).select(*KNOWN))
 
 
 def of_known(pages: DataFrame, formulas: DataFrame, known: DataFrame) -> Index:
     """Indexes over analysed formulas.
 
-    A formula's terms lie in its row, so its postings need no shuffle beyond
-    (formula, term); a page's are the union of its formulas'. Postings carry the
-    norm of their document, so that a search reads nothing else. Documents
-    without terms stay in ``docs`` and count in n_docs.
+    A formula's row has its terms once each, so its postings need no shuffle; a
+    page's are the union of its formulas'. Postings carry the norm of their
+    document, so that a search reads nothing else. Documents without terms stay
+    in ``docs`` and count in n_docs.
     """
-    each = known.select("formula_id", "page_id", scoring.norm(F.col("n_terms")).alias("norm"), F.explode("terms").alias("t"))
-    each = each.select("formula_id", "page_id", "norm", "t.term", "t.level")
-    levels = F.sort_array(F.collect_set("level")).alias("levels")
-    by_formula = each.groupBy(F.col("formula_id").alias("doc_id"), "page_id", "term").agg(levels, F.first("norm").alias("norm"))
+    each = known.select(F.col("formula_id").alias("doc_id"), "page_id", scoring.norm(F.col("n_terms")).alias("norm"), F.explode("folded").alias("t"))
+    by_formula = each.select("doc_id", "page_id", "t.term", "t.levels", "norm")
+    levels = F.sort_array(F.array_distinct(F.flatten(F.collect_set("levels")))).alias("levels")
     length = known.groupBy("page_id").agg(F.sum("n_terms").alias("len"))
-    by_page = each.groupBy("page_id", "term").agg(levels).join(length, "page_id")
+    by_page = by_formula.groupBy("page_id", "term").agg(levels).join(length, "page_id")
     by_page = by_page.select(F.col("page_id").alias("doc_id"), "page_id", "term", "levels", scoring.norm(F.col("len")).alias("norm"))
     lengths = {
         "formula": known.select(F.col("formula_id").alias("doc_id"), F.col("n_terms").cast("long").alias("len")),
@@ -75,7 +80,7 @@ def of_known(pages: DataFrame, formulas: DataFrame, known: DataFrame) -> Index:
     return Index(
         pages.select("page_id", "title"), formulas, known, postings,
         {k: v.select("doc_id", "len", scoring.norm(F.col("len")).alias("norm")) for k, v in lengths.items()},
-        {k: v.groupBy("term").agg(F.count("*").alias("df")) for k, v in postings.items()},
+        {k: v.groupBy("term", "norm").agg(F.count("*").alias("n")) for k, v in postings.items()},
         {"formula": known.agg(F.count("*").alias("n_docs")), "page": pages.agg(F.count("*").alias("n_docs"))},
     )
 
@@ -98,22 +103,37 @@ def write(index: Index, path: str) -> None:
     """Parquet tables under ``path``, which must not exist.
 
     Formulas are analysed in one pass; everything else is made of its table.
-    Postings lie in the order of terms, so a term is found by its row group, and
-    the attributes in the order of their ids. Partitions follow the rows.
     """
-    spark = index.pages.sparkSession
     index.known.write.parquet(f"{path}/known")
-    own = of_known(index.pages, index.formulas, spark.read.parquet(f"{path}/known"))
+    known = index.pages.sparkSession.read.parquet(f"{path}/known")
+    _write_tables(of_known(index.pages, index.formulas, known), path)
+
+
+def rewrite(index: Index, path: str) -> None:
+    """``write`` of an index whose tables are there already: nothing is analysed or grouped again."""
+    index.known.write.parquet(f"{path}/known")
+    _write_tables(replace(index, known=index.pages.sparkSession.read.parquet(f"{path}/known")), path)
+
+
+def _write_tables(own: Index, path: str) -> None:
+    """All but ``known``.
+
+    Postings lie by term and falling norm, so that a term is found by its row
+    groups, and those of its documents that may score high by the first of them;
+    the attributes lie in the order of their ids. Partitions follow the rows.
+    """
+    spark = own.pages.sparkSession
     for name, table, by in (("pages", own.pages, "page_id"), ("formulas", own.formulas, "formula_id")):
         table.repartitionByRange(_partitions(table.count()), by).sortWithinPartitions(by).write.parquet(f"{path}/{name}")
     rows = own.known.agg(F.coalesce(F.sum("n_terms"), F.lit(0))).first()[0]
     parts = _partitions(rows)
+    order = ("term", F.desc("norm"), "doc_id")
     for kind in KINDS:
-        ordered = own.postings[kind].repartitionByRange(parts, "term", "doc_id").sortWithinPartitions("term", "doc_id")
+        ordered = own.postings[kind].repartitionByRange(parts, *order).sortWithinPartitions(*order)
         ordered.write.option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings_{kind}")
         own.docs[kind].write.parquet(f"{path}/docs_{kind}")
-        stats = spark.read.parquet(f"{path}/postings_{kind}").groupBy("term").agg(F.count("*").alias("df"))
-        stats.repartitionByRange(parts, "term").sortWithinPartitions("term").write.parquet(f"{path}/terms_{kind}")
+        blocks = spark.read.parquet(f"{path}/postings_{kind}").groupBy("term", "norm").agg(F.count("*").alias("n"))
+        blocks.repartitionByRange(_partitions(rows // 8), "term").sortWithinPartitions("term").write.parquet(f"{path}/blocks_{kind}")
         own.sizes[kind].coalesce(1).write.parquet(f"{path}/sizes_{kind}")
 
 
@@ -122,11 +142,11 @@ def read(spark: SparkSession, path: str) -> Index:
         return spark.read.parquet(f"{path}/{name}")
 
     each = lambda name: {k: load(f"{name}_{k}") for k in KINDS}
-    return Index(load("pages"), load("formulas"), load("known"), each("postings"), each("docs"), each("terms"), each("sizes"))
+    return Index(load("pages"), load("formulas"), load("known"), each("postings"), each("docs"), each("blocks"), each("sizes"))
 
 
 def opened(index: Index) -> Index:
     """``index`` with all that searches read kept in memory (and on disk beyond it), filled now."""
-    for d in (index.pages, index.formulas, *index.postings.values(), *index.term_stats.values(), *index.sizes.values()):
+    for d in (index.pages, index.formulas, *index.postings.values(), *index.blocks.values(), *index.sizes.values()):
         d.cache().count()
     return index

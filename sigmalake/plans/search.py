@@ -34,9 +34,10 @@ FEW_TERMS = 64
 
 @dataclass(frozen=True)
 class Weighted:
-    """Weighted clauses of a bounded number: for each kind of index, rows of WEIGHTS by term."""
+    """Weighted clauses of a bounded number: for each kind of index, rows of WEIGHTS by term, and the term's postings by norm."""
 
     rows: dict[str, dict[str, list[dict]]]
+    blocks: dict[str, dict[str, dict[float, int]]]
 
     def table(self, spark: SparkSession, kind: str) -> DataFrame:
         own = spark.range(1).select(F.explode(self.by_term(kind)).alias("term", "w"))
@@ -73,14 +74,20 @@ def prepared(index: Index, queries: Iterable[tuple[int, str]], settings: Setting
     if len(terms) > PUSHED_TERMS:
         return index, _clauses(index.pages.sparkSession, rows)
     cut = lambda tables: {k: d.where(F.col("term").isin(terms)) for k, d in tables.items()}
-    index = replace(index, postings=cut(index.postings), term_stats=cut(index.term_stats))
+    index = replace(index, postings=cut(index.postings), blocks=cut(index.blocks))
     if len(rows) > BROADCAST_ROWS:
         return index, _clauses(index.pages.sparkSession, rows)
-    # one row for each term and kind, and the two sizes
-    sides = [index.term_stats[k].selectExpr(f"'{k}' kind", "term", "df") for k in KINDS]
-    sides += [index.sizes[k].selectExpr(f"'{k}' kind", "null term", "n_docs df") for k in KINDS]
-    known = {(r.kind, r.term): r.df for r in sides[0].union(sides[1]).union(sides[2]).union(sides[3]).collect()}
-    return index, Weighted({k: _weights(rows, known[k, None], {t: known.get((k, t), 0) for t in terms}) for k in KINDS})
+    # a row for each term, norm and kind, and the two sizes
+    sides = [index.blocks[k].selectExpr(f"'{k}' kind", "term", "norm", "n") for k in KINDS]
+    sides += [index.sizes[k].selectExpr(f"'{k}' kind", "null term", "0.0D norm", "n_docs n") for k in KINDS]
+    sizes, blocks = dict.fromkeys(KINDS, 0), {k: {t: {} for t in terms} for k in KINDS}
+    for r in sides[0].union(sides[1]).union(sides[2]).union(sides[3]).collect():
+        if r.term is None:
+            sizes[r.kind] = r.n
+        else:
+            blocks[r.kind][r.term][r.norm] = r.n
+    weights = {k: _weights(rows, sizes[k], {t: sum(b.values()) for t, b in blocks[k].items()}) for k in KINDS}
+    return index, Weighted(weights, blocks)
 
 
 def _weights(rows: list[tuple], n_docs: int, df: dict[str, int]) -> dict[str, list[dict]]:

@@ -20,6 +20,7 @@ from .functions import scoring
 from .functions.terms import analyse, explode_terms
 from .operators import index as index_tables
 from .operators.scratch import new_path, written
+from .operators.segments import Segments, ingest
 from .plans import evaluate, explain, search
 from .sources import labels as label_table
 from .sources import wiki
@@ -55,7 +56,7 @@ def formulas(spark: SparkSession, sf: str) -> DataFrame:
 def corpus(spark: SparkSession, sf: str) -> index_tables.Index:
     """The index, its analysed formulas written once."""
     f = formulas(spark, sf)
-    known = index_tables.analysed(f).select("formula_id", "page_id", "terms", "n_terms", "is_error")
+    known = index_tables.analysed(f).select(*index_tables.KNOWN)
     return index_tables.of_known(pages(spark, sf), f, written(known, "known"))
 
 
@@ -198,8 +199,8 @@ def _wiki_pages(spark: SparkSession, sf: str) -> DataFrame:
     marked = F.concat(F.lit("<math>"), "latex", F.lit("</math>"))
     row = F.sort_array(F.collect_list(F.struct("formula_id", marked.alias("m"))))
     f = formulas(spark, sf).groupBy("page_id").agg(F.array_join(F.transform(row, lambda x: x["m"]), " and ").alias("body"))
-    text = F.concat(F.lit("text "), "body", F.lit(' <math display="x">no</math> end'))
-    return pages(spark, sf).join(f, "page_id").select("page_id", "title", text.alias("text"))
+    text = F.concat(F.lit("text "), F.coalesce("body", F.lit("none")), F.lit(' <math display="x">no</math> end'))
+    return pages(spark, sf).join(f, "page_id", "left").select("page_id", "title", text.alias("text"))
 
 
 @query("extract_math", _base() + f", l as (select *, {LATEX} latex from i) select page_id, (row_number() over (partition by page_id order by formula_id) - 1)::int pos, latex from l")
@@ -466,6 +467,65 @@ def search_json_pages(spark, sf):
     return spark.createDataFrame(rows, "place int, total long, formula_id long, formula string, doc_id long, doc_title string, doc_url string, score double")
 
 
+# --- segments -------------------------------------------------------------
+
+
+def _segments(spark, sf) -> Segments:
+    return Segments(spark, new_path(spark, "segments"))
+
+
+def _parts(spark, sf, which: str):
+    """Pages and formulas of the pages that satisfy ``which``."""
+    return pages(spark, sf).where(which), formulas(spark, sf).where(which)
+
+
+@query("segments_search", _search_sql(QUERIES[:1]) + f" select page_id, formula_id, {_r(*SCORES)} from r")
+def segments_search(spark, sf):
+    """A search over three segments, each with a third of the pages."""
+    own = _segments(spark, sf)
+    for k in range(3):
+        own.append(*_parts(spark, sf, f"pmod(page_id, 3) = {k}"))
+    return _round(search.search(*search.prepared(own.open(), QUERIES[:1])), *SCORES).drop("query_id")
+
+
+def _replaced(spark, sf) -> Segments:
+    """Segments of all pages, half of them first with other formulas; those are replaced, in two commits."""
+    own = _segments(spark, sf)
+    p, f = _parts(spark, sf, "true")
+    stale = F.when(F.col("page_id") % 2 == 0, F.lit("x + y ^ b")).otherwise(F.col("latex"))
+    own.append(p, f.withColumn("latex", stale))
+    for k in (0, 2):
+        own.append(*_parts(spark, sf, f"pmod(page_id, 4) = {k}"))
+    return own
+
+
+@query("segments_upsert", _search_sql(QUERIES[1:2]) + f" select page_id, formula_id, {_r(*SCORES)} from r")
+def segments_upsert(spark, sf):
+    """A search over segments of which one has pages that later ones replace: as if built at once."""
+    return _round(search.search(*search.prepared(_replaced(spark, sf).open(), QUERIES[1:2])), *SCORES).drop("query_id")
+
+
+@query("segments_merged", _base() + " select doc_id, term, array_to_string(levels, ',') levels, df from post_page join df_page using (term)")
+def segments_merged(spark, sf):
+    """Page postings and df after replaced pages and a merge."""
+    own = _replaced(spark, sf)
+    own.merge()
+    i = own.open()
+    levels = F.array_join(F.col("levels").cast("array<string>"), ",").alias("levels")
+    return i.postings["page"].join(i.term_stats["page"], "term").select("doc_id", "term", levels, "df")
+
+
+@query("segments_stream", _search_sql(QUERIES[:1]) + f""", n as (select formula_id, page_id * 1048576 + row_number() over (partition by page_id order by formula_id) - 1 id from f)
+  select page_id, id formula_id, {_r(*SCORES)} from r join n using (formula_id)""")
+def segments_stream(spark, sf):
+    """A search over what was ingested from a stream of pages, a segment for each batch, the first ones merged."""
+    source, path = new_path(spark, "stream"), new_path(spark, "segments")
+    _wiki_pages(spark, sf).repartition(3, "page_id").write.parquet(source)
+    stream = spark.readStream.schema("page_id long, title string, text string").option("maxFilesPerTrigger", 1).parquet(source)
+    ingest(stream, path, new_path(spark, "stream-state"), most=2).awaitTermination()
+    return _round(search.search(*search.prepared(Segments(spark, path).open(), QUERIES[:1])), *SCORES).drop("query_id")
+
+
 # --- labels ---------------------------------------------------------------
 
 #: Labels: for each order the query of its customer's class, the order's url, relevance 0 to 5; 0 is no label.
@@ -567,7 +627,7 @@ def ingest_counters(spark, sf):
     return index_tables.counters(f.withColumn("latex", broken))
 
 
-@query("xml_scan", _base() + " select page_id, title, count(*)::int n_formulas from f join pages using (page_id) group by page_id, title")
+@query("xml_scan", _base() + " select page_id, title, count(formula_id)::int n_formulas from pages left join f using (page_id) group by page_id, title")
 def xml_scan(spark, sf):
     """Pages written as a MediaWiki dump to the shared folder, scanned, and their formulas extracted."""
     text = F.struct(F.struct(F.lit(1).alias("_bytes"), F.col("text").alias("_VALUE")).alias("text")).alias("revision")

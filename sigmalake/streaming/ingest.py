@@ -1,25 +1,5 @@
-"""Incremental ingest: pages arriving as a stream become formulas and postings, a batch at a time."""
+"""Incremental ingest: pages that arrive as a stream become a searchable segment a batch (see ``operators.segments``)."""
 
-from __future__ import annotations
+from ..operators.segments import Segments, ingest, with_ids
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.streaming.query import StreamingQuery
-
-from ..config import DEFAULT, Settings
-from ..functions.terms import analyse
-from ..sources.wiki import extract
-
-
-def postings(pages: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """(page_id, pos, term, levels) of streamed pages (page_id, text); no state, so it may run in append mode."""
-    each = pages.select("page_id", F.posexplode(extract(F.col("text"))).alias("pos", "latex"))
-    found = each.select("page_id", "pos", analyse(F.col("latex"), settings).alias("a"))
-    found = found.select("page_id", "pos", F.explode("a.terms").alias("t"))
-    return found.select("page_id", "pos", "t.term", "t.level")
-
-
-def ingest(pages: DataFrame, out: str, checkpoint: str, settings: Settings = DEFAULT) -> StreamingQuery:
-    """Appends the postings of new pages to the Parquet table ``out``, exactly once by the sink's log."""
-    writer = postings(pages, settings).writeStream.format("parquet").outputMode("append")
-    return writer.option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+__all__ = ["Segments", "ingest", "with_ids"]

@@ -9,7 +9,6 @@ from sigmalake.operators import index as index_tables
 from sigmalake.plans import evaluate, explain, search
 from sigmalake.sources import labels as label_table
 from sigmalake.sources import wiki
-from sigmalake.streaming import ingest
 
 DUMP = """<mediawiki><siteinfo><sitename>W</sitename></siteinfo>
 <page><title>T1</title><ns>0</ns><id>7</id><revision><id>1</id><text xml:space="preserve" bytes="9">x &lt;math&gt;a
@@ -108,6 +107,8 @@ def test_formulas_are_analysed_once(spark):
     built = index_tables.build(q.pages(spark, "/root/testdata/sf0.001"), q.formulas(spark, "/root/testdata/sf0.001"))
     for kind in index_tables.KINDS:
         assert plan_of(built.docs[kind]).count("ArrowEvalPython") == 1
+    # a formula's terms lie folded in its row: its postings are not shuffled
+    assert "Exchange" not in plan_of(q.corpus(spark, "/root/testdata/sf0.001").postings["formula"])
     # page postings need terms and lengths; ``write`` and ``corpus`` make both of one written table
     assert plan_of(q.corpus(spark, "/root/testdata/sf0.001").postings["page"]).count("ArrowEvalPython") == 0
 
@@ -193,17 +194,6 @@ def test_evaluation(spark, index):
     assert d["details"][1]["dcg"] == pytest.approx(3 / 1.584962500721156) and d["details"][1]["precision"] == 0.5 and d["dcg"] == pytest.approx(d["details"][1]["dcg"] / 2)
 
 
-def test_streamed_pages_give_the_same_postings(spark, tmp_path):
-    pages = spark.createDataFrame([(1, "<math>a + b</math>"), (2, "<math>{</math> <math>b + a</math>"), (3, "none")], "page_id long, text string")
-    pages.repartition(3).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(pages.schema).parquet(str(tmp_path / "in"))
-    for _ in range(2):  # the second run finds nothing new
-        ingest.ingest(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out"))
-    assert sorted((r.page_id, r.pos, r.level) for r in got.collect()) == [(1, 0, 2), (1, 0, 2), (2, 1, 2), (2, 1, 2)]
-    assert got.select("term").distinct().count() == 2
-
-
 @pytest.mark.parametrize("files", [("sigmalake", "__spark_entry__.py"), ("sigmalake", "__spark_entry__.py", "corpus_pipeline.py")])
 def test_without_the_operators(tmp_path, files):
     """The entry imports and lists the formula queries where the training-data operators are not there."""
