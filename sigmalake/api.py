@@ -6,6 +6,7 @@ import json
 import time
 from dataclasses import replace
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from .config import DEFAULT, Settings
@@ -13,7 +14,7 @@ from .functions import latex as latex_reader
 from .functions import mathml
 from .operators.index import Index
 from .plans import evaluate as evaluation
-from .plans import explain, search
+from .plans import explain, search, topk
 from .sources import labels as label_table
 
 
@@ -37,20 +38,22 @@ def _answer(index: Index, query: str, page: int, size: int, settings: Settings)
     head = {"status": "OK", "query_mathml": mathml.render(latex_reader.parse(query)), "query_detail": explain.query_html(query, settings)}
     began = time.monotonic()
     index, q = search.prepared(index, [(0, query)], settings)
-    results = search.search(index, q, settings).cache()
-    total = results.count()
+    if topk.worthwhile(q):
+        total = topk.total_hits(index, q)
+        rows = search.top_rows(index, topk.top_k(index, q, page * size, settings), page, size, settings)
+    else:  # counted while the best are found
+        hits = Observation()
+        rows = search.top_rows(index, search.search(index, q, settings).observe(hits, F.count("*").alias("n")), page, size, settings)
+        total = hits.get["n"]
     seconds = str(round(time.monotonic() - began, 3))
     if not total:
-        results.unpersist()
         return head | {"results": [], "time": seconds}
-    rows = search.top_rows(index, results, page, size, settings)
     why: dict[tuple, list] = {}
     for kind, column in (("formula", "formula_id"), ("page", "page_id")) if rows else ():
         ids = [r[column] for r in rows]
         own = replace(index, postings=index.postings | {kind: index.postings[kind].where(F.col("doc_id").isin(ids))})
         for r in explain.explain_scores(own, kind, q).collect():
             why.setdefault((kind, r.doc_id), []).append(r)
-    results.unpersist()
     shown = [
         {
             "doc": {"formula_id": r["formula_id"], "formula": r["formula"], "doc_id": r["page_id"], "doc_title": r["doc_title"], "doc_url": r["doc_url"]},

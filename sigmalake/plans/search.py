@@ -227,7 +227,7 @@ def with_attributes(index: Index, page_rows: DataFrame, settings: Settings = DEF
 def top_rows(index: Index, results: DataFrame, page: int, size: int, settings: Settings = DEFAULT, digits: int = 10) -> list[dict]:
     """The rows of one query's result page with their rank and attributes, in order.
 
-    Only the top of each partition is sorted. The ids of the page (at most
+    Only the top of each partition is sorted. The page's ids (at most
     ``size``) then reach the scans of formulas and pages, which lie in the order
     of ids.
     """
@@ -235,11 +235,12 @@ def top_rows(index: Index, results: DataFrame, page: int, size: int, settings: S
     top = results.orderBy(F.round("score", digits).desc(), "page_id").limit(stop).collect()[start:]
     if not top:
         return []
-    titled = index.pages.select("page_id", "title", scoring.wiki_url(F.col("title"), settings).alias("doc_url"))
-    titles = {r.page_id: r for r in titled.where(F.col("page_id").isin([r.page_id for r in top])).collect()}
-    latex = index.formulas.where(F.col("formula_id").isin([r.formula_id for r in top])).select("formula_id", "latex").collect()
-    formulas = {r.formula_id: r.latex for r in latex}
+    titled = index.pages.where(F.col("page_id").isin([r.page_id for r in top]))
+    titled = titled.select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), "title", scoring.wiki_url(F.col("title"), settings).alias("doc_url"))
+    latex = index.formulas.where(F.col("formula_id").isin([r.formula_id for r in top]))
+    latex = latex.select(F.lit("formula").alias("kind"), F.col("formula_id").alias("id"), F.col("latex").alias("title"), F.lit(None).cast("string").alias("doc_url"))
+    own = {(r.kind, r.id): r for r in titled.union(latex).collect()}  # one job for both
     return [
-        r.asDict() | {"rank": start + n, "formula": formulas[r.formula_id], "doc_title": titles[r.page_id].title, "doc_url": titles[r.page_id].doc_url}
+        r.asDict() | {"rank": start + n, "formula": own["formula", r.formula_id].title, "doc_title": own["page", r.page_id].title, "doc_url": own["page", r.page_id].doc_url}
         for n, r in enumerate(top, 1)
     ]

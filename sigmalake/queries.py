@@ -21,7 +21,7 @@ from .functions.terms import analyse, explode_terms
 from .operators import index as index_tables
 from .operators.scratch import new_path, written
 from .operators.segments import Segments, ingest
-from .plans import evaluate, explain, search
+from .plans import evaluate, explain, search, topk
 from .sources import labels as label_table
 from .sources import wiki
 
@@ -433,6 +433,30 @@ def search_batch(spark, sf):
     return _round(search.result_page(_found(spark, sf, QUERIES), 1, 10), *SCORES)
 
 
+def _top(spark, sf, query, k=10):
+    """The best ``k`` of a written index, by thresholds."""
+    path = new_path(spark, "index")
+    index_tables.write(corpus(spark, sf), path)
+    index, q = search.prepared(index_tables.read(spark, path), [query])
+    return search.result_page(topk.top_k(index, q, k), 1, k)
+
+
+for _name, _query in (("search_top_k", QUERIES[0]), ("search_top_k_deep", QUERIES[1]), ("search_top_k_product", QUERIES[5])):
+    query(_name, _search_sql((_query,)) + f" select page_id, formula_id, {_r(*SCORES)}, rank from ranked where rank <= 10")(
+        lambda spark, sf, own=_query: _round(_top(spark, sf, own), *SCORES).drop("query_id")
+    )
+
+
+@query("search_top_k_hits", _search_sql() + " select query_id, count(*) total from r group by query_id")
+def search_top_k_hits(spark, sf):
+    """Numbers of pages that match, without scoring them."""
+    index, rows = corpus(spark, sf), []
+    for own in QUERIES:
+        cut, q = search.prepared(index, [own])
+        rows.append((own[0], topk.total_hits(cut, q)))
+    return spark.createDataFrame(rows, "query_id long, total long").where("total > 0")
+
+
 URL = "'http://en.wikipedia.org/wiki/' || replace(replace(replace(title, ' ', '_'), '%', '%25'), '#', '%23')"
 
 
