@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 
+from .macros import expand
 from .mathtree import MathError, Node, element, text, token
 
 #: Names set upright; all are operators. Two are written apart.
@@ -50,16 +51,28 @@ OPERATORS = {
     "updownarrow": "&varr;", "Uparrow": "&uArr;", "Downarrow": "&dArr;", "nearrow": "&nearr;", "searrow": "&searr;", "swarrow": "&swarr;", "nwarrow": "&nwarr;",
     "lbrace": "{", "rbrace": "}", "lbrack": "[", "rbrack": "]", "lvert": "|", "rvert": "|", "lVert": "&Vert;", "rVert": "&Vert;",
     "langle": "&lang;", "rangle": "&rang;", "lfloor": "&lfloor;", "rfloor": "&rfloor;", "lceil": "&lceil;", "rceil": "&rceil;",
+    "lgroup": "&lpargt;", "rgroup": "&rpargt;", "ulcorner": "&ulcorn;", "urcorner": "&urcorn;", "llcorner": "&dlcorn;", "lrcorner": "&drcorn;",
+    "rightharpoondown": "&rhard;", "leftharpoonup": "&lharu;", "leftharpoondown": "&lhard;", "leftrightharpoons": "&lrhar;", "Updownarrow": "&vArr;",
+    "upharpoonright": "&uharr;", "upharpoonleft": "&uharl;", "downharpoonright": "&dharr;", "downharpoonleft": "&dharl;", "rightrightarrows": "&rrarr;",
+    "leftleftarrows": "&llarr;", "rightleftarrows": "&rlarr;", "leftrightarrows": "&lrarr;", "upuparrows": "&uuarr;", "downdownarrows": "&ddarr;",
+    "rightarrowtail": "&rarrtl;", "leftarrowtail": "&larrtl;", "twoheadleftarrow": "&Larr;", "nrightarrow": "&nrarr;", "nleftarrow": "&nlarr;",
+    "nRightarrow": "&nrArr;", "nLeftarrow": "&nlArr;", "nleftrightarrow": "&nharr;", "nLeftrightarrow": "&nhArr;", "leadsto": "&rarrw;", "lhd": "&vltri;",
+    "rhd": "&vrtri;", "unlhd": "&ltrie;", "unrhd": "&rtrie;", "triangleleft": "&ltri;", "triangleright": "&rtri;", "approxeq": "&ape;", "thickapprox": "&approx;",
+    "thicksim": "&sim;", "backsim": "&bsim;", "eqsim": "&esim;", "nsim": "&nsim;", "ncong": "&ncong;", "nparallel": "&npar;", "nvdash": "&nvdash;",
+    "nvDash": "&nvDash;", "Vvdash": "&Vvdash;", "boxplus": "&plusb;", "boxminus": "&minusb;", "boxtimes": "&timesb;", "boxdot": "&sdotb;", "dotplus": "&plusdo;",
+    "ggg": "&Gg;", "lll": "&Ll;", "lessgtr": "&lg;", "gtrless": "&gl;", "barwedge": "&barwed;", "veebar": "&veebar;", "curlyvee": "&cuvee;", "curlywedge": "&cuwed;",
+    "multimap": "&mumap;", "between": "&between;", "pitchfork": "&fork;", "varpropto": "&prop;", "circledast": "&oast;", "circledcirc": "&ocir;", "divideontimes": "&divonx;",
 }
 
 #: Large operators, whose scripts stand below and above them.
 LARGE = {
     "sum": "&Sum;", "prod": "&Product;", "coprod": "&Coproduct;", "int": "&Integral;", "oint": "&ContourIntegral;", "iint": "&Int;",
     "iiint": "&iiint;", "bigcup": "&bigcup;", "bigcap": "&bigcap;", "bigvee": "&bigvee;", "bigwedge": "&bigwedge;",
-    "bigoplus": "&bigoplus;", "bigotimes": "&bigotimes;",
+    "bigoplus": "&bigoplus;", "bigotimes": "&bigotimes;", "bigsqcup": "&bigsqcup;", "biguplus": "&biguplus;", "bigodot": "&bigodot;",
+    "oiint": "&Conint;", "oiiint": "&Cconint;", "idotsint": "&Integral;",
 }
 LIMITS = ("lim", "liminf", "limsup", "max", "min", "sup", "inf", "det", "gcd", "Pr")
-SIDEWAYS = ("int", "oint", "iint", "iiint")
+SIDEWAYS = ("int", "oint", "iint", "iiint", "oiint", "oiiint", "idotsint")
 
 #: Greek letters keep their names.
 GREEK = (
@@ -82,13 +95,33 @@ SPACES = (",", ":", ";", "!", " ", "quad", "qquad", "hspace", "enspace", "thinsp
 ABOVE = {
     "hat": "&Hat;", "widehat": "&Hat;", "bar": "&OverBar;", "overline": "&OverBar;", "vec": "&rightarrow;", "overrightarrow": "&rightarrow;",
     "dot": "&dot;", "ddot": "&Dot;", "tilde": "&sim;", "widetilde": "&sim;", "check": "&caron;", "breve": "&breve;", "acute": "&acute;",
-    "grave": "&grave;", "overbrace": "&OverBrace;",
+    "grave": "&grave;", "overbrace": "&OverBrace;", "dddot": "&tdot;", "ddddot": "&DotDot;", "mathring": "&ring;", "overleftarrow": "&leftarrow;",
+    "overleftrightarrow": "&leftrightarrow;", "overparen": "&OverParenthesis;", "wideparen": "&OverParenthesis;", "overbracket": "&OverBracket;",
 }
 #: Arrows that stretch under their text.
 ARROWS = {"xrightarrow": "&rightarrow;", "xleftarrow": "&leftarrow;"}
 #: Commands between two halves of a group: with a line or without.
 HALVES = ("over", "atop")
-BELOW = {"underline": "&UnderBar;", "underbrace": "&UnderBrace;"}
+BELOW = {
+    "underline": "&UnderBar;", "underbrace": "&UnderBrace;", "underleftarrow": "&leftarrow;", "underrightarrow": "&rightarrow;", "underbracket": "&UnderBracket;",
+}
+#: Old names of wiki pages, and names of one meaning with another command.
+ALIASES = {
+    "R": r"\mathbb{R}", "N": r"\mathbb{N}", "Z": r"\mathbb{Z}", "Q": r"\mathbb{Q}", "C": r"\mathbb{C}", "H": r"\mathbb{H}", "reals": r"\mathbb{R}", "Reals": r"\mathbb{R}",
+    "natnums": r"\mathbb{N}", "cnums": r"\mathbb{C}", "Complex": r"\mathbb{C}", "infin": r"\infty", "isin": r"\in", "sdot": r"\cdot", "part": r"\partial", "exist": r"\exists",
+    "and": r"\land", "or": r"\lor", "lang": r"\langle", "rang": r"\rangle", "plusmn": r"\pm", "alef": r"\aleph", "alefsym": r"\aleph", "bull": r"\bullet", "real": r"\Re",
+    "image": r"\Im", "weierp": r"\wp", "empty": r"\emptyset", "sub": r"\subset", "sube": r"\subseteq", "supe": r"\supseteq", "thetasym": r"\vartheta", "sect": r"\S", "ang": r"\angle",
+    "larr": r"\leftarrow", "rarr": r"\rightarrow", "uarr": r"\uparrow", "darr": r"\downarrow", "harr": r"\leftrightarrow", "lrarr": r"\leftrightarrow", "lArr": r"\Leftarrow",
+    "Larr": r"\Leftarrow", "rArr": r"\Rightarrow", "Rarr": r"\Rightarrow", "uArr": r"\Uparrow", "Uarr": r"\Uparrow", "dArr": r"\Downarrow", "Darr": r"\Downarrow", "hArr": r"\Leftrightarrow",
+    "Harr": r"\Leftrightarrow", "lrArr": r"\Leftrightarrow", "Lrarr": r"\Leftrightarrow", "clubs": r"\clubsuit", "diamonds": r"\diamondsuit", "hearts": r"\heartsuit",
+    "spades": r"\spadesuit", "Dagger": r"\ddagger", "restriction": r"\upharpoonright", "O": r"\emptyset", "sgn": r"\operatorname{sgn}", "Alpha": r"\mathrm{A}", "Beta": r"\mathrm{B}",
+    "Epsilon": r"\mathrm{E}", "Zeta": r"\mathrm{Z}", "Eta": r"\mathrm{H}", "Iota": r"\mathrm{I}", "Kappa": r"\mathrm{K}", "Mu": r"\mathrm{M}", "Nu": r"\mathrm{N}", "Omicron": r"\mathrm{O}",
+    "Rho": r"\mathrm{P}", "Tau": r"\mathrm{T}", "Chi": r"\mathrm{X}", "omicron": r"\mathrm{o}", "varGamma": r"\Gamma", "varDelta": r"\Delta", "varTheta": r"\Theta", "varLambda": r"\Lambda",
+    "varXi": r"\Xi", "varPi": r"\Pi", "varSigma": r"\Sigma", "varUpsilon": r"\Upsilon", "varPhi": r"\Phi", "varPsi": r"\Psi", "varOmega": r"\Omega", "varkappa": r"\kappa",
+    "projlim": r"\operatorname{proj lim}", "injlim": r"\operatorname{inj lim}",
+}
+#: Commands whose group, or groups, say nothing about the tree.
+SILENT = {"tag": 1, "label": 1, "hline": 0, "vspace": 1, "hphantom": 1, "vphantom": 1, "rule": 2, "ensuremath": 0, "strut": 0, "mathstrut": 0, "allowbreak": 0, "displaylimits": 0}
 #: Commands that set their argument in another face, or change the size of what follows; the tree is the same.
 FACES = ("mathrm", "mathbf", "mathit", "mathsf", "mathtt", "mathcal", "mathbb", "mathfrak", "boldsymbol", "operatorname", "mathscr", "pmb", "bold", "mathop", "mathbin", "mathrel", "mathord", "boldmath")
 SIZES = ("displaystyle", "textstyle", "scriptstyle", "scriptscriptstyle", "limits", "nolimits", "rm", "bf", "it", "big", "Big", "bigg", "Bigg",
@@ -96,10 +129,14 @@ SIZES = ("displaystyle", "textstyle", "scriptstyle", "scriptscriptstyle", "limit
 TEXTS = ("text", "mbox", "hbox", "textrm", "textbf", "textit", "textsf", "texttt")
 
 FENCES = {"(": ")", "[": "]"}
-FENCE_NAMES = {"lbrace": "{", "rbrace": "}", "lbrack": "[", "rbrack": "]", "lvert": "|", "rvert": "|", "lVert": "|", "rVert": "|", "{": "{", "}": "}", "langle": "<", "rangle": ">", "lfloor": "l", "rfloor": "r", "lceil": "l", "rceil": "r", "|": "|", "vert": "|", "Vert": "|"}
+FENCE_NAMES = {"lbrace": "{", "rbrace": "}", "lbrack": "[", "rbrack": "]", "lvert": "|", "rvert": "|", "lVert": "|", "rVert": "|", "{": "{", "}": "}", "langle": "<", "rangle": ">", "lfloor": "l", "rfloor": "r", "lceil": "l", "rceil": "r", "|": "|", "vert": "|", "Vert": "|",
+               "uparrow": "u", "downarrow": "d", "updownarrow": "b", "Uparrow": "u", "Downarrow": "d", "Updownarrow": "b", "lgroup": "(", "rgroup": ")", "lmoustache": "(", "rmoustache": ")",
+               "ulcorner": "l", "urcorner": "r", "llcorner": "l", "lrcorner": "r", "backslash": "/", "lang": "<", "rang": ">"}
 TABLES = ("matrix", "pmatrix", "bmatrix", "Bmatrix", "vmatrix", "Vmatrix", "smallmatrix", "cases", "array", "align", "align*", "aligned",
-          "eqnarray", "eqnarray*", "gather", "gathered", "split")
-FENCED_TABLES = ("pmatrix", "bmatrix", "Bmatrix", "vmatrix", "Vmatrix", "cases")
+          "eqnarray", "eqnarray*", "gather", "gather*", "gathered", "split", "alignat", "alignat*", "alignedat", "multline", "multline*", "subarray", "dcases", "rcases", "equation", "equation*")
+#: Environments with an argument before their rows.
+WITH_ARGUMENT = ("array", "alignat", "alignat*", "alignedat", "subarray")
+FENCED_TABLES = ("pmatrix", "bmatrix", "Bmatrix", "vmatrix", "Vmatrix", "cases", "dcases", "rcases")
 
 _LEX = re.compile(r"%[^\n]*(?:\n|$)|(?P<space>\s+)|\\(?P<name>[A-Za-z]+)\*?|\\(?P<mark>.)|(?P<number>\d+(?:\.\d+)?|\.\d+)|(?P<char>.)", re.S)
 
@@ -292,6 +329,30 @@ class _Reader:
             return token("mi", f"&{name};")
         if name in SYMBOLS:
             return token("mi", SYMBOLS[name])
+        if name in ALIASES:
+            return _Reader(ALIASES[name]).row(("end", ""))
+        if name in SILENT:
+            for _ in range(SILENT[name]):
+                self.raw()
+            return []
+        if name == "middle":
+            kind, value = self.peek()
+            self.delimiter()
+            return token("mo", OPERATORS.get(value, value) if kind != "char" else value)
+        if name == "phantom":
+            return element("mphantom", self.argument())
+        if name in ("boxed", "fbox", "cancel", "bcancel", "xcancel"):
+            return element("menclose", self.argument())
+        if name == "genfrac":
+            fences = [self.raw() for _ in range(4)][:2]
+            whole = element("mfrac", self.argument(), self.argument())
+            return element("mfenced", whole) if any(f.strip() for f in fences) else whole
+        if name == "buildrel":
+            above: list[Node] = []
+            while self.peek() != ("name", "over"):
+                above += self.row_of(self.scripted())
+            self.next()
+            return element("mover", self.argument(), self.as_one(above))
         if name in SPACES:
             if name == "hspace":
                 self.raw()
@@ -369,7 +430,8 @@ class _Reader:
         name = self.raw()
         if name not in TABLES:
             raise MathError(f"environment {name} is not known")
-        if name == "array":
+        if name in WITH_ARGUMENT:
+            self.optional()
             self.raw()
         rows: list[Node] = []
         cells: list[Node] = []
@@ -391,6 +453,6 @@ class _Reader:
 
 
 def parse(latex: str) -> Node:
-    """The <math> tree of a formula in display style."""
-    reader = _Reader(latex)
+    """The <math> tree of a formula in display style. Its own definitions hold."""
+    reader = _Reader(expand(latex))
     return element("math", *reader.row(("end", "")))

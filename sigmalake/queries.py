@@ -42,11 +42,11 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
     return c.union(table(spark, sf, "supplier").select(-1 - F.col("s_suppkey"), "s_name"))
 
 
-def formulas(spark: SparkSession, sf: str) -> DataFrame:
+def formulas(spark: SparkSession, sf: str, templates=TEMPLATES) -> DataFrame:
     o = table(spark, sf, "orders")
     a, b = F.char(F.lit(97) + F.col("o_orderkey") % 7), F.char(F.lit(97) + F.col("o_custkey") % 5)
     choice = F.lit(None).cast("string")
-    for k, t in reversed(list(enumerate(TEMPLATES))):
+    for k, t in reversed(list(enumerate(templates))):
         pieces = [p for p in re.split("([@~])", t) if p]
         piece = F.concat(*[{"@": a, "~": b}.get(p, F.lit(p)) for p in pieces])
         choice = F.when(F.col("o_orderkey") % 8 == k, piece).otherwise(choice)
@@ -310,6 +310,26 @@ def tree_goldens(spark, sf):
     return f.select("latex", analyse(F.col("latex"))["tree"].alias("tree"))
 
 
+#: The templates written with macros of the page: nested, with a default, by \\def, by \\let, and a name that stays plain.
+DEFINED = (
+    r"\newcommand{\pair}[2]{#1 + #2}\def\swap#1#2{\pair{#2}{#1}}\def\ratio(#1:#2){\frac{#1}{#2}}"
+    r"\newcommand{\up}[2][b]{#2 ^ #1}\let\plus\pair\newcommand\both[2]{#1#2}\providecommand{\both}[1]{#1}\newcommand{\one}[1]{\only{#1}}\renewcommand{\one}[1]{#1}"
+)
+USES = (r"\pair{@}{~}", r"\swap @ ~", r"\ratio(@:~)", r"\up[~]{@}", r"\pair{\up[~]@}z", r"\plus{@ * ~}{c}", r"\both @~", r"\one{@}")
+
+
+@query("terms_macros", _base() + " select formula_id, term, level, gen generalization from e")
+def terms_macros(spark, sf):
+    """Terms of the formulas of pages whose first formula defines what the others are written with."""
+    f = formulas(spark, sf, USES)
+    rows = f.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("formula_id", "latex"))).alias("rows"))
+    text = F.concat(F.lit(f"<math>{DEFINED}</math>"), F.array_join(F.transform("rows", lambda r: F.concat(F.lit("<math>"), r["latex"], F.lit("</math>"))), " "))
+    page = wiki.with_formulas(rows.select("page_id", "rows", text.alias("text")))
+    own = page.select(F.explode(F.arrays_zip(F.col("rows.formula_id").alias("id"), F.slice("mathes", F.lit(2), F.size("rows")).alias("latex"))).alias("r"))
+    found = explode_terms(own.select(F.col("r.id").alias("formula_id"), F.col("r.latex").alias("latex")))
+    return found.select("formula_id", "term", "level", "generalization")
+
+
 @query("doc_length", _base() + " select 'formula' kind, doc_id, len from docs_formula union all select 'page', doc_id, len from docs_page")
 def doc_length(spark, sf):
     i = corpus(spark, sf)

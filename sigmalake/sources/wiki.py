@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
+from ..functions.macros import expanded
 from ..operators.scratch import written
 
 #: Fixed value: what a formula is in wiki text.
@@ -42,9 +43,10 @@ def extract(text: Column, pattern: str = MATH) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(pattern), 1), F.array().cast("array<string>"))
 
 
-def with_formulas(pages: DataFrame) -> DataFrame:
-    """``pages`` with ``mathes``, the array of their formulas."""
-    return pages.withColumn("mathes", extract(F.col("text")))
+def with_formulas(pages: DataFrame, macros: bool = True) -> DataFrame:
+    """``pages`` with ``mathes``, the array of their formulas; what a page defines is expanded in its formulas."""
+    found = extract(F.col("text"))
+    return pages.withColumn("mathes", expanded(found) if macros else found)
 
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
