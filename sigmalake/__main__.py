@@ -11,25 +11,36 @@ from pyspark.sql import SparkSession
 from . import api
 from .config import Settings
 from .operators import index as index_tables
+from .operators.progress import observed, reported
 from .plans import evaluate
 from .sources import labels as label_table
 from .sources import wiki
 
 
 def build_index(spark: SparkSession, dump: str, out: str, settings: Settings) -> None:
-    """Reads a dump, caps it, and writes the index tables to ``out``, which must not exist."""
+    """Reads a dump up to its cap, and writes the index tables to ``out``, which must not exist.
+
+    With a cap, files after it are not read. Tasks are reported while they run;
+    the counts come from the passes that write.
+    """
     from pyspark.sql import functions as F
 
     began = time.monotonic()
-    pages = wiki.with_formulas(wiki.read_dump(spark, dump)).withColumn("n_formulas", F.size("mathes"))
-    pages = wiki.capped(pages, settings=settings)
-    pages.select("page_id", "title", "mathes").write.parquet(f"{out}/scan")
+    say = lambda s: print(s, flush=True)
+    with reported(spark, "scan", say):
+        if settings.max_formula_count is None:
+            pages = wiki.with_formulas(wiki.read_dump(spark, dump))
+        else:
+            pages, files = wiki.scan_until(spark, dump, settings.max_formula_count)
+            say(f"files: {len(files)} of {len(wiki.dump_files(spark, dump))}")
+        pages, seen = observed(pages.select("page_id", "title", "mathes"), pages=F.count("*"))
+        pages.write.parquet(f"{out}/scan")
     pages = spark.read.parquet(f"{out}/scan")
-    print(f"pages: {pages.count()}, scanned in {time.monotonic() - began:.0f} s", flush=True)
-    wiki.formulas(pages).write.parquet(f"{out}/numbered")
-    index_tables.write(index_tables.build(pages, spark.read.parquet(f"{out}/numbered"), settings), f"{out}/index")
-    counted = index_tables.counted(index_tables.read(spark, f"{out}/index").known).first()
-    print(", ".join(f"{k}: {v}" for k, v in counted.asDict().items()) + f", indexed in {time.monotonic() - began:.0f} s", flush=True)
+    say(f"pages: {seen.get['pages']}, scanned in {time.monotonic() - began:.0f} s")
+    with reported(spark, "index", say):
+        wiki.formulas(pages).write.parquet(f"{out}/numbered")
+        counted = index_tables.write(index_tables.build(pages, spark.read.parquet(f"{out}/numbered"), settings), f"{out}/index")
+    say(", ".join(f"{k}: {v}" for k, v in counted.items()) + f", indexed in {time.monotonic() - began:.0f} s")
 
 
 def perf(spark: SparkSession, index, labels, settings: Settings) -> None:

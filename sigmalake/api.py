@@ -52,7 +52,7 @@ def _answer(index: Index, query: str, page: int, size: int, settings: Settings)
     for kind, column in (("formula", "formula_id"), ("page", "page_id")) if rows else ():
         ids = [r[column] for r in rows]
         own = replace(index, postings=index.postings | {kind: index.postings[kind].where(F.col("doc_id").isin(ids))})
-        for r in explain.explain_scores(own, kind, q).collect():
+        for r in explain.explain_scores(own, kind, q, settings=settings).collect():
             why.setdefault((kind, r.doc_id), []).append(r)
     shown = [
         {

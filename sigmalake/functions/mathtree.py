@@ -184,6 +184,7 @@ def normalise(root: Node, settings) -> Node:
         (settings.adjust_tree, adjust),
         (settings.reconstruct_expression, reconstruct),
         (settings.reorder_operands, reorder),
+        *((True, own) for own in settings.rewrites),
     ]
     for wanted, step in steps:
         if wanted:

@@ -35,8 +35,8 @@ def folded(found: list[Term]) -> list[dict]:
 
 
 @lru_cache(maxsize=20_000)
-def _analysed(formula: str, settings: Settings, mathml: bool) -> tuple[list[Term], str | None, bool]:
-    # whatever is wrong with a formula makes it an error of its own, never of the job
+def analysed(formula: str, settings: Settings, mathml: bool) -> tuple[list[Term], str | None, bool]:
+    """(terms, tree, is_error) of a formula: whatever is wrong with it makes it an error of its own, never of the job."""
     try:
         tree = tree_of(formula, settings, mathml)
         return list(terms(tree, settings.generalise)), str(tree), False
@@ -51,7 +51,7 @@ def analyse(formula: Column, settings: Settings = DEFAULT, mathml: bool = False)
     """
 
     def run(column: pd.Series) -> pd.DataFrame:
-        rows = [([], None, False) if not f else _analysed(f, settings, mathml) for f in column]
+        rows = [([], None, False) if not f else analysed(f, settings, mathml) for f in column]
         out = [([t._asdict() for t in ts], folded(ts), tree, bad) for ts, tree, bad in rows]
         return pd.DataFrame(out, columns=["terms", "folded", "tree", "is_error"])
 
@@ -65,10 +65,16 @@ def explode_terms(formulas: DataFrame, column: str = "latex", settings: Settings
     return each.select(*formulas.columns, "ord", "_t.term", "_t.level", "_t.generalization")
 
 
+def clause_table(queries: DataFrame, column: str = "query", settings: Settings = DEFAULT) -> DataFrame:
+    """(query_id, clause, term, level, generalization) of a table of queries (query_id, query), however many; made by the workers."""
+    each = explode_terms(queries.select("query_id", column), column, settings)
+    return each.select("query_id", F.col("ord").alias("clause"), "term", "level", "generalization")
+
+
 def query_clauses(queries: Iterable[tuple[int, str]], settings: Settings = DEFAULT) -> list[tuple]:
     """(query_id, clause, term, level, generalization) of LaTeX queries; one that cannot be read has none."""
     out = []
     for query_id, formula in queries:
-        found, _, _ = _analysed(formula, settings, False)
+        found, _, _ = analysed(formula, settings, False)
         out += [(query_id, n, t.term, t.level, t.generalization) for n, t in enumerate(found)]
     return out

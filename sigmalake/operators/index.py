@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Settings
 from ..functions import scoring
 from ..functions.terms import analyse
+from .progress import observed
 
 KINDS = ("formula", "page")
 KNOWN = ("formula_id", "page_id", "folded", "n_terms", "is_error")
@@ -92,21 +93,27 @@ def counters(formulas: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
 
 def counted(known: DataFrame) -> DataFrame:
     """(formulas, errors, terms) of analysed formulas."""
-    return known.agg(
-        F.count("*").alias("formulas"),
-        F.coalesce(F.sum(F.col("is_error").cast("long")), F.lit(0)).alias("errors"),
-        F.coalesce(F.sum("n_terms"), F.lit(0)).alias("terms"),
-    )
+    return known.agg(*[c.alias(name) for name, c in _counters().items()])
 
 
-def write(index: Index, path: str) -> None:
-    """Parquet tables under ``path``, which must not exist.
+def _counters() -> dict:
+    return {
+        "formulas": F.count("*"),
+        "errors": F.coalesce(F.sum(F.col("is_error").cast("long")), F.lit(0)),
+        "terms": F.coalesce(F.sum("n_terms"), F.lit(0)),
+    }
+
+
+def write(index: Index, path: str) -> dict[str, int]:
+    """Parquet tables under ``path``, which must not exist; returns what ``counted`` counts, seen by the pass that analyses.
 
     Formulas are analysed in one pass; everything else is made of its table.
     """
-    index.known.write.parquet(f"{path}/known")
+    known, seen = observed(index.known, **_counters())
+    known.write.parquet(f"{path}/known")
     known = index.pages.sparkSession.read.parquet(f"{path}/known")
     _write_tables(of_known(index.pages, index.formulas, known), path)
+    return seen.get
 
 
 def rewrite(index: Index, path: str) -> None:

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Settings
 from ..functions import scoring
 from ..operators.index import Index
+from ..operators.scratch import written
 from ..sources import labels as label_table
-from .search import prepared, result_page, search, with_attributes
+from ..sources.wiki import numbered
+from .search import clauses_of, result_page, search, with_attributes
 
 
 def quality(judged: DataFrame, k: int) -> DataFrame:
@@ -28,13 +30,15 @@ def mean_quality(details: DataFrame) -> DataFrame:
 
 
 def evaluate(index: Index, labels: DataFrame, k: int, settings: Settings = DEFAULT) -> DataFrame:
-    """``quality`` of every labelled query, all searched in one job; a query without results scores 0."""
-    spark = labels.sparkSession
-    names = [r.query for r in label_table.all_queries(labels).toLocalIterator()]  # the evaluation set
-    ids = spark.createDataFrame(list(enumerate(names)), "query_id long, query string")
-    index, q = prepared(index, enumerate(names), settings)
+    """``quality`` of every labelled query; a query without results scores 0.
+
+    However many queries: they are numbered, broken into clauses, weighted,
+    searched and judged as tables, and the driver sees none of them.
+    """
+    ids = written(numbered(labels.select("query").distinct(), ["query"], "query_id"), "labelled")
+    q = written(clauses_of(ids, settings), "clauses")
     top = result_page(search(index, q, settings), 1, k)
-    shown = with_attributes(index, top, settings, len(names) * k).join(ids, "query_id")
+    shown = with_attributes(index, top, settings).join(ids, "query_id")
     judged = label_table.lookup(shown.select("query", F.col("doc_url").alias("url"), "rank"), labels)
     found = ids.join(quality(judged, k), "query", "left")
     zero = {c: F.coalesce(c, F.lit(0)).cast(t).alias(c) for c, t in (("dcg", "double"), ("active", "long"), ("precision", "double"))}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT, Settings
 from ..functions.terms import terms_of
 from ..operators.index import Index
 from .search import Clauses, matches
@@ -18,12 +19,12 @@ def explain_terms(q: DataFrame) -> DataFrame:
     return q.select("query_id", "clause", "term", "level", "generalization")
 
 
-def explain_scores(index: Index, kind: str, q: Clauses, docs: DataFrame | None = None) -> DataFrame:
+def explain_scores(index: Index, kind: str, q: Clauses, docs: DataFrame | None = None, settings: Settings = DEFAULT) -> DataFrame:
     """Per matched clause of a document: idf, boost, proximity, coord, query_norm, norm and its contribution; they add up to the score.
 
     ``docs`` (query_id, doc_id) narrows it to some documents.
     """
-    m = matches(index, kind, q)
+    m = matches(index, kind, q, settings)
     if docs is not None:
         m = m.join(docs.select("query_id", "doc_id"), ["query_id", "doc_id"])
     # a document has at most a row for each clause of a query

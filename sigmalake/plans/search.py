@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions import scoring
-from ..functions.terms import query_clauses
+from ..functions.terms import clause_table, query_clauses
 from ..operators.index import KINDS, Index
 
 CLAUSES = "query_id long, clause int, term string, level int, generalization boolean"
@@ -62,6 +62,11 @@ def _clauses(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, CLAUSES).withColumn("boost", scoring.boost(F.col("generalization")))
 
 
+def clauses_of(queries: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """``clauses`` of a table of queries (query_id, query): nothing of it comes to the driver."""
+    return clause_table(queries, settings=settings).withColumn("boost", scoring.boost(F.col("generalization")))
+
+
 def prepared(index: Index, queries: Iterable[tuple[int, str]], settings: Settings = DEFAULT) -> tuple[Index, Clauses]:
     """The index cut to the queries' terms, and their clauses.
 
@@ -120,7 +125,7 @@ def weighted(index: Index, kind: str, q: Clauses) -> DataFrame:
     )
 
 
-def matches(index: Index, kind: str, q: Clauses) -> DataFrame:
+def matches(index: Index, kind: str, q: Clauses, settings: Settings = DEFAULT) -> DataFrame:
     """(query_id, clause, term, ..., doc_id, page_id, norm, proximity, part) of every clause that a document matches.
 
     part = idf^2 x boost x proximity.
@@ -132,7 +137,7 @@ def matches(index: Index, kind: str, q: Clauses) -> DataFrame:
         m = p.join(F.broadcast(weighted(index, kind, q)), "term")  # at most BROADCAST_ROWS clauses
     else:
         m = p.join(weighted(index, kind, q), "term")
-    near = scoring.proximity(F.col("level"), F.col("levels"))
+    near = (settings.fold or scoring.proximity)(F.col("level"), F.col("levels"))
     return m.select("*", near.alias("proximity"), (F.col("idf") * F.col("idf") * F.col("boost") * near).alias("part"))
 
 
@@ -146,24 +151,24 @@ def _scored(m: DataFrame, *keys: str) -> DataFrame:
     return by.agg(F.count("*").alias("matched"), F.expr(score).alias("score"))
 
 
-def search_documents(index: Index, kind: str, q: Clauses) -> DataFrame:
+def search_documents(index: Index, kind: str, q: Clauses, settings: Settings = DEFAULT) -> DataFrame:
     """(query_id, doc_id, page_id, matched, score) of all documents that match some clause."""
-    return _scored(matches(index, kind, q).select(*MATCHED)).select("query_id", "doc_id", "page_id", "matched", "score")
+    return _scored(matches(index, kind, q, settings).select(*MATCHED)).select("query_id", "doc_id", "page_id", "matched", "score")
 
 
-def best_formulas(index: Index, q: Clauses) -> DataFrame:
+def best_formulas(index: Index, q: Clauses, settings: Settings = DEFAULT) -> DataFrame:
     """(query_id, page_id, formula_id, formula_score): of each page the formula that ranks first, the smaller id among equals.
 
     One aggregation with map-side partials, no window over a page's formulas.
     """
-    hits = search_documents(index, "formula", q)
+    hits = search_documents(index, "formula", q, settings)
     best = F.max_by(F.struct("doc_id", "score"), F.struct("score", -F.col("doc_id"))).alias("b")
     return hits.groupBy("query_id", "page_id").agg(best).select("query_id", "page_id", F.col("b.doc_id").alias("formula_id"), F.col("b.score").alias("formula_score"))
 
 
-def search_pages(index: Index, q: Clauses) -> DataFrame:
+def search_pages(index: Index, q: Clauses, settings: Settings = DEFAULT) -> DataFrame:
     """(query_id, page_id, page_score)."""
-    return search_documents(index, "page", q).select("query_id", "page_id", F.col("score").alias("page_score"))
+    return search_documents(index, "page", q, settings).select("query_id", "page_id", F.col("score").alias("page_score"))
 
 
 def search(index: Index, q: Clauses, settings: Settings = DEFAULT) -> DataFrame:
@@ -172,7 +177,7 @@ def search(index: Index, q: Clauses, settings: Settings = DEFAULT) -> DataFrame:
     ``best_formulas`` and ``search_pages`` in one: the matches of both indexes
     are shuffled together, and no join is left.
     """
-    both = [matches(index, k, q).select(*MATCHED, F.lit(k == "formula").alias("formula")) for k in KINDS]
+    both = [matches(index, k, q, settings).select(*MATCHED, F.lit(k == "formula").alias("formula")) for k in KINDS]
     best = "max_by(struct(doc_id, score), struct(score, -doc_id)) filter (where formula)"
     found = _scored(both[0].union(both[1]), "formula").groupBy("query_id", "page_id").agg(
         F.expr(best).alias("b"), F.expr("max(score) filter (where not formula)").alias("page_score")

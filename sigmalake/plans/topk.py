@@ -130,7 +130,7 @@ def top_k(index: Index, q: Weighted, k: int, settings: Settings = DEFAULT) -> Da
     ``index`` and ``q`` are what ``prepared`` makes of one query. The rest of
     the work grows with the candidates, not with the pages that match.
     """
-    if not any(q.rows["formula"].values()):
+    if settings.fold or not any(q.rows["formula"].values()):  # a caller's fold has no bound that is known
         return search(index, q, settings)
     pages = candidates(index, q, k, settings)
     if pages is None:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .api import search_json
 from .config import Settings
-from .functions import scoring
+from .functions import hooks, scoring
 from .functions.terms import analyse, explode_terms
 from .operators import index as index_tables
 from .operators.scratch import new_path, written
@@ -67,7 +67,7 @@ pages as (select c_custkey page_id, c_name title from customer union all select
 f as (select o_orderkey formula_id, o_custkey page_id, o_orderkey % 8 t, {L} from orders),
 i as (select *, '<mi>' || a || '</mi>' ma, '<mi>' || b || '</mi>' mb from f),
 terms as (
-  select formula_id, page_id, t, unnest(case t
+  select formula_id, page_id, t, unnest(l) x, generate_subscripts(l, 1) - 1 ord from (select *, case t
     when 0 then [g('<mo o=''+''><mi></mi><mi></mi></mo>', 2, true), g('<mo o=''+''>' || least(ma, mb) || greatest(ma, mb) || '</mo>', 2, false)]
     when 1 then [g('<mo o=''+''><mi></mi><mi></mi></mo>', 2, true), g('<mo o=''+''>' || least(ma, mb) || greatest(ma, mb) || '</mo>', 2, false)]
     when 2 then [g('<mfrac><mi></mi><mi></mi></mfrac>', 2, true), g('<mfrac>' || ma || mb || '</mfrac>', 2, false)]
@@ -78,8 +78,8 @@ terms as (
                  g('<mo o=''+''><mi>c</mi><mo o=''*''>' || least(ma, mb) || greatest(ma, mb) || '</mo></mo>', 2, false),
                  g('<mo o=''*''><mi></mi><mi></mi></mo>', 3, true), g('<mo o=''*''>' || least(ma, mb) || greatest(ma, mb) || '</mo>', 3, false)]
     when 6 then [g('<mi>' || a || b || '</mi>', 2, false)]
-    else [] end) x from i),
-e as (select formula_id, page_id, t, x.term, x.level, x.gen from terms),
+    else [] end l from i)),
+e as (select formula_id, page_id, t, ord, x.term, x.level, x.gen from terms),
 post_formula as (select formula_id doc_id, page_id, term, array_agg(distinct level order by level) levels from e group by all),
 post_page as (select page_id doc_id, page_id, term, array_agg(distinct level order by level) levels from e group by page_id, term),
 len_formula as (select f.formula_id doc_id, count(e.term) len from f left join e using (formula_id) group by f.formula_id),
@@ -144,14 +144,17 @@ def _expected(latex: str) -> list[tuple]:
     }[latex]
 
 
-def _search_sql(queries=QUERIES) -> str:
+BEST = "1.0::double / (1 + list_min(list_transform(p.levels, lambda x: abs(x - n.level))))"
+
+
+def _search_sql(queries=QUERIES, proximity=BEST) -> str:
     """The corpus, the clauses, and the scores of both indexes and of pages."""
     parts = [_base(), _clauses_sql(queries)]
     for kind in ("formula", "page"):
         parts.append(f"""
 w_{kind} as (select q.*, coalesce(df, 0) df, 1 + ln((select count(*) from docs_{kind})::double / (coalesce(df, 0) + 1)) idf from q left join df_{kind} using (term)),
 n_{kind} as (select *, count(*) over (partition by query_id) n, 1 / sqrt(sum(pow(idf * boost, 2)) over (partition by query_id)) qn from w_{kind}),
-m_{kind} as (select n.*, p.doc_id, p.page_id, 1.0::double / (1 + list_min(list_transform(p.levels, lambda x: abs(x - n.level)))) prox
+m_{kind} as (select n.*, p.doc_id, p.page_id, {proximity} prox
   from n_{kind} n join post_{kind} p using (term)),
 s_{kind} as (select query_id, m.doc_id, page_id, count(*) matched, count(*)::double / any_value(n) * any_value(qn) * any_value(norm) * sum(idf * idf * boost * prox) score
   from m_{kind} m join docs_{kind} d on d.doc_id = m.doc_id group by query_id, m.doc_id, page_id)""")
@@ -289,25 +292,75 @@ def terms_no_adjust(spark, sf):
     return found.where("not generalization").select("formula_id", "term")
 
 
+#: Templates over letters @ (a to g) and ~ (p to t), so that their order is known, and their trees.
 GOLDENS = (
-    ("ab", "<math><mi>ab</mi></math>"), ("sin(x)", "<math><mi>sin</mi><mfenced><mi>x</mi></mfenced></math>"),
-    ("a + b .", "<math><mo o='+'><mi>a</mi><mi>b</mi></mo></math>"),
-    ("a + b + c", "<math><mo o='+'><mi>c</mi><mo o='+'><mi>a</mi><mi>b</mi></mo></mo></math>"),
-    ("a + b * c", "<math><mo o='+'><mi>a</mi><mo o='*'><mi>b</mi><mi>c</mi></mo></mo></math>"),
-    ("a * ( b + c )", "<math><mo o='*'><mfenced><mrow><mo o='+'><mi>b</mi><mi>c</mi></mo></mrow></mfenced><mi>a</mi></mo></math>"),
-    (r"\frac{1}{n} + b = c", "<math><mo o='='><mo o='+'><mfrac><mn>1</mn><mi>n</mi></mfrac><mi>b</mi></mo><mi>c</mi></mo></math>"),
-    ("e ^ {y + x}", "<math><msup><mi>e</mi><mrow><mo o='+'><mi>x</mi><mi>y</mi></mo></mrow></msup></math>"),
-    (r"\cos{y * x}", "<math><mo o='cos'><mrow><mo o='*'><mi>x</mi><mi>y</mi></mo></mrow></mo></math>"),
-    (r"\sum_i^n", "<math><munderover><mi>i</mi><mo o='&Sum;'><mi>n</mi></mo></munderover></math>"),
-    ("a + -b", "<math><mo o='+'><mi>a</mi></mo><mo o='-'><mi>b</mi></mo></math>"),
-    ("p \\to q", "<math><mo o='&ShortRightArrow;'><mi>p</mi><mi>q</mi></mo></math>"),
+    ("@~", "<math><mi>@~</mi></math>"), ("sin(@)", "<math><mi>sin</mi><mfenced><mi>@</mi></mfenced></math>"),
+    ("~ + @ .", "<math><mo o='+'><mi>@</mi><mi>~</mi></mo></math>"),
+    ("~ + @ + z", "<math><mo o='+'><mi>z</mi><mo o='+'><mi>@</mi><mi>~</mi></mo></mo></math>"),
+    ("@ + z * ~", "<math><mo o='+'><mi>@</mi><mo o='*'><mi>~</mi><mi>z</mi></mo></mo></math>"),
+    ("@ * ( ~ + z )", "<math><mo o='*'><mfenced><mrow><mo o='+'><mi>~</mi><mi>z</mi></mo></mrow></mfenced><mi>@</mi></mo></math>"),
+    (r"\frac{1}{@} + ~ = z", "<math><mo o='='><mo o='+'><mfrac><mn>1</mn><mi>@</mi></mfrac><mi>~</mi></mo><mi>z</mi></mo></math>"),
+    ("e ^ {~ + @}", "<math><msup><mi>e</mi><mrow><mo o='+'><mi>@</mi><mi>~</mi></mo></mrow></msup></math>"),
+    (r"\cos{~ * @}", "<math><mo o='cos'><mrow><mo o='*'><mi>@</mi><mi>~</mi></mo></mrow></mo></math>"),
+    (r"\sum_@^~", "<math><munderover><mi>@</mi><mo o='&Sum;'><mi>~</mi></mo></munderover></math>"),
+    ("@ + -~", "<math><mo o='+'><mi>@</mi></mo><mo o='-'><mi>~</mi></mo></math>"),
+    (r"@ \to ~", "<math><mo o='&ShortRightArrow;'><mi>@</mi><mi>~</mi></mo></math>"),
+    (r"\alpha @ \le \frac{~}{2}", "<math><mo o='&leq;'><mi>&alpha;@</mi><mfrac><mi>~</mi><mn>2</mn></mfrac></mo></math>"),
+    (r"\begin{matrix}@&~\end{matrix}", "<math><mtable><mtr><mtd><mi>@</mi></mtd><mtd><mi>~</mi></mtd></mtr></mtable></math>"),
 )
 
+#: The same for MathML: attributes, fences, character references, entities, comments, CDATA, runs of operators, text; with its terms.
+MARKUP = (
+    ('<math xmlns="m" display="block"><msup><mi>@</mi><mi mathvariant="italic">~</mi></msup><mo stretchy="false">+</mo><mi>z</mi></math>', (
+        ("<mo o='+'><mi></mi><msup></msup></mo>", 2, True), ("<mo o='+'><mi>z</mi><msup><mi>@</mi><mi>~</mi></msup></mo>", 2, False),
+        ("<msup><mi></mi><mi></mi></msup>", 3, True), ("<msup><mi>@</mi><mi>~</mi></msup>", 3, False))),
+    ('<math><mfenced open="(" close="]"><mi>@</mi><mo>&#43;</mo><mi>~</mi></mfenced></math>', (
+        ("<mfenced><mo o='+'></mo></mfenced>", 2, True), ("<mfenced><mo o='+'><mi>@</mi><mi>~</mi></mo></mfenced>", 2, False),
+        ("<mo o='+'><mi></mi><mi></mi></mo>", 3, True), ("<mo o='+'><mi>@</mi><mi>~</mi></mo>", 3, False))),
+    ("<math><mi>&alpha;</mi><mo>&le;</mo><mi>@</mi></math>", (
+        ("<mo o='&le;'><mi></mi><mi></mi></mo>", 2, True), ("<mo o='&le;'><mi>&alpha;</mi><mi>@</mi></mo>", 2, False), ("<mi>&alpha;</mi>", 3, False))),
+    ("<math><mi>@</mi><mo>=</mo><mo>-</mo><mi>~</mi></math>", (
+        ("<mi></mi><mo o='='></mo>", 1, True), ("<mi>@</mi><mo o='='><mo o='-'><mi>~</mi></mo></mo>", 1, False),
+        ("<mo o='='><mo o='-'></mo></mo>", 2, True), ("<mo o='='><mo o='-'><mi>~</mi></mo></mo>", 2, False),
+        ("<mo o='-'><mi></mi></mo>", 3, True), ("<mo o='-'><mi>~</mi></mo>", 3, False))),
+    ("<math><!-- @ --><mi>~</mi><mo><![CDATA[*]]></mo> <mi> @ </mi></math>", (
+        ("<mo o='*'><mi></mi><mi></mi></mo>", 2, True), ("<mo o='*'><mi>@</mi><mi>~</mi></mo>", 2, False))),
+    ("<math><mtext>if  </mtext><mi>@</mi></math>", (
+        ("<mtext></mtext><mi></mi>", 1, True), ("<mtext>if</mtext><mi>@</mi>", 1, False), ("<mtext>if</mtext>", 2, False), ("if", 3, False))),
+)
+
+
+def _quoted(s: str) -> str:
+    """A text in SQL."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _lettered_sql(column: str) -> str:
+    """SQL of a template's text with its letters set in."""
+    return f"replace(replace({column}, '@', chr((97 + o_orderkey % 7)::int)), '~', chr((112 + o_custkey % 5)::int))"
+
+
+def _lettered(spark, sf, templates) -> DataFrame:
+    """(formula_id, latex): every order with one of the templates."""
+    o, n = table(spark, sf, "orders"), len(templates)
+    text = F.element_at(F.array(*[F.lit(t) for t in templates]), (F.col("o_orderkey") % n + 1).cast("int"))
+    for mark, start, key, m in (("@", 97, "o_orderkey", 7), ("~", 112, "o_custkey", 5)):
+        text = F.replace(text, F.lit(mark), F.char(F.lit(start) + F.col(key) % m))
+    return o.select(F.col("o_orderkey").alias("formula_id"), text.alias("latex"))
 
-@query("tree_goldens", "select latex, tree from (values " + ", ".join("('{}', '{}')".format(a.replace("'", "''"), b.replace("'", "''")) for a, b in GOLDENS) + ") v(latex, tree)")
+
+@query("tree_goldens", f"""select o_orderkey formula_id, {_lettered_sql('latex')} latex, {_lettered_sql('tree')} tree
+  from orders join (values {", ".join(f"({k}, {_quoted(a)}, {_quoted(b)})" for k, (a, b) in enumerate(GOLDENS))}) v(k, latex, tree) on o_orderkey % {len(GOLDENS)} = k""")
 def tree_goldens(spark, sf):
-    f = spark.createDataFrame([(a,) for a, _ in GOLDENS], "latex string")
-    return f.select("latex", analyse(F.col("latex"))["tree"].alias("tree"))
+    f = _lettered(spark, sf, [a for a, _ in GOLDENS])
+    return f.select("formula_id", "latex", analyse(F.col("latex"))["tree"].alias("tree"))
+
+
+@query("mathml_input", f"""select o_orderkey formula_id, ord, {_lettered_sql('term')} term, level, generalization from orders join (values
+  {", ".join(f"({k}, {n}, {_quoted(t)}, {level}, {str(general).lower()})" for k, (_, terms) in enumerate(MARKUP) for n, (t, level, general) in enumerate(terms))}
+  ) v(k, ord, term, level, generalization) on o_orderkey % {len(MARKUP)} = k""")
+def mathml_input(spark, sf):
+    return explode_terms(_lettered(spark, sf, [a for a, _ in MARKUP]), mathml=True).drop("latex")
 
 
 #: The templates written with macros of the page: nested, with a default, by \\def, by \\let, and a name that stays plain.
@@ -485,9 +538,12 @@ def doc_url(spark, sf):
     return pages(spark, sf).select("page_id", scoring.wiki_url(F.col("title")).alias("doc_url"))
 
 
-@query("explain_terms", "with " + _clauses_sql() + " select query_id, clause, term, level, gen generalization from q")
+@query("explain_terms", _base() + f""", l as (select *, {LATEX} latex from i), asked as (select min(formula_id) formula_id from l group by latex)
+  select formula_id query_id, ord clause, term, level, gen generalization from e join asked using (formula_id)""")
 def explain_terms(spark, sf):
-    return explain.explain_terms(search.clauses(spark, QUERIES))
+    """The clauses of all different formulas, asked as queries."""
+    asked = formulas(spark, sf).groupBy(F.col("latex").alias("query")).agg(F.min("formula_id").alias("query_id"))
+    return explain.explain_terms(search.clauses_of(asked))
 
 
 @query("explain_scores", _search_sql(QUERIES[1:2]) + f"""
@@ -613,6 +669,18 @@ def label_export(spark, sf):
     return label_table.export(_labels(spark, sf))
 
 
+@query("label_store", f"with {LABELS} select query, url, case when url like '%7' then 9 else relevance end relevance from labels0 where (url like '%7' or relevance <> 0) and not url like '%3'")
+def label_store(spark, sf):
+    """Labels after three commits to a store: all, some replaced, some taken out; compacted."""
+    own = label_table.Store(spark, new_path(spark, "labels"))
+    rows = _all_labels(spark, sf)
+    own.put(rows)
+    own.put(rows.where("url like '%7'").withColumn("relevance", F.lit(9)))
+    own.put(rows.where("url like '%3'").withColumn("relevance", F.lit(0)))
+    own.compact()
+    return own.read()
+
+
 # --- evaluation -----------------------------------------------------------
 
 #: Ranked results of fifty queries: orders by price; relevance from the labels.
@@ -671,21 +739,57 @@ def ingest_counters(spark, sf):
     return index_tables.counters(f.withColumn("latex", broken))
 
 
+def _dump(pages: DataFrame) -> DataFrame:
+    """Pages as rows of a MediaWiki dump."""
+    text = F.struct(F.struct(F.lit(1).alias("_bytes"), F.col("text").alias("_VALUE")).alias("text")).alias("revision")
+    return pages.select("title", F.col("page_id").alias("id"), text)
+
+
 @query("xml_scan", _base() + " select page_id, title, count(formula_id)::int n_formulas from pages left join f using (page_id) group by page_id, title")
 def xml_scan(spark, sf):
     """Pages written as a MediaWiki dump to the shared folder, scanned, and their formulas extracted."""
-    text = F.struct(F.struct(F.lit(1).alias("_bytes"), F.col("text").alias("_VALUE")).alias("text")).alias("revision")
     path = new_path(spark, "dump")
-    dump = _wiki_pages(spark, sf).select("title", F.col("page_id").alias("id"), text)
-    dump.write.format("xml").option("rootTag", "mediawiki").option("rowTag", "page").save(path)
+    _dump(_wiki_pages(spark, sf)).write.format("xml").option("rootTag", "mediawiki").option("rowTag", "page").save(path)
     scanned = wiki.with_formulas(wiki.read_dump(spark, path))
     return scanned.select("page_id", "title", F.size("mathes").alias("n_formulas"))
 
 
-@query("mathml_input", "select * from (values (0, '<mo o=''+''><mi></mi><msup></msup></mo>', 2, true), (1, '<mo o=''+''><mi>z</mi><msup><mi>x</mi><mi>y</mi></msup></mo>', 2, false), (2, '<msup><mi></mi><mi></mi></msup>', 3, true), (3, '<msup><mi>x</mi><mi>y</mi></msup>', 3, false)) v(ord, term, level, generalization)")
-def mathml_input(spark, sf):
-    f = spark.createDataFrame([("<math><msup><mi>x</mi><mi>y</mi></msup><mo>+</mo><mi>z</mi></math>",)], "latex string")
-    return explode_terms(f, mathml=True).drop("latex")
+@query("scan_early_stop", _base() + """, n as (select p.page_id, count(f.formula_id) n_formulas from pages p left join f using (page_id) group by p.page_id)
+  select page_id, n_formulas from n qualify coalesce(sum(n_formulas) over (order by page_id rows between unbounded preceding and 1 preceding), 0) < 3000""")
+def scan_early_stop(spark, sf):
+    """A dump in files of rising ids, scanned until 3,000 formulas are found: the files after that stay unread."""
+    path = new_path(spark, "dump")
+    dump = _dump(_wiki_pages(spark, sf).repartitionByRange(12, "page_id").sortWithinPartitions("page_id"))
+    dump.write.format("xml").option("rootTag", "mediawiki").option("rowTag", "page").save(path)
+    kept, _ = wiki.scan_until(spark, path, 3000, wave_bytes=1)
+    return kept.select("page_id", F.col("n_formulas").cast("long").alias("n_formulas"))
+
+
+@query("udtf_terms", _base() + " select formula_id, ord, term, level, gen generalization from e")
+def udtf_terms(spark, sf):
+    """Terms by the table function in SQL."""
+    hooks.register(spark, "formula_terms")
+    return spark.sql("select f.formula_id, t.* from {own} f, lateral formula_terms(f.latex) t", own=formulas(spark, sf))
+
+
+_RENAMED = "replace(replace(term, {}, {}), {}, {})".format(*map(_quoted, ("o='*'", "o='&times;'", "o='+'", "o='&plus;'")))
+
+
+@query("terms_rewritten", _base() + f" select formula_id, {_RENAMED} term, level, gen generalization from e")
+def terms_rewritten(spark, sf):
+    """Terms after a caller's rewrite: operators under other names."""
+    own = Settings(rewrites=(hooks.renamed_operators({"*": "&times;", "+": "&plus;"}),))
+    return explode_terms(formulas(spark, sf), settings=own).select("formula_id", "term", "level", "generalization")
+
+
+_MEAN = "list_avg(list_transform(p.levels, lambda x: 1.0::double / (1 + abs(x - n.level))))"
+
+
+@query("search_mean_fold", _search_sql(QUERIES[1:2], _MEAN) + f" select page_id, formula_id, {_r(*SCORES)} from r")
+def search_mean_fold(spark, sf):
+    """A search whose payloads are folded by their mean, as a caller asks."""
+    own = Settings(fold=hooks.mean_proximity)
+    return _round(search.search(*search.prepared(corpus(spark, sf), QUERIES[1:2], own), own), *SCORES).drop("query_id")
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

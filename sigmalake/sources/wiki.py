@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions.macros import expanded
+from ..operators.progress import observed
 from ..operators.scratch import written
 
 #: Fixed value: what a formula is in wiki text.
@@ -16,6 +20,8 @@ PAGE_SCHEMA = "title string, id long, revision struct<text: struct<_VALUE: strin
 #: Ranges into which numbering deals its rows: at least, and rows of one beyond.
 RANGES = 8
 RANGE_ROWS = 1_000_000
+#: Bytes of the first wave of files that ``scan_until`` reads; each next one may take twice as many.
+WAVE_BYTES = 256_000_000
 
 
 def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
@@ -32,7 +38,7 @@ def _before(d: DataFrame, n: Column) -> DataFrame:
     return F.broadcast(sums.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before")))
 
 
-def read_dump(spark: SparkSession, path: str) -> DataFrame:
+def read_dump(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(page_id, title, text) of a MediaWiki XML export, split over tasks by the XML reader. The schema is never inferred."""
     raw = spark.read.format("xml").option("rowTag", "page").schema(PAGE_SCHEMA).load(path)
     return raw.select(F.col("id").alias("page_id"), "title", F.col("revision.text._VALUE").alias("text"))
@@ -77,6 +83,41 @@ def capped(pages: DataFrame, limit: int | None = None, settings: Settings = DEFA
     return d.where(F.col("_before") + F.col("_running") < limit).select(pages.columns)
 
 
+def dump_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(name, bytes) of a dump's files in the order of their names, numbers in them by value."""
+    sc = spark.sparkContext
+    root = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(sc._jsc.hadoopConfiguration())
+    found = [(s.getPath().toString(), s.getLen()) for s in fs.listStatus(root) if s.isFile()]
+    shown = [f for f in found if not f[0].rsplit("/", 1)[-1].startswith(("_", "."))]
+    return sorted(shown, key=lambda f: [int(x) if x.isdigit() else x for x in re.split("([0-9]+)", f[0].rsplit("/", 1)[-1])])
+
+
+def scan_until(spark: SparkSession, path: str, limit: int, wave_bytes: int = WAVE_BYTES, macros: bool = True) -> tuple[DataFrame, list[str]]:
+    """(pages up to and with the one that brings the formulas to ``limit``, files that were read).
+
+    The files of a dump are read in growing waves, in the order of their names,
+    each wave written once and counted as it is written; what lies after the
+    wave that reaches the limit is never opened. Pages have page_id, title,
+    mathes and n_formulas. Where the files' pages follow one another by id, as in
+    a dump's numbered parts, these are the pages that ``capped`` keeps of the
+    whole dump. A file is the least that is read.
+    """
+    rest, read, waves, total = dump_files(spark, path), [], [], 0
+    while rest and total < limit:
+        wave = [rest.pop(0)]
+        while rest and sum(b for _, b in wave) + rest[0][1] <= wave_bytes:
+            wave.append(rest.pop(0))
+        names = [f for f, _ in wave]
+        pages = with_formulas(read_dump(spark, names), macros).select("page_id", "title", "mathes", F.size("mathes").alias("n_formulas"))
+        pages, seen = observed(pages, n=F.coalesce(F.sum("n_formulas"), F.lit(0)))
+        waves.append(written(pages, "scan"))
+        total, read, wave_bytes = total + seen.get["n"], read + names, 2 * wave_bytes
+    if not waves:
+        return spark.createDataFrame([], "page_id long, title string, mathes array<string>, n_formulas int"), read
+    return capped(reduce(DataFrame.union, waves), limit), read
+
+
 def formulas(pages: DataFrame) -> DataFrame:
     """(formula_id, page_id, pos, latex, doc_title) of pages (page_id, title, mathes); ids follow (page_id, pos)."""
     each = pages.select("page_id", F.posexplode("mathes").alias("pos", "latex"), F.col("title").alias("doc_title"))
