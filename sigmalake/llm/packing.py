@@ -237,14 +237,20 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 
     Every row of ``docs`` gives at least one piece: a null or empty text is its
     end id alone. Rows that repeat an id are packed each on their own; a null
-    id stays null. An empty table gives no pieces. ``with_ids`` adds the
+    id stays null; equal rows, however many, are dealt over all shards. An empty
+    table gives no pieces. ``with_ids`` adds the
     little-endian 32-bit ids themselves, from which a writer can lay out whole
     sequences by (sequence_id, offset).
     """
     arrow_rows(docs.sparkSession, 4_000)
-    p = written(pieces(docs, id_col, text_col, capacity, end, vocabulary, with_ids), "pieces")
+    p = pieces(docs, id_col, text_col, capacity, end, vocabulary, with_ids).withColumn("place", F.monotonically_increasing_id())
+    p = written(p, "pieces")
     shards = max(1, -(-p.count() // shard))
-    dealt = p.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("long"))
+    of = lambda *by: F.pmod(F.xxhash64(*by), F.lit(shards)).cast("long")
+    dealt = p.withColumn("shard", of("doc_id", "piece", "ids_crc32"))
+    if shards > 1 and (dealt.groupBy("shard").count().agg(F.max("count")).first()[0] or 0) > 1.25 * shard:
+        dealt = p.withColumn("shard", of("doc_id", "piece", "ids_crc32", "place"))  # many equal rows: dealt by their places
+    dealt = dealt.drop("place")
     schema = PIECES + ", ids binary" * with_ids + ", sequence_id long, offset long"
     return dealt.groupBy("shard").applyInPandas(_place(capacity), schema)
 

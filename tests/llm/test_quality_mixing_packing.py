@@ -154,3 +154,12 @@ def test_known_words_are_bounded_and_right(monkeypatch):
         some = texts[k : k + 5]
         assert list(ids.texts(pa.array(some))) == [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(some, add_special_tokens=False)]
     assert ids.before and len(ids.known) < 20_000
+
+
+def test_equal_rows_are_packed_in_bounded_shards(spark):
+    docs = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one two three").alias("text"), F.col("id").alias("place"))
+    got = packing.pack(docs, shard=1_000)
+    sizes = [r["count"] for r in got.groupBy(F.expr("sequence_id >> 32").alias("shard")).count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) <= 1_500
+    ends = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    assert ends.where("n <> end or n > 4096").count() == 0
