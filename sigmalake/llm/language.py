@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, dropped, fold_of, table, trim, written
+from .common import arrow_rows, dropped, fold_of, small, table, trim, written
 
 #: Most labelled rows that the counts are taken from, dealt evenly over the languages.
 SAMPLE = 8_000
+COUNTING_TASKS = 8
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
@@ -107,6 +108,12 @@ def _counts(langs: list[str]):
     return run
 
 
+def _summed(t: pa.Table) -> pa.Table:
+    """The counts of one language from several tasks as one row."""
+    add = lambda c: sum(np.frombuffer(x, "<i8") for x in t.column(c).to_pylist()).astype("<i8").tobytes()
+    return pa.table({"lang": t.column("lang").slice(0, 1), "grams": [add("grams")], "scripts": [add("scripts")]})
+
+
 class Model:
     """Languages, log probabilities (order, bucket, language), and which language is written in which script."""
 
@@ -230,40 +237,46 @@ def _answer(model, switch, with_spans, ids, texts, split):
 
 
 def chosen(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(i, l) of rows (i, l) to learn from: of each language the least hashes of the id, up to an equal part of ``sample``.
+    """(i, l) of rows (i, l) to learn from, each once: of each language the least hashes of the id, up to an equal part of ``sample``.
 
-    Rows beyond a hash bound, which keeps some 1.5 times as many, are dropped
-    before anything is sorted, so no task sorts all rows of a language.
+    Rows beyond a hash bound, which keeps some 1.5 times as many ids, are dropped
+    before anything is grouped or sorted, so no task sorts all rows of a
+    language. An id that many rows repeat counts once.
     """
-    count = docs.groupBy("l").agg(F.count("*").alias("n"))  # a row for each language
+    count = written(docs.groupBy("l").agg(F.approx_count_distinct("i").alias("n")), "languages")  # a row for each language
     langs = count.count()
     if not langs:
         return docs.limit(0)
     quota = max(1, sample // langs)
     unit = F.pmod(F.xxhash64("i"), F.lit(1 << 40)) / float(1 << 40)
-    near = docs.join(F.broadcast(count), "l").where(unit * F.col("n") <= 1.5 * quota + 50)
+    near = docs.join(small(count), "l").where(unit * F.col("n") <= 1.5 * quota + 50).select("i", "l").distinct()
     place = F.row_number().over(W.partitionBy("l").orderBy(unit, "i"))
     return near.select("i", "l", place.alias("place")).where(F.col("place") <= quota).select("i", "l")
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """The model, from rows with a language outside fold 0, at most ``sample`` of them, an equal number of each language as far as it has them.
+    """The model, from ids with a language outside fold 0, at most ``sample`` of them, an equal number of each language as far as it has them.
 
-    Rows that repeat an id count as often as they are there. The sampled texts
-    are written once by all tasks, counted by one, and a row for each language
-    comes to the driver.
+    Of rows that repeat an id in a language the text with the least hash is
+    learned from. The sampled texts are written once, counted by several tasks,
+    summed by language, and a row for each language comes to the driver.
     """
     d = docs.select(F.col(id_col).cast("long").alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t"))
     d = d.where("l is not null and t is not null").where(fold_of(F.col("i")) != 0)
     picked = written(chosen(d.select("i", "l"), sample), "sample")  # ids first: no text is sorted
     langs = sorted(r.l for r in picked.select("l").distinct().collect())  # at most ``sample`` rows
-    own = written(d.join(F.broadcast(picked.distinct()), ["i", "l"], "left_semi").select("t", "l"), "sample")
+    d = d.withColumn("h", F.xxhash64("t"))
+    least = d.select("i", "l", "h").join(F.broadcast(picked), ["i", "l"]).groupBy("i", "l").agg(F.min("h").alias("h"))
+    least = written(least, "sample")  # no text was moved for it
+    own = d.join(F.broadcast(least), ["i", "l", "h"]).dropDuplicates(["i", "l", "h"]).select("t", "l")
+    own = written(own.repartition(COUNTING_TASKS), "sample")
     counts = np.zeros((len(langs), len(ORDERS), BUCKETS), np.int64)
     scripts = np.zeros((len(langs), len(SCRIPTS)), np.int64)
-    for r in own.coalesce(1).mapInArrow(_counts(langs), "lang string, grams binary, scripts binary").toLocalIterator():
+    counted = own.mapInArrow(_counts(langs), "lang string, grams binary, scripts binary")
+    for r in counted.groupBy("lang").applyInArrow(_summed, "lang string, grams binary, scripts binary").toLocalIterator():
         counts[langs.index(r.lang)] = np.frombuffer(r.grams, "<i8").reshape(len(ORDERS), BUCKETS)
         scripts[langs.index(r.lang)] = np.frombuffer(r.scripts, "<i8")
-    dropped(picked, own)
+    dropped(picked, least, own)
     model = Model(langs, counts, scripts)
     del counts
     trim()

@@ -189,3 +189,18 @@ def test_viterbi_is_the_best_path(switch):
         for i in range(1, n):
             best = {k: own[i, k] + max(v - switch * (j != k) for j, v in best.items()) for k in range(3)}
         assert value(path.tolist()) == pytest.approx(max(best.values()))
+
+
+def test_languages_are_learned_where_an_id_has_most_rows(spark):
+    clean = [(k, f"wort{k % 40} haus baum und nicht" if k % 2 else f"word{k % 40} house tree and not", "de" if k % 2 else "en") for k in range(4_000)]
+    docs = spark.createDataFrame(clean, "doc_id long, text string, lang string")
+    hot = next(k for k in range(1, 100_000, 2) if __import__("zlib").crc32(str(k).encode()) % 5)
+    many = spark.range(30_000).select(F.lit(hot).cast("long").alias("doc_id"), F.concat(F.lit("haus baum "), "id").alias("text"), F.lit("de").alias("lang"))
+    ids = docs.union(many).select(F.col("doc_id").alias("i"), F.col("lang").alias("l"))
+    picked = language.chosen(ids, 1_000).collect()
+    assert len(picked) == len({(r.i, r.l) for r in picked}) and 800 <= len(picked) <= 1_000
+    assert min(sum(r.l == x for r in picked) for x in ("de", "en")) >= 350
+    model = language.train(docs.union(many), sample=1_000)
+    got = language.identify(spark.createDataFrame([(1, "baum und haus"), (2, "tree and house")], "doc_id long, text string"), model)
+    assert {r.doc_id: r.lang_pred for r in got.collect()} == {1: "de", 2: "en"}
+    assert (language.train(docs.union(many).repartition(3), sample=1_000).log == model.log).all()  # whatever the order
