@@ -1,7 +1,7 @@
-"""Licence texts and notices that documents are compared with: (label, phrase a block must hold, text).
+"""Licence texts and notices that documents are compared with: (label, telling words, text).
 
-Fixed values, as published with the licences. The phrase tells a text from a
-like one about another licence.
+Fixed values, as published with the licences. The telling words are few of the
+text's: a block without them close together is a like text about another licence.
 """
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
@@ -53,22 +53,40 @@ purpose, including commercial applications, and to alter it and redistribute it
 restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original
 software."""
 
+AGPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General
+Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You
+should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""
+
+CC0 = """To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or
+neighboring rights to this work."""
+
+EPL = """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is
+available at https://www.eclipse.org/legal/epl-2.0/"""
+
 TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge", MIT),
-    ("mit", "claim damages or other liability", MIT_DISCLAIMER),
-    ("mit", "mit license", "released under the MIT license"),
-    ("apache", "apache license", APACHE),
-    ("apache", "apache license", "licensed under the Apache license version 2.0"),
-    ("gpl", "gnu general public license", GPL),
-    ("gpl", "gnu general public license", "this work is licensed under the GNU general public license version 3"),
-    ("lgpl", "gnu lesser general public license", LGPL),
-    ("bsd", "redistribution and use in source and binary forms", BSD),
-    ("bsd", "bsd license", "released under the BSD license"),
-    ("isc", "with or without fee", ISC),
-    ("mpl", "mozilla public license", MPL),
-    ("unlicense", "free and unencumbered", UNLICENSE),
-    ("zlib", "must not be misrepresented", ZLIB),
-    ("cc-by", "creative commons attribution 4", "this work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("mit", "free charge", MIT),
+    ("mit", "other liability", MIT_DISCLAIMER),
+    ("mit", "mit", "released under the MIT license"),
+    ("apache", "apache", APACHE),
+    ("apache", "apache", "licensed under the Apache license version 2.0"),
+    ("gpl", "gnu general public", GPL),
+    ("gpl", "gnu general public", "this work is licensed under the GNU general public license version 3"),
+    ("lgpl", "gnu lesser", LGPL),
+    ("agpl", "gnu affero", AGPL),
+    ("agpl", "gnu affero", "this work is licensed under the GNU Affero general public license version 3"),
+    ("bsd", "source binary forms", BSD),
+    ("bsd", "bsd", "released under the BSD license"),
+    ("isc", "with without fee", ISC),
+    ("mpl", "mozilla", MPL),
+    ("epl", "eclipse", EPL),
+    ("artistic", "artistic", "licensed under the Artistic license version 2.0"),
+    ("unlicense", "unencumbered", UNLICENSE),
+    ("zlib", "misrepresented", ZLIB),
+    ("cc0", "cc0", CC0),
+    ("cc0", "cc0", "released under CC0 1.0 universal public domain dedication"),
+    ("cc-by", "creative commons attribution", "this work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by", "cc by", "licensed under CC BY 4.0"),
     ("cc-by-nc", "cc by nc", "licensed under CC BY-NC 4.0"),
     ("cc-by-sa", "cc by sa", "licensed under CC BY-SA 4.0"),

@@ -79,9 +79,10 @@ def token_order(docs: DataFrame, templates=TEMPLATES, text_col: str = "text") ->
     return {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (n.get(w, 0), w)))}
 
 
-def holds(words: list[bytes], phrase: list[bytes]) -> bool:
-    """Whether the words of ``phrase`` stand in a row in ``words``."""
-    return any(words[i : i + len(phrase)] == phrase for i, w in enumerate(words) if w == phrase[0]) if phrase else True
+def together(words: list[bytes], telling: frozenset) -> bool:
+    """Whether all of ``telling`` stand close together in ``words``, in whatever order: within half as many words more."""
+    span = len(telling) + len(telling) // 2
+    return any(telling.issubset(words[i : i + span]) for i, w in enumerate(words) if w in telling) if telling else True
 
 
 def block_of(n: int) -> int:
@@ -93,13 +94,18 @@ def block_of(n: int) -> int:
 
 
 class Join:
-    """Templates (label, phrase, text), indexed by block size and by the rarest tokens of each."""
+    """Templates (label, telling words, text), indexed by block size and by the rarest tokens of each.
+
+    The join finds every block and template with a containment at the threshold.
+    A match labels its document if the block has the template's telling words
+    close together, in whatever order, and gives way to one of a template with all its tokens.
+    """
 
     def __init__(self, order: dict[bytes, int], templates=TEMPLATES, threshold: float = THRESHOLD):
         self.order = order
         self.templates = []
         self.index: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
-        for label, phrase, text in templates:
+        for label, telling, text in templates:
             words = words_of(text.encode())
             if not words:
                 raise ValueError(f"a template of {label} has no words")
@@ -108,16 +114,17 @@ class Join:
             index = self.index.setdefault(block_of(len(words)), {})
             for place in range(len(tokens) - least + 1):
                 index.setdefault(tokens[place], []).append((len(self.templates), place))
-            self.templates.append((label, tokens, frozenset(tokens), least, words_of(phrase.encode())))
+            self.templates.append((label, tokens, frozenset(tokens), least, frozenset(words_of(telling.encode()))))
         self.prefixes = frozenset(w for index in self.index.values() for w in index)
         # the templates that have all tokens of one, and more
         self.wider = [frozenset(j for j, y in enumerate(self.templates) if x[2] < y[2]) for x in self.templates]
 
-    def matches(self, words: list[bytes]) -> dict[int, float]:
-        """Template -> its largest containment in a block of ``words``, for all that reach the threshold."""
+    def matches(self, words: list[bytes]) -> tuple[dict[int, float], dict[int, float]]:
+        """Template -> its largest containment in a block of ``words``: for all that reach the threshold, and for those that label."""
         best: dict[int, float] = {}
+        label: dict[int, float] = {}
         if self.prefixes.isdisjoint(words):
-            return best
+            return best, label
         for size, index in self.index.items():
             step = size // 2
             last = max(0, -(-(len(words) - size) // step))  # the block that reaches the end
@@ -125,10 +132,12 @@ class Join:
             for k in sorted(hit):
                 block = words[k * step : k * step + size]
                 found = self._block(block, index)
+                telling = {t for t in found if together(block, self.templates[t][4])}
                 for t, c in found.items():
-                    if self.wider[t].isdisjoint(found):
-                        best[t] = max(best.get(t, 0.0), c)
-        return best
+                    best[t] = max(best.get(t, 0.0), c)
+                    if t in telling and self.wider[t].isdisjoint(telling):
+                        label[t] = max(label.get(t, 0.0), c)
+        return best, label
 
     def _block(self, block: list[bytes], index: dict) -> dict[int, float]:
         known = sorted(self.order.keys() & set(block), key=self.order.__getitem__)
@@ -138,17 +147,20 @@ class Join:
                 if t in tried:
                     continue
                 tried.add(t)
-                _, tokens, whole, least, phrase = self.templates[t]
+                _, tokens, whole, least, _ = self.templates[t]
                 # length: the block must hold enough tokens; position: enough must come from here on, as this is the first shared
                 if len(known) < least or min(len(tokens) - place, len(known) - rank) < least:
                     continue
                 overlap = len(whole & have)
-                if overlap >= least and holds(block, phrase):
+                if overlap >= least:
                     found[t] = overlap / len(tokens)
         return found
 
 
-SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+SCHEMA = (
+    "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
+    "templates array<struct<template:int,label:string,containment:double>>"
+)
 
 
 def _scan(join: Join, phrases: dict[str, str]):
@@ -161,14 +173,16 @@ def _scan(join: Join, phrases: dict[str, str]):
                 text = (t.as_py() or b"").translate(FOLD)
                 words = text.split()
                 at, base = phrase_places(words, text, phrases) if not first.isdisjoint(words) else ([], set())
-                found = join.matches(words)
+                every, found = join.matches(words)
                 labels = base | {join.templates[k][0] for k in found}
+                rows = [{"template": k, "label": join.templates[k][0], "containment": c} for k, c in sorted(every.items())]
                 score = max(found.values(), default=1.0 if base else 0.0)
                 ends = (min(at), max(at)) if at else (None, None)
-                out.append((len(words), len(at), *ends, ",".join(sorted(base)), ",".join(sorted(labels)), score))
-            types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
+                out.append((len(words), len(at), *ends, ",".join(sorted(base)), ",".join(sorted(labels)), score, rows))
+            kind = pa.list_(pa.struct([("template", pa.int32()), ("label", pa.string()), ("containment", pa.float64())]))
+            types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), kind]
             columns = [pa.array(c, k) for c, k in zip(zip(*out), types)] if out else [pa.array([], k) for k in types]
-            names = [x.split()[0] for x in SCHEMA.split(", ")]
+            names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "templates"]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["doc_id", *names])
 
     return run
@@ -176,14 +190,15 @@ def _scan(join: Join, phrases: dict[str, str]):
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, phrases=None,
          threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+    """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, templates.
 
     ``n_base`` counts all phrase places; first_word and last_word are null
     without any. Labels are sorted, comma-joined and empty if there are none;
-    ``labels`` adds those of templates contained to ``threshold`` or more in a
-    block that holds their phrase too. ``score`` is the largest such containment, 1 if only phrases were
-    found, else 0. Null and empty texts have no words. Repeated rows and null
-    ids give a row each; an empty table gives none.
+    ``templates`` has every template that some block contains to ``threshold`` or
+    more, with its largest containment; ``labels`` adds those of them whose
+    telling words the block has too. ``score`` is the largest containment of
+    these, 1 if only phrases were found, else 0. Null and empty texts have no
+    words. Repeated rows and null ids give a row each; an empty table gives none.
     """
     arrow_rows(docs.sparkSession)
     join = Join(token_order(docs, templates, text_col), templates, threshold)
@@ -192,4 +207,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    found = scan(table(spark, sf_dir, "documents"))
+    listed = F.transform("templates", lambda t: F.concat_ws(":", t["template"], t["label"], F.round(t["containment"], 4)))
+    return found.withColumn("templates", F.array_join(listed, ","))
