@@ -313,13 +313,27 @@ def prefix(s: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return s[np.argsort(np.where(common[at] == s, rank[at], 0), kind="stable")[:n]]
 
 
+def bucket_of(shingle: np.ndarray, buckets: int) -> np.ndarray:
+    mixed = (shingle ^ shingle >> np.uint64(29)) * PLACE[1]
+    return ((mixed >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
 def _prefixes(buckets: int, common: np.ndarray, rank: np.ndarray):
-    """(text) -> per bucket of shingles: those in prefixes, each with its text's hash and size, as bytes."""
+    """(text) -> per bucket of shingles: those in prefixes, each with its text's hash and size, as bytes.
+
+    Of texts with the same words a task gives one, so a text that many rows
+    repeat comes to a bucket once a task at most. Prefixes hold a text's smallest
+    hashes, so buckets go by a hash of these, which is even.
+    """
 
     def run(batches):
+        seen: set[int] = set()
         for b in batches:
             of, size, first = [], [], []
             for same, s in _shingle_sets(b.column(0)):
+                if same in seen:
+                    continue
+                seen.add(same)
                 of.append(same)
                 size.append(len(s))
                 first.append(prefix(s, common, rank))
@@ -328,7 +342,7 @@ def _prefixes(buckets: int, common: np.ndarray, rank: np.ndarray):
             n = [len(f) for f in first]
             shingle = np.concatenate(first)
             of, size = np.repeat(np.array(of, np.uint64), n), np.repeat(np.array(size, np.uint32), n)
-            bucket = ((shingle >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            bucket = bucket_of(shingle, buckets)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             rows = [(k, order[x:y]) for k, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
@@ -489,7 +503,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cells = met.join(small(hot), "leader", "left_anti") if split else met
     cells = cells.select("leader", "same", "size", F.lit(0).alias("x"), F.lit(0).alias("y"))
     reps = written(marks.groupBy("same").agg(F.min("doc_id").alias("id")), "marks")
-    named = reps.join(small(met.select("same").distinct()), "same", "left_semi").select(F.col("id").alias("doc_id")).distinct()
+    named = reps.join(small(written(met.select("same").distinct(), "met")), "same", "left_semi").select(F.col("id").alias("doc_id")).distinct()
     own = d.join(small(written(named, "named")), "doc_id", "left_semi").select("text").mapInArrow(_sets, "same long, shingles binary")
     if marks.groupBy("doc_id").count().where("count > 1").limit(1).count():
         own = own.dropDuplicates(["same"])
@@ -498,7 +512,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     else:
         own = written(own, "sets")
         members = met.join(small(hot), "leader").withColumn("part", F.pmod(F.xxhash64("same"), F.col("p")).cast("int"))
-        classes = written(components(_met(own, cells.unionByName(_parts(members)))), "classes")
+        cells = written(cells.unionByName(_parts(members)), "cells")
+        classes = written(components(_met(own, cells)), "classes")
         rest = written(_strangers(members, classes), "cells")
         tree = components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).union(_met(own, rest)))
     root = reps.join(tree, F.col("same") == F.col("node"), "left").select("same", "id", F.coalesce("component", "same").alias("root"))

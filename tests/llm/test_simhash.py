@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -202,3 +203,21 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_buckets_of_prefixes_are_even(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect() if r.text]
+    none = np.zeros(0, np.uint64)
+    first = np.concatenate([simhash.prefix(s, none, none) for _, s in simhash._shingle_sets(pa.array(texts))])
+    n = np.bincount(simhash.bucket_of(first, 100).astype(np.int64), minlength=100)
+    # a shingle that many texts share is one key; its weight is no matter of the hash
+    n_once = np.bincount(simhash.bucket_of(np.unique(first), 100).astype(np.int64), minlength=100)
+    assert n_once.max() < 1.1 * n_once.mean() and n.max() < 1.5 * n.mean()
+
+
+def test_a_task_gives_equal_texts_once():
+    text = " ".join(f"w{k}" for k in range(500))
+    none = np.zeros(0, np.uint64)
+    batches = [pa.RecordBatch.from_arrays([pa.array([text] * 100 + [text + " more"])], names=["text"]) for _ in range(3)]
+    got = list(simhash._prefixes(4, none, none)(batches))
+    assert sum(len(x) // 8 for b in got for x in b.column("same").to_pylist()) <= 2 * 101
