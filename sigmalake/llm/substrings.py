@@ -422,12 +422,13 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The rows of ``docs``, all columns as they are, but for texts that lose words: those are their kept words joined by one space."""
     row = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     d = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ranges = repeated_ranges(d, window).withColumnRenamed("ranges", "_ranges")
-    own = docs.withColumn("_row", row)
-    size = ranges.agg(F.coalesce(F.sum(F.length("_ranges") + 80), F.lit(0))).first()[0]
-    side = ranges.withColumnRenamed("row", "_row")
-    own = own.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, "_row", "left")
-    own = own.select(*[F.col(text_col).cast("string").alias("text") if c == text_col else F.col(c) for c in docs.columns], F.col("_ranges").alias("ranges"))
+    mine = "_" * (1 + max(map(len, docs.columns)))  # longer than any column of the table
+    key, gone = mine + "row", mine + "ranges"
+    side = repeated_ranges(d, window).select(F.col("row").alias(key), F.col("ranges").alias(gone))
+    own = docs.withColumn(key, row)
+    size = side.agg(F.coalesce(F.sum(F.length(gone) + 80), F.lit(0))).first()[0]
+    own = own.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, key, "left")
+    own = own.select(*[F.col(c).cast("string").alias(c) if c == text_col else F.col(c) for c in docs.columns], gone)
     at = docs.columns.index(text_col)
     return own.mapInArrow(_replaced(at), docs.schema)
 

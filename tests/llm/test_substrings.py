@@ -68,3 +68,11 @@ def test_substrings_on_documents(spark, sf, monkeypatch):
     monkeypatch.setattr(substrings, "BROADCAST_BYTES", -1)
     assert found(spark, docs) == want
     assert found(spark, docs.limit(0)) == []
+
+
+def test_columns_of_any_name_stay(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text, "a", "b", "c", "d"), (2, f"x {text} y", "e", "f", "g", "h"), (3, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string, _ranges string, ranges string, row string")
+    got = sorted(map(tuple, substrings.strip_repeats(docs).select(docs.columns).collect()))
+    assert got == [rows[0], (2, "x y", "e", "f", "g", "h"), rows[2]]
