@@ -17,7 +17,7 @@ from .sources import labels as label_table
 from .sources import wiki
 
 
-def build_index(spark: SparkSession, dump: str, out: str, settings: Settings) -> None:
+def build_index(spark: SparkSession, dump: str, out: str, settings: Settings, say=lambda s: print(s, flush=True)) -> None:
     """Reads a dump up to its cap, and writes the index tables to ``out``, which must not exist.
 
     With a cap, files after it are not read. Tasks are reported while they run;
@@ -26,7 +26,6 @@ def build_index(spark: SparkSession, dump: str, out: str, settings: Settings) ->
     from pyspark.sql import functions as F
 
     began = time.monotonic()
-    say = lambda s: print(s, flush=True)
     with reported(spark, "scan", say):
         if settings.max_formula_count is None:
             pages = wiki.with_formulas(wiki.read_dump(spark, dump))

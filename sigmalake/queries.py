@@ -792,6 +792,62 @@ def search_mean_fold(spark, sf):
     return _round(search.search(*search.prepared(corpus(spark, sf), QUERIES[1:2], own), own), *SCORES).drop("query_id")
 
 
+@query("postings_stored", _base() + """ select 'formula' kind, doc_id, page_id, term, array_to_string(levels, ',') levels from post_formula
+  union all select 'page', doc_id, page_id, term, array_to_string(levels, ',') from post_page""")
+def postings_stored(spark, sf):
+    """Both kinds of postings as an index holds them that was written, read and opened."""
+    path = new_path(spark, "index")
+    index_tables.write(corpus(spark, sf), path)
+    own = index_tables.read(spark, path)
+    each = [own.postings[k].select(F.lit(k).alias("kind"), "doc_id", "page_id", "term", F.array_join(F.col("levels").cast("array<string>"), ",").alias("levels")) for k in index_tables.KINDS]
+    return each[0].union(each[1])
+
+
+@query("terms_of_empty_formulas", _base() + """ select f.formula_id, (case when f.formula_id % 4 < 2 then 0 else count(e.term) end)::int n_terms, false is_error
+  from f left join e using (formula_id) group by f.formula_id""")
+def terms_of_empty_formulas(spark, sf):
+    """Null and empty formulas among the others: they have no terms and are no errors."""
+    f = formulas(spark, sf)
+    empty = F.when(F.col("key") % 4 == 0, F.lit("")).when(F.col("key") % 4 != 1, F.col("latex"))
+    return index_tables.analysed(f.withColumn("latex", empty)).select("formula_id", "n_terms", "is_error")
+
+
+@query("dump_to_search", _search_sql(QUERIES[1:2]) + f""", n as (select formula_id, row_number() over (order by page_id, formula_id) id from f)
+  select page_id, id formula_id, {_r(*SCORES)} from r join n using (formula_id)""")
+def dump_to_search(spark, sf):
+    """A dump scanned, numbered, indexed and searched, as the command line does it."""
+    from .__main__ import build_index
+
+    dump, out = new_path(spark, "dump"), new_path(spark, "out")
+    _dump(_wiki_pages(spark, sf)).write.format("xml").option("rootTag", "mediawiki").option("rowTag", "page").save(dump)
+    build_index(spark, dump, out, Settings(max_formula_count=None), say=lambda s: None)
+    return _round(search.search(*search.prepared(index_tables.read(spark, f"{out}/index"), QUERIES[1:2])), *SCORES).drop("query_id")
+
+
+@query("search_http", _search_sql(QUERIES[1:2]) + f""", l as (select formula_id, {LATEX} formula from i)
+  select rank - 1 place, (select count(*) from r) total, formula_id, formula, page_id doc_id, title doc_title, {URL} doc_url, round(score, {DIGITS}) score
+  from ranked join l using (formula_id) join pages using (page_id) where rank > 5 and rank <= 12""")
+def search_http(spark, sf):
+    """A page of results and a part of another, asked over HTTP."""
+    import threading
+    from urllib.parse import quote
+    from urllib.request import urlopen
+
+    from .__main__ import server
+
+    http = server(corpus(spark, sf), None, 0, Settings())
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    try:
+        ask = lambda page, size: json.loads(urlopen(f"http://127.0.0.1:{http.server_port}/api/search/{quote(QUERIES[1][1], safe='')}/{page}?size={size}").read())
+        found = [(5 + n, ask_, x) for ask_ in [ask(2, 5)] for n, x in enumerate(ask_["results"])]
+        found += [(10 + n, ask_, x) for ask_ in [ask(6, 2)] for n, x in enumerate(ask_["results"])]
+    finally:
+        http.shutdown()
+        http.server_close()
+    rows = [(n, a["total"], *(x["doc"][k] for k in ("formula_id", "formula", "doc_id", "doc_title", "doc_url")), round(x["score"], DIGITS)) for n, a, x in found]
+    return spark.createDataFrame(rows, "place int, total long, formula_id long, formula string, doc_id long, doc_title string, doc_url string, score double")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """The first page of results for a batch of queries, with titles and links."""
     i, q = search.prepared(corpus(spark, sf), QUERIES)

@@ -16,7 +16,8 @@ from ..operators.scratch import written
 
 #: Fixed value: what a formula is in wiki text.
 MATH = r"(?s)<math>(.*?)</math>"
-PAGE_SCHEMA = "title string, id long, revision struct<text: struct<_VALUE: string>>"
+#: A text as one string: markup that is not escaped in it stays as it is written, comments go; as a struct, the text before them would be lost.
+PAGE_SCHEMA = "title string, id long, revision struct<text: string>"
 #: Ranges into which numbering deals its rows: at least, and rows of one beyond.
 RANGES = 8
 RANGE_ROWS = 1_000_000
@@ -24,24 +25,30 @@ RANGE_ROWS = 1_000_000
 WAVE_BYTES = 256_000_000
 
 
+def _own(df: DataFrame, *names: str) -> list[str]:
+    """Names of columns that are longer than any of the table's."""
+    return ["_" * (1 + max(map(len, df.columns), default=0)) + n for n in names]
+
+
 def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
-    """``df`` with ``_part``, a range of the ordering columns that rises with them, and ``_row``, the place in it: written once."""
+    """``df`` with its own ``part``, a range of the ordering columns that rises with them, and ``row``, the place in it: written once."""
+    part, row = _own(df, "part", "row")
     dealt = df.repartitionByRange(RANGES + df.count() // RANGE_ROWS, *order).sortWithinPartitions(*order)
     place = F.monotonically_increasing_id()  # the partition's number, then 33 bits of the row's
-    d = written(dealt.withColumn("_row", place), "ranges")
-    return d.withColumn("_part", F.shiftright("_row", 33)).withColumn("_row", F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)))
+    d = written(dealt.withColumn(row, place), "ranges")
+    return d.withColumn(part, F.shiftright(row, 33)).withColumn(row, F.col(row).bitwiseAND(F.lit((1 << 33) - 1)))
 
 
-def _before(d: DataFrame, n: Column) -> DataFrame:
-    """(_part, _before): what the ranges before each come to."""
-    sums = d.groupBy("_part").agg(n.alias("_n"))  # a row for each range
-    return F.broadcast(sums.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before")))
+def _before(d: DataFrame, n: Column, part: str, before: str) -> DataFrame:
+    """(part, before): what the ranges before each come to."""
+    sums = d.groupBy(part).agg(n.alias("n"))  # a row for each range
+    return F.broadcast(sums.select(part, (F.sum("n").over(W.orderBy(part)) - F.col("n")).alias(before)))
 
 
 def read_dump(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(page_id, title, text) of a MediaWiki XML export, split over tasks by the XML reader. The schema is never inferred."""
     raw = spark.read.format("xml").option("rowTag", "page").schema(PAGE_SCHEMA).load(path)
-    return raw.select(F.col("id").alias("page_id"), "title", F.col("revision.text._VALUE").alias("text"))
+    return raw.select(F.col("id").alias("page_id"), "title", F.col("revision.text").alias("text"))
 
 
 def extract(text: Column, pattern: str = MATH) -> Column:
@@ -62,9 +69,10 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     numbered on their own and shifted by the counts of the ranges before it.
     Ties in ``order`` must be equal rows or the numbers among them are arbitrary.
     """
+    part, row, before = _own(df, "part", "row", "before")
     d = _ranged(df, order)
-    d = d.join(_before(d, F.count("*")), "_part")
-    return d.select(*df.columns, (F.col("_before") + F.col("_row") + 1).cast("long").alias(name))
+    d = d.join(_before(d, F.count("*"), part, before), part)
+    return d.select(*df.columns, (F.col(before) + F.col(row) + 1).cast("long").alias(name))
 
 
 def capped(pages: DataFrame, limit: int | None = None, settings: Settings = DEFAULT) -> DataFrame:
@@ -76,11 +84,12 @@ def capped(pages: DataFrame, limit: int | None = None, settings: Settings = DEFA
     limit = settings.max_formula_count if limit is None else limit
     if limit is None:
         return pages
+    part, row, before, running = _own(pages, "part", "row", "before", "running")
     d = _ranged(pages, ["page_id"])
-    frame = W.partitionBy("_part").orderBy("_row").rowsBetween(W.unboundedPreceding, -1)
-    running = F.coalesce(F.sum("n_formulas").over(frame), F.lit(0))
-    d = d.withColumn("_running", running).join(_before(d, F.sum("n_formulas")), "_part")
-    return d.where(F.col("_before") + F.col("_running") < limit).select(pages.columns)
+    frame = W.partitionBy(part).orderBy(row).rowsBetween(W.unboundedPreceding, -1)
+    so_far = F.coalesce(F.sum("n_formulas").over(frame), F.lit(0))
+    d = d.withColumn(running, so_far).join(_before(d, F.sum("n_formulas"), part, before), part)
+    return d.where(F.col(before) + F.col(running) < limit).select(pages.columns)
 
 
 def dump_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:

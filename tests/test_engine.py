@@ -35,6 +35,19 @@ def test_dump(spark, tmp_path):
     assert [(r.formula_id, r.page_id, r.pos, r.doc_title) for r in f] == [(1, 7, 0, "T1"), (2, 7, 1, "T1")]
 
 
+def test_markup_and_comments_in_a_text_lose_nothing(spark, tmp_path):
+    text = "a &lt;math&gt;x + y&lt;/math&gt; <b>b</b> <!-- c --> &lt;math&gt;x &amp;lt; y&lt;/math&gt;<br/> d &lt;math&gt;z^2&lt;/math&gt;"
+    (tmp_path / "d.xml").write_text(f'<mediawiki><page><title>T</title><id>5</id><revision><text bytes="3">{text}</text></revision></page></mediawiki>')
+    pages = wiki.with_formulas(wiki.read_dump(spark, str(tmp_path / "d.xml"))).collect()
+    assert [(r.page_id, r.mathes) for r in pages] == [(5, ["x + y", "x &lt; y", "z^2"])]
+
+
+def test_columns_of_any_name_stay(spark):
+    pages = spark.createDataFrame([(2, 1, "a", "b", "c"), (1, 3, "d", "e", "f")], "page_id long, n_formulas int, _row string, _part string, _before string")
+    assert sorted(map(tuple, wiki.capped(pages, 100).select(pages.columns).collect())) == sorted(map(tuple, pages.collect()))
+    assert sorted((r.n, r._row) for r in wiki.numbered(pages, ["page_id"], "n").collect()) == [(1, "d"), (2, "a")]
+
+
 def test_cap_and_ids(spark):
     pages = spark.range(1, 5001).select(F.col("id").alias("page_id"), (F.col("id") % 3).alias("n_formulas"))
     kept = [r.page_id for r in wiki.capped(pages, 1000).orderBy("page_id").collect()]

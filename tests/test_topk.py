@@ -36,11 +36,14 @@ def read_rows(df):
     return rows, total
 
 
-@pytest.mark.parametrize("settings", [Settings(), Settings(formula_weight=0.1, page_weight=0.9), Settings(formula_weight=1.0, page_weight=0.0)])
-@pytest.mark.parametrize("latex", ["a + b", "a ^ b + z", r"\frac{c}{d}", "c * d + c", "q + r", "a", "a b", "a + b + a ^ b + z + \\frac{a}{b}"])
+LATEX = ("a + b", "a ^ b + z", r"\frac{c}{d}", "c * d + c", "q + r", "a", "a b", "a + b + a ^ b + z + \\frac{a}{b}")
+WEIGHTS = (Settings(formula_weight=0.1, page_weight=0.9), Settings(formula_weight=1.0, page_weight=0.0))
+
+
+@pytest.mark.parametrize(("latex", "settings"), [*((x, Settings()) for x in LATEX), *((LATEX[1], w) for w in WEIGHTS)])
 def test_top_k_are_those_of_the_whole_search(index, latex, settings):
     i, c = search.prepared(index, [(0, latex)])
-    for k in (1, 10, 60) if settings == Settings() else (10,):
+    for k in (1, 10, 60) if latex == "c * d + c" else (10,):
         whole = [(r.page_id, r.formula_id, round(r.score, 9)) for r in search.result_page(search.search(i, c, settings), 1, k).orderBy("rank").collect()]
         found = [(r.page_id, r.formula_id, round(r.score, 9)) for r in search.result_page(topk.top_k(i, c, k, settings), 1, k).orderBy("rank").collect()]
         assert found == whole
