@@ -319,7 +319,7 @@ def bucket_of(shingle: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _prefixes(buckets: int, common: np.ndarray, rank: np.ndarray):
-    """(text) -> per bucket of shingles: those in prefixes, each with its text's hash and size, as bytes.
+    """(text) -> per bucket of shingles: those in prefixes, each with the one before it, its text's hash and size, as bytes.
 
     Of texts with the same words a task gives one, so a text that many rows
     repeat comes to a bucket once a task at most. Prefixes hold a text's smallest
@@ -342,28 +342,37 @@ def _prefixes(buckets: int, common: np.ndarray, rank: np.ndarray):
             n = [len(f) for f in first]
             shingle = np.concatenate(first)
             of, size = np.repeat(np.array(of, np.uint64), n), np.repeat(np.array(size, np.uint32), n)
+            before = np.concatenate([shingle[:1] * np.uint64(0), shingle[:-1]])
+            before[np.cumsum(n) - n] = 0  # a text's first one
             bucket = bucket_of(shingle, buckets)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             rows = [(k, order[x:y]) for k, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
-            columns = [pa.array([c[o].tobytes() for _, o in rows], pa.binary()) for c in (shingle, of, size)]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), *columns], names=["bucket", "shingle", "same", "size"])
+            columns = [pa.array([c[o].tobytes() for _, o in rows], pa.binary()) for c in (shingle, before, of, size)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), *columns], names=["bucket", "shingle", "before", "same", "size"])
         trim()
 
     return run
 
 
 def _grouped(t: pa.Table) -> pa.Table:
-    """A bucket of shingles -> (leader, same, size): the texts that share a shingle, under the first of them."""
-    shingle, same, size = (np.frombuffer(b"".join(t.column(c).to_pylist()), d) for c, d in (("shingle", np.uint64), ("same", np.int64), ("size", np.uint32)))
+    """A bucket of shingles -> (leader, same, size): the texts that share a shingle, under the first of them.
+
+    Texts that share a shingle and all have the same one before it meet there
+    already: such a group is left out. So copies meet at their first shingle and
+    after each place where some of them differ, not at every one.
+    """
+    kinds = (("shingle", np.uint64), ("before", np.uint64), ("same", np.int64), ("size", np.uint32))
+    shingle, before, same, size = (np.frombuffer(b"".join(t.column(c).to_pylist()), d) for c, d in kinds)
     order = np.lexsort((same, size, shingle))
-    shingle, same, size = shingle[order], same[order], size[order]
+    shingle, before, same, size = shingle[order], before[order], same[order], size[order]
     once = np.r_[True, (shingle[1:] != shingle[:-1]) | (same[1:] != same[:-1])]
-    shingle, same, size = shingle[once], same[once], size[once]
+    shingle, before, same, size = shingle[once], before[once], same[once], size[once]
     # similar sets are of similar size: no such pair lies across a gap
     first = np.flatnonzero(np.r_[True, (shingle[1:] != shingle[:-1]) | (size[:-1] < SIMILARITY * size[1:] - 1e-6)])
     n = np.diff(np.r_[first, len(shingle)])
-    shared = np.repeat(n > 1, n)
+    known = (np.minimum.reduceat(before, first) == np.maximum.reduceat(before, first)) & (before[first] != 0)
+    shared = np.repeat((n > 1) & ~known, n)
     leader, same, size = np.repeat(np.minimum.reduceat(same, first), n)[shared], same[shared], size[shared]
     order = np.lexsort((same, leader))
     leader, same, size = leader[order], same[order], size[order]
@@ -495,7 +504,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     common, rank = often.column("shingle").to_numpy().view(np.uint64), often.column("n").to_numpy()
     by = np.argsort(common)
     buckets = int(size // BUCKET_BYTES) + 1
-    first = d.select("text").mapInArrow(_prefixes(buckets, common[by], rank[by]), "bucket int, shingle binary, same binary, size binary")
+    first = d.select("text").mapInArrow(_prefixes(buckets, common[by], rank[by]), "bucket int, shingle binary, before binary, same binary, size binary")
     met = written(first.groupBy("bucket").applyInArrow(_grouped, "leader long, same long, size long").distinct(), "groups")
     parts = F.ceil(F.greatest(F.count("*") / GROUP_ROWS, F.sum("size") / GROUP_SHINGLES)).cast("int")
     hot = written(met.groupBy("leader").agg(parts.alias("p")).where("p > 1"), "groups")

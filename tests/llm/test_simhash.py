@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -221,3 +222,37 @@ def test_a_task_gives_equal_texts_once():
     batches = [pa.RecordBatch.from_arrays([pa.array([text] * 100 + [text + " more"])], names=["text"]) for _ in range(3)]
     got = list(simhash._prefixes(4, none, none)(batches))
     assert sum(len(x) // 8 for b in got for x in b.column("same").to_pylist()) <= 2 * 101
+
+
+def test_groups_left_out_lose_no_pair():
+    """Every two texts that share a shingle of their prefixes, and are of similar size, meet in some group."""
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in range(400)]
+    texts = []
+    for k in range(120):  # copies edited in places, appended to and cut
+        w = list(base)
+        for at in rng.integers(0, len(w), rng.integers(0, 12)):
+            w[at] = f"x{rng.integers(9)}"
+        texts.append(" ".join(w[: int(rng.integers(150, 401))] + [f"y{k % 7}"] * int(rng.integers(0, 40))))
+    none = np.zeros(0, np.uint64)
+    own = list(simhash._shingle_sets(pa.array(texts)))
+    tables = [pa.Table.from_batches([b]) for b in simhash._prefixes(5, none, none)([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])]
+    whole = pa.concat_tables(tables)
+    met, rows = set(), 0
+    for k in set(whole.column("bucket").to_pylist()):
+        got = simhash._grouped(whole.filter(pa.compute.equal(whole.column("bucket"), k)))
+        rows += got.num_rows
+        groups = {}
+        for leader, same in zip(got.column("leader").to_pylist(), got.column("same").to_pylist()):
+            groups.setdefault(leader, []).append(same)
+        met |= {(a, b) for g in groups.values() for a in g for b in g}
+    sets = {np.int64(np.uint64(x)) if x < 2**63 else x - 2**64: s for x, s in own}
+    shared = 0
+    for a, x in sets.items():
+        for b, y in sets.items():
+            both = len(np.intersect1d(x, y))
+            if a != b and both >= 0.8 * (len(x) + len(y) - both):
+                assert (a, b) in met
+                shared += 1
+    entries = sum(len(simhash.prefix(s, none, none)) for s in sets.values())
+    assert shared > 500 and rows < entries / 2
