@@ -281,6 +281,25 @@ def _shingle_sets(texts):
         yield same, np.unique(s ^ s >> np.uint64(29))
 
 
+def _marked(batches):
+    """(doc_id, text) -> a hash of the word sequence, its fingerprint, and a bound of its number of shingles; equal texts of a task are read once."""
+    seen: dict[int, tuple[int, int]] = {}
+    for b in batches:
+        same, fp, size = [], [], []
+        for t in b.column(1).cast(pa.binary()):
+            text = t.as_py() or b""
+            words = text.lower().split()
+            key = xxhash.xxh64_intdigest(b" ".join(words), 7)
+            if key not in seen:
+                seen[key] = fingerprint(text), max(1, len(words) - WIDTH + 1)
+            same.append(key)
+            fp.append(seen[key][0])
+            size.append(seen[key][1])
+        same, fp = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (same, fp))
+        yield pa.RecordBatch.from_arrays([b.column(0), same, fp, pa.array(size, pa.int64())], names=["doc_id", "same", "fp", "size"])
+    trim()
+
+
 def _same(batches):
     """(doc_id, text) -> a hash of the word sequence."""
     for b in batches:
@@ -471,6 +490,16 @@ def _strangers(members: DataFrame, classes: DataFrame) -> DataFrame:
     return few.select(*columns).union(every.select(*columns)).distinct()
 
 
+def _linked(texts: DataFrame) -> DataFrame:
+    """(leader, same, size): the texts (same, fp, size) whose fingerprints connect by links of at most THRESHOLD bits, under the first of them."""
+    least = written(texts.groupBy("fp").agg(F.min("same").alias("id")), "fingerprints")
+    linked = components(links(least, least.count()))
+    own = texts.join(least, "fp").join(linked, F.col("id") == F.col("node"), "left")
+    own = own.select(F.coalesce("component", "id").alias("root"), "same", "size")
+    led = written(own.groupBy("root").agg(F.min("same").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n"), "fingerprints")
+    return own.join(small(led), "root").select("leader", "same", "size")
+
+
 def _met(own: DataFrame, cells: DataFrame) -> DataFrame:
     """Links (a, b) of the texts that meet in ``cells`` (leader, same, size, x, y); ``own`` has their sets."""
     total = cells.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
@@ -484,10 +513,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``same`` is a hash of the row's words and ``component_id`` the smallest id of
     its group; ``first`` is the least hash of the group's rows with that id.
 
-    Texts with the same words (A-Z lowered) are one. A set-similarity join that
-    misses no pair: two texts of that similarity share a shingle among the first
+    Texts with the same words (A-Z lowered) are one. Texts whose SimHash
+    fingerprints connect, by the anchors of ``links``, meet in a group. What
+    fingerprints miss, as those of texts near 0.8 differ in more bits, a
+    set-similarity join finds, that misses no pair: two texts of that similarity share a shingle among the first
     fifth of each, in one order of all shingles. Texts that share one there go to
-    the group of the first of them, where all sets are compared exactly. A large
+    the group of the first of them. In groups of both kinds all sets are compared exactly. A large
     group is compared in parts first; then those not linked with most of it meet
     all of it, in a grid of cells. Rows of a group give a tree of links, not
     pairs. Counts of some texts only choose the order.
@@ -496,7 +527,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     arrow_rows(spark)
     d = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marks = written(d.mapInArrow(_same, "doc_id long, same long"), "marks")
+    marks = written(d.mapInArrow(_marked, "doc_id long, same long, fp long, size long"), "marks")
+    reps = written(marks.groupBy("same").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp"), F.min("size").alias("size")), "marks")
     n, size = d.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     some = d.where(F.pmod(F.xxhash64("doc_id"), F.lit(n // ORDER_TEXTS + 1)) == 0).select("text")
     counted = some.mapInArrow(_counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 2")
@@ -505,13 +537,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by = np.argsort(common)
     buckets = int(size // BUCKET_BYTES) + 1
     first = d.select("text").mapInArrow(_prefixes(buckets, common[by], rank[by]), "bucket int, shingle binary, before binary, same binary, size binary")
-    met = written(first.groupBy("bucket").applyInArrow(_grouped, "leader long, same long, size long").distinct(), "groups")
+    shared = first.groupBy("bucket").applyInArrow(_grouped, "leader long, same long, size long")
+    met = shared.union(_linked(reps.select("same", "fp", "size")))
+    met = written(met.groupBy("leader", "same").agg(F.max("size").alias("size")), "groups")
     parts = F.ceil(F.greatest(F.count("*") / GROUP_ROWS, F.sum("size") / GROUP_SHINGLES)).cast("int")
     hot = written(met.groupBy("leader").agg(parts.alias("p")).where("p > 1"), "groups")
     split = not hot.isEmpty()
     cells = met.join(small(hot), "leader", "left_anti") if split else met
     cells = cells.select("leader", "same", "size", F.lit(0).alias("x"), F.lit(0).alias("y"))
-    reps = written(marks.groupBy("same").agg(F.min("doc_id").alias("id")), "marks")
     named = reps.join(small(written(met.select("same").distinct(), "met")), "same", "left_semi").select(F.col("id").alias("doc_id")).distinct()
     own = d.join(small(written(named, "named")), "doc_id", "left_semi").select("text").mapInArrow(_sets, "same long, shingles binary")
     if marks.groupBy("doc_id").count().where("count > 1").limit(1).count():
@@ -528,7 +561,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     root = reps.join(tree, F.col("same") == F.col("node"), "left").select("same", "id", F.coalesce("component", "same").alias("root"))
     least = root.groupBy("root").agg(F.min(F.struct("id", "same")).alias("least"))
     root = root.select("same", "root").join(least, "root").select("same", F.col("least.id").alias("component_id"), F.col("least.same").alias("first"))
-    return marks.join(root, "same").select(F.col("doc_id").alias(id_col), "same", "component_id", "first")
+    return marks.select("doc_id", "same").join(root, "same").select(F.col("doc_id").alias(id_col), "same", "component_id", "first")
 
 
 def _with_same(text_at: int, name: str):

@@ -224,6 +224,30 @@ def test_a_task_gives_equal_texts_once():
     assert sum(len(x) // 8 for b in got for x in b.column("same").to_pylist()) <= 2 * 101
 
 
+def test_fingerprints_link_texts_that_are_then_compared(spark, monkeypatch):
+    """Without the join, copies meet by their fingerprints alone, and are compared; without fingerprints the join still meets all."""
+    rng = random.Random(4)
+    texts = []
+    for _ in range(20):
+        words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        texts += [" ".join(words), " ".join([*words[:200], "edit", *words[201:]])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {k for k in range(0, 40, 2)}
+    near = {k for k in want if (simhash.fingerprint(texts[k].encode()) ^ simhash.fingerprint(texts[k + 1].encode())).bit_count() <= simhash.THRESHOLD}
+    assert len(near) > 3
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == want
+    links, prefixes = simhash.links, simhash._prefixes
+    monkeypatch.setattr(simhash, "_prefixes", lambda *_: lambda batches: iter(()))
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == want | {k + 1 for k in want - near}
+    # linked by a fingerprint of 0, but not alike: both stay
+    odd = spark.createDataFrame([(1, ""), (2, "a b c")], "doc_id long, text string")
+    monkeypatch.setattr(simhash, "fingerprint", lambda text: 0)
+    assert simhash.keep_one(odd).count() == 2
+    monkeypatch.setattr(simhash, "_prefixes", prefixes)
+    monkeypatch.setattr(simhash, "links", lambda fps, n: links(fps.where("false"), n))
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == want
+
+
 def test_groups_left_out_lose_no_pair():
     """Every two texts that share a shingle of their prefixes, and are of similar size, meet in some group."""
     rng = np.random.default_rng(8)
