@@ -1,11 +1,12 @@
-"""Formulas to terms on Spark: one Arrow-batched pass, no shuffle; equal formulas of a batch are read once."""
+"""Formulas to terms on Spark: one Arrow pass, no shuffle; equal formulas of a batch are read, and their results made, once."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,11 @@ from . import mathml as mathml_reader
 from .mathtree import Term, normalise, terms
 
 ANALYSIS = "terms array<struct<term:string,level:int,generalization:boolean>>, folded array<struct<term:string,levels:array<int>>>, tree string, is_error boolean"
+_TERM = pa.struct([("term", pa.string()), ("level", pa.int32()), ("generalization", pa.bool_())])
+_FOLDED = pa.struct([("term", pa.string()), ("levels", pa.list_(pa.int32()))])
+_ANALYSED = [("terms", pa.list_(_TERM)), ("folded", pa.list_(_FOLDED)), ("tree", pa.string()), ("is_error", pa.bool_())]
+COUNTED = "folded array<struct<term:string,levels:array<int>>>, n_terms int, is_error boolean"
+_COUNTED = [("folded", pa.list_(_FOLDED)), ("n_terms", pa.int32()), ("is_error", pa.bool_())]
 
 
 def tree_of(formula: str, settings: Settings = DEFAULT, mathml: bool = False):
@@ -44,18 +50,37 @@ def analysed(formula: str, settings: Settings, mathml: bool) -> tuple[list[Term]
         return [], None, True
 
 
-def analyse(formula: Column, settings: Settings = DEFAULT, mathml: bool = False) -> Column:
-    """Struct (terms, folded, tree, is_error) of a formula column. A null or empty formula has no terms and is no error.
+def results(formulas: pa.Array, settings: Settings = DEFAULT, mathml: bool = False, counted: bool = False) -> pa.Array:
+    """The results of a batch, as ``analyse`` (or ``analyse_folded``: ``counted``) gives them.
 
-    Marked as not deterministic, so that Spark never calls it twice for a row.
+    Rows take them by the place of their formula: only different formulas pass through Python objects.
     """
+    coded = pc.fill_null(formulas, "").dictionary_encode()
+    rows = [([], None, False) if not f else analysed(f, settings, mathml) for f in coded.dictionary.to_pylist()]
+    if counted:
+        out, kind = [{"folded": folded(ts), "n_terms": len(ts), "is_error": bad} for ts, _, bad in rows], pa.struct(_COUNTED)
+    else:
+        out, kind = [{"terms": [t._asdict() for t in ts], "folded": folded(ts), "tree": tree, "is_error": bad} for ts, tree, bad in rows], pa.struct(_ANALYSED)
+    return pa.array(out, kind).take(coded.indices)
+
+
+def _udf(formula: Column, schema: str, make) -> Column:
+    """Marked as not deterministic, so that Spark never calls it twice for a row."""
+
+    def run(column: pa.Array) -> pa.Array:
+        return make(column)
+
+    return F.arrow_udf(run, schema).asNondeterministic()(formula)
+
+
+def analyse(formula: Column, settings: Settings = DEFAULT, mathml: bool = False) -> Column:
+    """Struct (terms, folded, tree, is_error) of a formula column. A null or empty formula has no terms and is no error."""
+    return _udf(formula, ANALYSIS, lambda column: results(column, settings, mathml))
 
-    def run(column: pd.Series) -> pd.DataFrame:
-        rows = [([], None, False) if not f else analysed(f, settings, mathml) for f in column]
-        out = [([t._asdict() for t in ts], folded(ts), tree, bad) for ts, tree, bad in rows]
-        return pd.DataFrame(out, columns=["terms", "folded", "tree", "is_error"])
 
-    return F.pandas_udf(run, ANALYSIS).asNondeterministic()(formula)
+def analyse_folded(formula: Column, settings: Settings = DEFAULT) -> Column:
+    """Struct (folded, n_terms, is_error), as ``analyse`` has them: what an index needs, and no more of it passes from Python."""
+    return _udf(formula, COUNTED, lambda column: results(column, settings, counted=True))
 
 
 def explode_terms(formulas: DataFrame, column: str = "latex", settings: Settings = DEFAULT, mathml: bool = False) -> DataFrame:

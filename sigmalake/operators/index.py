@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions import scoring
-from ..functions.terms import analyse
+from ..functions.terms import analyse_folded
 from .progress import observed
 
 KINDS = ("formula", "page")
@@ -50,8 +50,8 @@ class Index:
 
 def analysed(formulas: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Formulas with their terms once each (folded: term, levels), n_terms and is_error: the only pass in Python."""
-    a = formulas.select("*", analyse(F.col("latex"), settings).alias("_a"))
-    return a.select(*formulas.columns, F.col("_a.folded").alias("folded"), F.size("_a.terms").alias("n_terms"), F.col("_a.is_error").alias("is_error"))
+    a = formulas.select("*", analyse_folded(F.col("latex"), settings).alias("_a"))
+    return a.select(*formulas.columns, F.col("_a.folded").alias("folded"), "_a.n_terms", "_a.is_error")
 
 
 def build(pages: DataFrame, formulas: DataFrame, settings: Settings = DEFAULT) -> Index:

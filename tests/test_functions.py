@@ -150,3 +150,22 @@ def test_lines_and_sides():
     tree_of(r"\sum_{\substack{i < n \\ j}} x")
     tree_of(r"\sideset{a}{b}\prod x")
     tree_of(r"a \xrightarrow[x]{y} b")
+
+
+def test_results_of_equal_formulas_are_made_once(monkeypatch):
+    """A batch's work in Python follows its different formulas, not its rows; nulls, empty and unreadable ones keep their places."""
+    import pyarrow as pa
+
+    from sigmalake.functions import terms
+
+    made, plain = [], terms.folded
+    monkeypatch.setattr(terms, "folded", lambda found: made.append(1) or plain(found))
+    column = pa.array(["a + b", None, r"\frac{a}{b}", "", "{", "a + b"] * 1000)
+    got = terms.results(column).to_pylist()
+    assert len(made) == 4 and len(got) == 6000
+    for f, r in zip(column.to_pylist(), got):
+        found, tree, bad = terms.analysed(f, terms.DEFAULT, False) if f else ([], None, False)
+        assert r == {"terms": [t._asdict() for t in found], "folded": plain(found), "tree": tree, "is_error": bad}
+    assert terms.results(pa.array([], pa.string())).to_pylist() == []
+    few = terms.results(column, counted=True).to_pylist()
+    assert few == [{"folded": r["folded"], "n_terms": len(r["terms"]), "is_error": r["is_error"]} for r in got]
