@@ -30,13 +30,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def deleted(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete the files of ``written`` tables that nothing reads any more."""
     for df in tables:
-        sc = df.sparkSession.sparkContext
         for name in df.inputFiles()[:1]:
-            path = sc._jvm.org.apache.hadoop.fs.Path(name).getParent()
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+            deleted(df.sparkSession, name.rpartition("/")[0])
 
 
 #: Bytes up to which a side of a join may be broadcast, by ``small``.
